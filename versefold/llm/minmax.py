@@ -27,32 +27,44 @@ from pyspark.sql import functions as F
 from ..session import Stage
 
 _SEED = 20240229
+#: Weights of a character of a large and of a small alphabet in a hashed shingle, and what a shingle must weigh.
+DENSE, SPARSE, NEED = 8, 3, 24
 
 
-def hashed_shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's runs of n characters, all texts one after another, and their numbers."""
+def hashed_shingles(texts: list[str], need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's shingles, all texts one after another, and their numbers.
+
+    The shingle at a place is the shortest run of characters from there that weighs `need`: three ideographs or
+    syllables, or eight letters or digits of an alphabet. It depends on nothing before or behind it. A text that has no
+    whole shingle has one, itself; an empty text has none.
+    """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    count = np.maximum(lens - n + 1, 0)
-    total = len(code) - n + 1
-    if total <= 0 or not count.sum():
-        return np.zeros(0, np.uint64), count
-    h = np.zeros(total, np.uint64)
-    for i in range(n):
-        h = (h ^ code[i : i + total]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = len(code)
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    dense = (code >= 0x3040) & (code < 0xA000) | (code >= 0xAC00) & (code < 0xD7B0) | (code >= 0xF900) & (code < 0xFB00) | (code >= 0x20000)
+    weight = np.cumsum(np.where(dense, DENSE, SPARSE))
+    before = np.concatenate(([0], weight[:-1]))
+    end = np.searchsorted(weight, before + need) + 1
+    bound = np.repeat(np.cumsum(lens), lens)
+    whole = end <= bound
+    owner = np.repeat(np.arange(len(texts)), lens)
+    count = np.bincount(owner[whole], minlength=len(texts))
+    short = np.flatnonzero((count == 0) & (lens > 0))
+    if len(short):
+        at = (np.cumsum(lens) - lens)[short]
+        whole[at], end[at], count[short] = True, bound[at], 1
+    start = np.flatnonzero(whole)
+    length = end[start] - start
+    code64 = code.astype(np.uint64)
+    h = length.astype(np.uint64)
+    for k in range(int(length.max())):
+        live = slice(None) if k < int(length.min()) else np.flatnonzero(length > k)
+        x = (h[live] ^ code64[start[live] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h[live] = x ^ (x >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    ends = np.cumsum(lens)
-    inner = np.ones(total, bool)
-    for i in range(1, n):  # a run may not cross from one text into the next
-        at = ends[:-1] - i
-        inner[at[(at >= 0) & (at < total)]] = False
-    short = np.flatnonzero((lens < n) & (lens > 0))
-    for k in short:
-        a = max(0, int(ends[k] - lens[k]))
-        inner[a : min(total, int(ends[k]))] = False
-    return h[inner], count
+    return h ^ (h >> np.uint64(32)), count
 
 
 def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +74,9 @@ def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 2**63, bands, dtype=np.uint64)
 
 
-def band_hashes(texts: list[str], n: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+def band_hashes(texts: list[str], bands: int) -> tuple[np.ndarray, np.ndarray]:
     """For texts with shingles: their numbers, and a matrix (bands, texts) of hashed pairs (minimum, maximum)."""
-    h, count = hashed_shingles(texts, n)
+    h, count = hashed_shingles(texts)
     rows = np.flatnonzero(count)
     out = np.empty((bands, len(rows)), np.int64)
     if len(rows):
@@ -78,13 +90,13 @@ def band_hashes(texts: list[str], n: int, bands: int) -> tuple[np.ndarray, np.nd
     return rows, out
 
 
-def signatures(texts: DataFrame, n: int, bands: int) -> DataFrame:
+def signatures(texts: DataFrame, bands: int) -> DataFrame:
     """band BIGINT, c BIGINT: of each different text with a shingle, from columns c and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, first = np.unique(np.asarray(batch.column(0)), return_index=True)
-            rows, out = band_hashes(batch.column(1).take(pa.array(first)).to_pylist(), n, bands)
+            rows, out = band_hashes(batch.column(1).take(pa.array(first)).to_pylist(), bands)
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(out.T.ravel()), pa.array(np.repeat(c[rows], bands))], names=["band", "c"])
 
@@ -123,14 +135,14 @@ def similar(a: list[str], b: list[str], n: int, threshold: float) -> np.ndarray:
     return out
 
 
-def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: int = 22) -> DataFrame:
+def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
     """a < b: all pairs of different texts (by c, their hash) whose similarity reaches the threshold.
 
     texts: c BIGINT, text STRING; a text may be there many times.
     """
     spark = texts.sparkSession
     stage = Stage(spark, "minmax")
-    members = stage.write(shared_buckets(signatures(texts, n, bands), "band").distinct(), "members")
+    members = stage.write(shared_buckets(signatures(texts, bands), "band").distinct(), "members")
     candidates = stage.write(bucket_pairs(members, "band", "c").distinct(), "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     known = stage.write(texts.join(ids, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
@@ -144,7 +156,7 @@ def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: in
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 22) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
     """id_a < id_b: all pairs of keys whose texts' shingle sets share at least the threshold of their union; equal texts too."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("c"), F.col(f"`{text}`").alias("text"))
     classes = near_classes(rows, n, threshold, bands)
@@ -154,7 +166,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: f
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
-def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 22) -> DataFrame:
+def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
     """key, class_id BIGINT (of its text), n_links BIGINT (different texts near it): one row for each row with a text."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("class_id"), F.col(f"`{text}`").alias("text"))
     pairs = near_classes(rows.select(F.col("class_id").alias("c"), "text"), n, threshold, bands)
