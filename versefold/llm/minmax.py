@@ -31,40 +31,44 @@ _SEED = 20240229
 DENSE, SPARSE, NEED = 8, 3, 24
 
 
-def hashed_shingles(texts: list[str], need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's shingles, all texts one after another, and their numbers.
+def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and lengths of all shingles, each text's number of them, and all texts' characters as uint32.
 
-    The shingle at a place is the shortest run of characters from there that weighs `need`: three ideographs or
-    syllables, or eight letters or digits of an alphabet. It depends on nothing before or behind it. A text that has no
-    whole shingle has one, itself; an empty text has none.
+    The shingle at a place is the shortest run of characters from there that weighs `need`: an ideograph or syllable
+    weighs DENSE, a letter or digit of an alphabet SPARSE. It depends on nothing before or behind it. short: a text that
+    has no whole shingle has one, itself; an empty text has none.
     """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = len(code)
-    if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    if not len(code):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64), code
     dense = (code >= 0x3040) & (code < 0xA000) | (code >= 0xAC00) & (code < 0xD7B0) | (code >= 0xF900) & (code < 0xFB00) | (code >= 0x20000)
     weight = np.cumsum(np.where(dense, DENSE, SPARSE))
     before = np.concatenate(([0], weight[:-1]))
     end = np.searchsorted(weight, before + need) + 1
     bound = np.repeat(np.cumsum(lens), lens)
     whole = end <= bound
-    owner = np.repeat(np.arange(len(texts)), lens)
-    count = np.bincount(owner[whole], minlength=len(texts))
-    short = np.flatnonzero((count == 0) & (lens > 0))
-    if len(short):
-        at = (np.cumsum(lens) - lens)[short]
-        whole[at], end[at], count[short] = True, bound[at], 1
+    count = np.bincount(np.repeat(np.arange(len(texts)), lens)[whole], minlength=len(texts))
+    bare = np.flatnonzero((count == 0) & (lens > 0)) if short else ()
+    if len(bare):
+        at = (np.cumsum(lens) - lens)[bare]
+        whole[at], end[at], count[bare] = True, bound[at], 1
     start = np.flatnonzero(whole)
     length = end[start] - start
     code64 = code.astype(np.uint64)
     h = length.astype(np.uint64)
-    for k in range(int(length.max())):
+    for k in range(int(length.max(initial=0))):
         live = slice(None) if k < int(length.min()) else np.flatnonzero(length > k)
         x = (h[live] ^ code64[start[live] + k]) * np.uint64(0x9E3779B97F4A7C15)
         h[live] = x ^ (x >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), count
+    return h ^ (h >> np.uint64(32)), start, length, count, code
+
+
+def hashed_shingles(texts: list[str], need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's shingles of three ideographs or eight letters, and their numbers."""
+    h, _, _, count, _ = weighted_shingles(texts, need, True)
+    return h, count
 
 
 def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:

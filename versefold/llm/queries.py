@@ -8,11 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, copies, keys, minmax, splitting
+from . import alignment, bpe, confusable, copies, keys, minmax, related, splitting
 
 FIELDS = ["title", "author", "body"]
 
 
+def _dynasties(s: SparkSession, d: str) -> list[str]:
+    """The reference list's dynasties; a fixed table, whose size is checked."""
+    rows = table(s, d, "canon_value").where("field_name = '朝代' and entry is not null").select("entry").distinct().limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("too many dynasties for one pattern")
+    return sorted(r.entry for r in rows)
+
+
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    rows = related.groups(table(s, d, "review_tool"), "ID", related.author_names(F.col("作者"), _dynasties(s, d)), related.original_number(F.col("ID")))
+    return rows.where("n_rows > 1").select(F.col("key").alias("id"), "group_id")
+
+
+def p1_splits(s: SparkSession, d: str) -> DataFrame:
+    rows = related.splits(table(s, d, "review_tool"), "ID", related.author_names(F.col("作者"), _dynasties(s, d)), related.original_number(F.col("ID")), "月份数字")
+    return rows.withColumnRenamed("key", "id")
+
+
+def _cells(s: SparkSession, d: str, of: Callable[[DataFrame, str, str, str], DataFrame]) -> DataFrame:
+    cells = [of(table(s, d, t), t, k, f) for t, k, f in (("review_tool", "ID", "正文"), ("product", "id", "name"), ("category", "id", "name"))]
+    return cells[0].unionByName(cells[1]).unionByName(cells[2])
+
+
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return _cells(s, d, confusable.disguised).select("table_name", "row_key", "field_name")
+
+
+def p2_normalized(s: SparkSession, d: str) -> DataFrame:
+    return _cells(s, d, confusable.normalized).select("table_name", "row_key", "field_name", "normalized")
+
+
 def _poems(s: SparkSession, d: str) -> DataFrame:
     return keys.poems(table(s, d, "review_tool"), table(s, d, "poem_raw"))
 
@@ -42,6 +73,18 @@ def p7_ids(s: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(s, d, "documents"), "doc_id", "text")
 
 
+def _leaks(s: SparkSession, d: str) -> DataFrame:
+    return alignment.leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_item"), "item_id", "text")
+
+
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return _leaks(s, d).where("longest_run >= 30").select("doc_id", "item_id")
+
+
+def p8_leaks(s: SparkSession, d: str) -> DataFrame:
+    return _leaks(s, d)
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(s, d, "documents"), "doc_id", "text").where("piece_no = 0").select("doc_id")
 
@@ -51,5 +94,5 @@ def p9_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_collapsed, p6_found, p6_grouped, p7_ids, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_normalized, p3_found, p3_collapsed, p6_found, p6_grouped, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)
 }
