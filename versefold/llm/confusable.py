@@ -104,7 +104,7 @@ def spell(token: str, foreign_context: bool) -> str:
         def fits(to: str) -> int:
             return sum(s == to or (c in TO_LATIN if to == "Latn" else FROM_LATIN.get(to, {}).get(TO_LATIN.get(c, c)) is not None) for c, s in zip(letters, own))
 
-        target = max(("Latn", "Cyrl", "Grek", "Armn"), key=lambda to: (fits(to), counts[to], to == "Latn"))
+        target = max(("Latn", "Cyrl", "Grek", "Armn"), key=lambda to: (fits(to), to == "Latn", counts[to]))
     if target == "Latn":
         return "".join(TO_LATIN.get(c, c) for c in token)
     return "".join(c if script(c) in (target, "Zyyy") else FROM_LATIN[target].get(TO_LATIN.get(c, c), c) for c in token)

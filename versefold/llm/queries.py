@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import alignment, bpe, confusable, copies, keys, minmax, related, splitting
+from . import alignment, bpe, canonical, confusable, copies, keys, listings, minmax, related, splitting
 
 FIELDS = ["title", "author", "body"]
 
@@ -57,6 +57,27 @@ def p3_collapsed(s: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_poems(s, d), "key", FIELDS)
 
 
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return listings.pairs(listings.groups(table(s, d, "product"), table(s, d, "canon_value")))
+
+
+def p4_groups(s: SparkSession, d: str) -> DataFrame:
+    return listings.groups(table(s, d, "product"), table(s, d, "canon_value"))
+
+
+def _entered(s: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(canonical.entered(table(s, d, "review_tool"), "ID", ["花名", "朝代", "月份"]), table(s, d, "canon_value"))
+
+
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return _entered(s, d).select("id", "field_name", "ref_id")
+
+
+def p5_unmatched(s: SparkSession, d: str) -> DataFrame:
+    """The report of values without a match, with the number of rows of each."""
+    return _entered(s, d).where("ref_id = 0").groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _texts(s: SparkSession, d: str) -> DataFrame:
     return keys.poems(table(s, d, "review_tool")).select("key", F.concat("title", "body").alias("text"))
 
@@ -94,5 +115,5 @@ def p9_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_normalized, p3_found, p3_collapsed, p6_found, p6_grouped, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_normalized, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p5_unmatched, p6_found, p6_grouped, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)
 }
