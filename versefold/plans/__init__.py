@@ -1,7 +0,0 @@
-"""Registered queries and their SQL."""
-
-from __future__ import annotations
-
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
