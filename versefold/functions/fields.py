@@ -37,11 +37,16 @@ def match_form(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"[\s　]+", ""), "（）【】·•“”\"'", "()[]")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def base_name(c: Column) -> Column:
     """A product's name without a bracketed end, without a category and dash before it, up to the next dash."""
     cut = F.regexp_replace(c, r"[（(\[].*$", "")
-    cut = F.regexp_replace(cut, r"^(?:鮮花|乾花|永生花)\s*-\s*", "")
-    return F.trim(F.regexp_replace(cut, r"\s*[-－].*$", ""))
+    cut = F.regexp_replace(cut, r"^(?:鮮花|乾花|永生花)[\s\p{Z}]*-[\s\p{Z}]*", "")
+    return trimmed(F.regexp_replace(cut, r"[\s\p{Z}]*[-－].*$", ""))
 
 
 def variants(c: Column, suffix: str = "花") -> Column:
@@ -67,7 +72,7 @@ def is_verse(c: Column) -> Column:
 
 def sentences(c: Column, least: int = 4) -> Column:
     """Parts after 。！？ or line breaks, of at least `least` characters."""
-    return F.filter(F.transform(F.split(c, r"(?<=[。！？])\s*|\n+"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(c, r"(?<=[。！？])\s*|\n+"), trimmed), lambda x: F.length(x) >= least)
 
 
 def kept_sentences(c: Column, patterns: Sequence[str], least: int = 4) -> Column:

@@ -37,7 +37,7 @@ def fn_05_match_form(s, d):
     return table(s, d, "review_tool").select("ID", X.match_form(F.col("诗名")).alias("form"))
 
 
-@query(r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(name, '[（(\[].*$', ''), '^(?:鮮花|乾花|永生花)\s*-\s*', ''), '\s*[-－].*$', '')) AS base FROM product")
+@query(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '[（(\[].*$', ''), '^(?:鮮花|乾花|永生花)[\s\p{Z}]*-[\s\p{Z}]*', ''), '[\s\p{Z}]*[-－].*$', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS base FROM product")
 def fn_06_base_name(s, d):
     return table(s, d, "product").select("id", X.base_name(F.col("name")).alias("base"))
 
@@ -77,9 +77,9 @@ def fn_11_verse_lines(s, d):
     return l.select("doc_id", F.size(F.filter("l", lambda x: F.coalesce(X.is_verse(x), F.lit(False)))).cast("bigint").alias("verses"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: trim(regexp_replace(x, '^\s+', ''))), lambda x: length(x) >= 4), '¦') AS parts FROM documents WHERE lang = 'zh'")
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4), '¦') AS parts FROM documents WHERE lang = 'zh'")
 def fn_12_sentences(s, d):
-    return table(s, d, "documents").where("lang = 'zh'").select("doc_id", F.array_join(X.sentences(F.regexp_replace("text", r"\s*\n\s*", "\n")), "¦").alias("parts"))
+    return table(s, d, "documents").where("lang = 'zh'").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
 
 
 @query()
