@@ -7,7 +7,7 @@ many frequent seeds on one diagonal as a run of `run` characters must have, so f
 lose none. Every candidate's windows are then scored by Smith-Waterman local alignment, all candidates of a batch
 together, and the longest run that the two have in common is measured.
 
-Any common run of `run` >= 22 characters holds a whole seed at its begin, so no such run is missed; edited and
+Any common run of `run` >= 19 characters holds a whole seed at its begin, so no such run is missed; edited and
 paraphrased passages are found as long as one seed of theirs is intact.
 
 The items are held-out passages of fixed number; they are broadcast in parts of at most MOST_CHARS characters, each part

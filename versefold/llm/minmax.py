@@ -28,7 +28,7 @@ from ..session import Stage
 
 _SEED = 20240229
 #: Weights of a character of a large and of a small alphabet in a hashed shingle, and what a shingle must weigh.
-DENSE, SPARSE, NEED = 8, 3, 24
+DENSE, SPARSE, NEED = 7, 3, 21
 
 
 def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndar
 
 
 def hashed_shingles(texts: list[str], need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's shingles of three ideographs or eight letters, and their numbers."""
+    """64-bit hashes of each text's shingles of three ideographs or seven letters, and their numbers."""
     h, _, _, count, _ = weighted_shingles(texts, need, True)
     return h, count
 
@@ -128,8 +128,12 @@ def bucket_pairs(members: DataFrame, bucket: str, key: str, block: int = 512) ->
 def similar(a: list[str], b: list[str], n: int, threshold: float) -> np.ndarray:
     """Whether the sets of shingles of a[i] and b[i] share at least the threshold of their union."""
 
+    known: dict[str, set[str]] = {}
+
     def of(text: str) -> set[str]:
-        return {text[i : i + n] for i in range(len(text) - n + 1)}
+        if text not in known:
+            known[text] = {text[i : i + n] for i in range(len(text) - n + 1)}
+        return known[text]
 
     out = np.zeros(len(a), bool)
     for i, (x, y) in enumerate(zip(a, b)):
@@ -139,7 +143,7 @@ def similar(a: list[str], b: list[str], n: int, threshold: float) -> np.ndarray:
     return out
 
 
-def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
+def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
     """a < b: all pairs of different texts (by c, their hash) whose similarity reaches the threshold.
 
     texts: c BIGINT, text STRING; a text may be there many times.
@@ -160,7 +164,7 @@ def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: in
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
     """id_a < id_b: all pairs of keys whose texts' shingle sets share at least the threshold of their union; equal texts too."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("c"), F.col(f"`{text}`").alias("text"))
     classes = near_classes(rows, n, threshold, bands)
@@ -170,7 +174,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: f
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
-def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 24) -> DataFrame:
+def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
     """key, class_id BIGINT (of its text), n_links BIGINT (different texts near it): one row for each row with a text."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("class_id"), F.col(f"`{text}`").alias("text"))
     pairs = near_classes(rows.select(F.col("class_id").alias("c"), "text"), n, threshold, bands)
