@@ -157,7 +157,7 @@ def test_leaks_equal_brute_force(spark):
     assert alignment.leaks(d, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
     assert alignment.leaks(d.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
     with pytest.raises(ValueError):
-        alignment.leaks(d, "doc_id", "text", e, "item_id", "text", run=20)
+        alignment.leaks(d, "doc_id", "text", e, "item_id", "text", run=18)
 
 
 def test_edited_passage_is_scored(spark):

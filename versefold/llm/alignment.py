@@ -108,6 +108,8 @@ def _padded(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, fill: int) -> np.n
 
 def score(table: Items, code: np.ndarray, offsets: np.ndarray, d: np.ndarray, i: np.ndarray, begin: np.ndarray, cells: int = 1 << 22) -> dict[tuple[int, int], tuple[int, int]]:
     """(document, item) -> best score, longest run. Seeds on near diagonals share a window of the item's length and a half."""
+    if not len(d):
+        return {}
     size = np.diff(table.offsets)
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (begin[1:] - begin[:-1] > size[i[1:]] // 4 + 8)

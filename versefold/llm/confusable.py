@@ -39,6 +39,7 @@ _SCRIPTS = {"LATIN": "Latn", "CYRILLIC": "Cyrl", "GREEK": "Grek", "ARMENIAN": "A
 FROM_LATIN: dict[str, dict[str, str]] = {"Cyrl": dict(zip(CYR_LATIN, CYRILLIC)), "Grek": dict(zip(GRK_LATIN, GREEK)), "Armn": dict(zip(ARM_LATIN, ARMENIAN))}
 
 TOKEN = regex.compile(r"(?:[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}]\p{M}*)+")
+OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
 EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}️⃣]")
 JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Tibetan}\p{Myanmar}]")
 #: Cells without any character of this class are surely in their consistent form; tested in the JVM.
@@ -116,7 +117,7 @@ def consistent(text: str | None) -> str | None:
         return text
     chars = [ordinary(c) for i, c in enumerate(text) if not (c > "~" and invisible(c)) or _belongs(text, i)]
     s = unicodedata.normalize("NFD", "".join(chars))
-    if any(c > "ɐ" and c in TO_LATIN for c in s):
+    if OTHER.search(s):
         found = list(TOKEN.finditer(s))
         words = [m.group() for m in found]
         plain = [{script(c) for c in w if not unicodedata.category(c).startswith("M")} for w in words]
