@@ -1 +1,32 @@
-ORACLES: dict[str, str] = {}
+"""SQL for the queries of this package that SQL can express over whole tables."""
+
+from __future__ import annotations
+
+
+def alnum(x: str) -> str:
+    return rf"coalesce(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\p{{Han}}]+', '', 'g'), '')"
+
+
+def _field(label: str) -> str:
+    names = "(?:诗名|作者|正文)"
+    head = rf"(?s)(?:^|\|\|[ \t]*|[\n\t])[ \t]*(?:\[{label}\]|{label}[ \t]*[:：=＝])(.*?)"
+    tail = rf"(?:[ \t]*(?:\|\||\n|\t)[ \t]*(?:\[{names}\]|{names}[ \t]*[:：=＝])|\z)"
+    return f"""CASE WHEN regexp_matches(record, '^\\s*\\{{') THEN json_extract_string(TRY_CAST(record AS JSON), '$."{label}"') ELSE regexp_extract(record, '{head}{tail}', 1) END"""
+
+
+HAS_BODY = r"regexp_matches(coalesce(正文, ''), '[^\s\p{Z}]')"
+POEMS = f"""poems AS (SELECT ID AS key, {alnum("诗名")} AS title, {alnum("作者")} AS author, {alnum("正文")} AS body FROM review_tool WHERE {HAS_BODY}
+UNION ALL SELECT raw_id, {alnum(_field("诗名"))}, {alnum(_field("作者"))}, {alnum(_field("正文"))} FROM poem_raw)"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {POEMS} SELECT first_key, key AS copy_key FROM (SELECT key, min(key) OVER (PARTITION BY title, author, body) AS first_key FROM poems) WHERE key <> first_key",
+    "p3_collapsed": f"WITH {POEMS} SELECT min(key) AS first_key, count(*) AS n_copies FROM poems GROUP BY title, author, body",
+    "p6_found": f"""WITH t AS (SELECT ID, {alnum("诗名")} || {alnum("正文")} AS s FROM review_tool WHERE {HAS_BODY}),
+g AS (SELECT DISTINCT ID, substr(s, i, 3) AS g FROM (SELECT ID, s, unnest(range(1, greatest(length(s) - 1, 1))) AS i FROM t)), n AS (SELECT ID, count(*) AS n FROM g GROUP BY ID),
+c AS (SELECT a.ID AS id_a, b.ID AS id_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.ID < b.ID GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.ID = id_a JOIN n y ON y.ID = id_b WHERE k >= 0.6 * (x.n + y.n - k)
+UNION SELECT a.ID, b.ID FROM t a JOIN t b ON a.s = b.s AND a.ID < b.ID WHERE a.s <> ''""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {alnum("text")} AS s FROM documents), e AS (SELECT item_id, {alnum("text")} AS s FROM eval_item),
+i AS (SELECT DISTINCT item_id, substr(s, p, 30) AS r FROM (SELECT item_id, s, unnest(range(1, length(s) - 28)) AS p FROM e WHERE length(s) >= 30))
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, substr(s, p, 30) AS r FROM (SELECT doc_id, s, unnest(range(1, length(s) - 28)) AS p FROM d WHERE length(s) >= 30)) JOIN i USING (r)""",
+}
