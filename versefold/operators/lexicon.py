@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import grams
+
 #: Fixed value: characters that negate what follows.
 NEGATION = "不无莫非未休勿"
 
@@ -18,16 +20,20 @@ def overlap_count(text: Column, term: str, negation: str = NEGATION) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?<![{negation}])(?={quoted})"))
 
 
-def substrings(text: Column, low: int, high: int) -> Column:
-    """ARRAY<STRUCT<pos, term>> of all substrings of low to high characters; pos from 1."""
-    n = F.length(text)
-    each = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(i.alias("pos"), F.substring(text, i, F.lit(k)).alias("term"))))
-    return F.flatten(F.array_compact(F.array(*[each(k) for k in range(low, high + 1)])))
+def terms_at_places(text: Column, terms: Sequence[str], negation: str = "") -> Column:
+    """ARRAY<STRING>: at every place the longest of the terms that begins there, overlapping ones too, in one pass.
+
+    negation: places right behind one of these characters do not count. For word lists that fit a pattern (some thousand
+    terms); larger ones go through all_matches.
+    """
+    alternatives = "|".join("\\Q" + t + "\\E" for t in sorted(set(terms), key=lambda x: (-len(x), x)))
+    before = f"(?<![{negation}])" if negation else ""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"{before}(?=({alternatives}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def all_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame, low: int, high: int) -> DataFrame:
     """key, pos and the lexicon's columns: every occurrence of every term, overlapping ones too, by an equi-join on term."""
-    found = df.select(key, F.explode(substrings(F.col(text), low, high)).alias("x")).select(key, "x.pos", "x.term")
+    found = df.select(key, F.explode(grams(F.col(text), low, high)).alias("x")).select(key, "x.pos", "x.term")
     return found.join(lexicon, "term")
 
 

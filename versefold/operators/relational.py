@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grams
+
 
 # --- joins and merges
 
@@ -39,10 +41,8 @@ def contains_join(texts: DataFrame, key: str, haystacks: Sequence[str], terms: D
     every term. lengths: the lengths that terms have; their number is small and known to the caller.
     """
 
-    def grams(h: str, n: int) -> Column:
-        return F.when(F.length(h) >= n, F.transform(F.sequence(F.lit(1), F.length(h) - n + 1), lambda i: F.substring(F.col(h), i, F.lit(n))))
-
-    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[grams(h, n) for h in haystacks for n in lengths]))))
+    of = lambda h: F.flatten(F.array(*[F.transform(grams(F.coalesce(F.col(h), F.lit("")), n, n), lambda x: x["term"]) for n in lengths]))
+    every = F.array_distinct(F.flatten(F.array(*[of(h) for h in haystacks])))
     exploded = texts.select(F.col(key), F.explode(every).alias(term))
     return exploded.join(terms.select(term).distinct(), term).select(key, term)
 

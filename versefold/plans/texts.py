@@ -134,9 +134,8 @@ CL = [(t, c) for c, ts in W.CLASSES.items() for t in ts]
 def text_09_pseudo_label(s, d):
     lex = s.createDataFrame(CL, "term string, label string")
     weight = lex.groupBy("label").agg((1 / F.log2(F.count(F.lit(1)) + 1)).alias("w"))
-    t = table(s, d, "documents").where("text is not null").select("doc_id", "text")
-    m = L.all_matches(t, "doc_id", "text", F.broadcast(lex), 2, 2)
-    keep = m.join(t, "doc_id").where(~((F.col("pos") > 1) & F.substring(F.col("text"), F.col("pos") - 1, F.lit(1)).isin(*L.NEGATION)))
+    t = table(s, d, "documents").where("text is not null")
+    keep = t.select("doc_id", F.explode(L.terms_at_places(F.col("text"), [x for x, _ in CL], L.NEGATION)).alias("term")).join(F.broadcast(lex), "term")
     sc = keep.join(F.broadcast(weight), "label").groupBy("doc_id", "label").agg(F.sum("w").alias("score"))
     top = sc.withColumn("top", F.max("score").over(Window.partitionBy("doc_id"))).where("abs(score - top) < 1e-9")
     return top.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("label")).otherwise("Uncertain").alias("label"))

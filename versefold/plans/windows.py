@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grams
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import text_stats as T
@@ -72,7 +73,7 @@ def win_09_cooccurrence(s, d):
 
 @query("SELECT item_id, list_transform(range(1, length(text)), lambda i: substr(text, i, 2)) AS grams FROM eval_item")
 def win_10_character_bigrams(s, d):
-    return table(s, d, "eval_item").select("item_id", F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))).alias("grams"))
+    return table(s, d, "eval_item").select("item_id", F.transform(grams(F.col("text"), 2, 2), lambda x: x["term"]).alias("grams"))
 
 
 @query()
