@@ -45,6 +45,8 @@ JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Ben
 #: Cells without any character of this class are surely in their consistent form; tested in the JVM.
 ODD_CLASS = "[^\\t\\n\\r -~\\u4e00-\\u9fff\\u3400-\\u4dbf\\u3001\\u3002\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f\\u300a-\\u3011\\u3014\\u3015\\u2014\\u2026\\u00b7\\u2018-\\u201d]"
 
+ODD_CELL = regex.compile(ODD_CLASS)
+
 
 @lru_cache(maxsize=100_000)
 def script(ch: str) -> str:
@@ -113,7 +115,7 @@ def spell(token: str, foreign_context: bool) -> str:
 
 def consistent(text: str | None) -> str | None:
     """One consistent form of a text."""
-    if not text:
+    if not text or not ODD_CELL.search(text):
         return text
     chars = [ordinary(c) for i, c in enumerate(text) if not (c > "~" and invisible(c)) or _belongs(text, i)]
     s = unicodedata.normalize("NFD", "".join(chars))
