@@ -2,8 +2,9 @@
 
 Each normalized (field name, value) pair is hashed to two 60-bit numbers; the numbers of a record's fields are added, so
 that field order does not matter. Records are grouped by the sums with partial aggregation, which one hot group cannot
-overload, and the fields of every copy are compared with those of the group's first record: rows are matched by hash,
-nothing is sorted, and only rows of groups of two or more take their texts along.
+overload. Field equality is verified by the distinct records of each fingerprint: a hash aggregation that drops copies
+before its shuffle and sorts nothing. A fingerprint with more than one record (a collision, some 2^-120 a pair) is taken
+out, and its rows are grouped by their fields. Keys are matched with groups in rows of a key and two numbers.
 
 Defined cases: null fields equal empty ones; the driver's tables decide by themselves which rows take part. A row
 that is there twice with one key is counted in n_copies, but is not a copy of itself in `copies`' pairs of keys.
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stage
+
 _MASK = (1 << 60) - 1
 
 
@@ -32,21 +35,24 @@ def fingerprints(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def copies(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, first_key, f1, f2, first (BOOLEAN): of every record in a group of two or more."""
+    """key, first_key: of every record in a group of two or more."""
+    stage = Stage(df.sparkSession, "copies")
     rows = fingerprints(df, key, fields)
-    groups = rows.groupBy("f1", "f2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = rows.join(groups, ["f1", "f2"])
-    firsts = members.where(F.col("key") == F.col("first_key")).select("f1", "f2", *fields).distinct().select("f1", "f2", *[F.col(x).alias(f"first_{i}") for i, x in enumerate(fields)])
-    equal = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"first_{i}") for i, x in enumerate(fields)])
-    checked = members.join(firsts, ["f1", "f2"]).withColumn("same", equal)
-    # A collision of fingerprints (some 2^-120 a pair) would leave rows that differ from the first: they form groups of their own.
-    other = checked.where(~F.col("same"))
-    regrouped = other.join(other.groupBy("f1", "f2", *fields).agg(F.min("key").alias("own")), ["f1", "f2", *fields]).select("key", F.col("own").alias("first_key"))
-    return checked.where("same").select("key", "first_key").unionByName(regrouped)
+    narrow = stage.write(rows.select("key", "f1", "f2"), "keys")
+    groups = narrow.groupBy("f1", "f2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = narrow.join(groups, ["f1", "f2"])
+    distinct = rows.select("f1", "f2", *fields).distinct()
+    collided = stage.write(distinct.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "collided")
+    if collided.isEmpty():
+        return found.select("key", "first_key")
+    other = rows.join(collided, ["f1", "f2"], "left_semi")
+    exact = other.groupBy("f1", "f2", *fields).agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    regrouped = other.join(exact, ["f1", "f2", *fields]).select("key", "first_key")
+    return found.join(collided, ["f1", "f2"], "left_anti").select("key", "first_key").unionByName(regrouped)
 
 
 def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row for each distinct record: first_key, n_copies BIGINT (the record itself counted)."""
-    groups = fingerprints(df, key, fields).groupBy("f1", "f2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n_copies"))
-    several = copies(df, key, fields).groupBy("first_key").agg(F.count(F.lit(1)).alias("n_copies"))
-    return groups.where("n_copies = 1").select("first_key", "n_copies").unionByName(several)
+    several = copies(df, key, fields)
+    single = df.select(F.col(f"`{key}`").alias("first_key")).join(several.select(F.col("key").alias("first_key")), "first_key", "left_anti")
+    return several.groupBy("first_key").agg(F.count(F.lit(1)).alias("n_copies")).unionByName(single.withColumn("n_copies", F.lit(1).cast("bigint")))

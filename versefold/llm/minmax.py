@@ -112,6 +112,22 @@ def shared_buckets(rows: DataFrame, bucket: str) -> DataFrame:
     return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(bucket))).where("size > 1")
 
 
+def common_keys(rows: DataFrame, bucket: str) -> DataFrame:
+    """The same as shared_buckets, for buckets that may hold a third of all rows: sizes by partial sums, joined back."""
+    sizes = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, bucket)
+
+
+def without_repeats(texts: DataFrame) -> DataFrame:
+    """c, text without the repeats within a batch: a text that a third of all rows have leaves a row a batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.unique(np.asarray(batch.column(0)), return_index=True)[1]))
+
+    return texts.select("c", "text").mapInArrow(run, "c bigint, text string")
+
+
 def bucket_pairs(members: DataFrame, bucket: str, key: str, block: int = 512) -> DataFrame:
     """a < b: all pairs of different keys that share a bucket (columns: bucket, key, size); a pair may come out more than once.
 
@@ -153,7 +169,7 @@ def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: in
     members = stage.write(shared_buckets(signatures(texts, bands), "band").distinct(), "members")
     candidates = stage.write(bucket_pairs(members, "band", "c").distinct(), "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    known = stage.write(texts.join(ids, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
+    known = stage.write(without_repeats(texts).join(ids, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
     both = candidates.join(known.withColumnsRenamed({"c": "a", "text": "x"}), "a").join(known.withColumnsRenamed({"c": "b", "text": "y"}), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +186,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: f
     classes = near_classes(rows, n, threshold, bands)
     keys = rows.select("c", "key")
     across = classes.join(keys.withColumnsRenamed({"c": "a", "key": "x"}), "a").join(keys.withColumnsRenamed({"c": "b", "key": "y"}), "b")
-    within = bucket_pairs(shared_buckets(keys, "c"), "c", "key")
+    within = bucket_pairs(common_keys(keys, "c"), "c", "key")
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
