@@ -34,6 +34,17 @@ def src_03_tsv_tree(s, d):
     return S.read_tsv_tree(s, f"{st.root}/x", "*.csv").select("ref_id", "field_name", "entry")
 
 
+@query("SELECT entry AS term, field_name AS parent FROM canon_value")
+def src_06_class_tree(s, d):
+    """Classes of an OWL file with their parents; the file is written line by line first."""
+    st = Stage(s, "owl")
+    one = F.format_string('<owl:Class rdf:ID="C4_%s"><rdfs:subClassOf rdf:resource="#C3_%s"/></owl:Class>', "entry", "field_name")
+    rows = table(s, d, "canon_value").select(F.lit(1).alias("o"), one.alias("line"))
+    ends = s.createDataFrame([(0, '<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o">'), (2, "</rdf:RDF>")], "o int, line string")
+    rows.union(ends).coalesce(1).sortWithinPartitions("o").select("line").write.text(f"{st.root}/x")
+    return S.read_class_tree(s, f"{st.root}/x")
+
+
 @query("SELECT event_id, coalesce(nullif(event_type, 'view'), '3') AS label FROM events")
 def src_05_json_lines(s, d):
     st = Stage(s, "json")
@@ -99,6 +110,23 @@ def src_14_work_list(s, d):
     return todo.orderBy("id").limit(20).select("id")
 
 
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0")
+def src_15_vectors_not_cached(s, d):
+    """Rows whose vector a stored table lacks: validity by keys, not by the number of rows."""
+    st = Stage(s, "vectors")
+    e = table(s, d, "embeddings")
+    kept = st.write(e.where("vec_id % 7 <> 0").select("vec_id", "embedding"), "cache")
+    return e.join(kept.select("vec_id"), "vec_id", "left_anti").select("vec_id")
+
+
+@query("SELECT * FROM (VALUES ('sky', '云'), ('sky', '月'), ('land', '山')) v(dim, keyword)")
+def src_16_config(s, d):
+    st = Stage(s, "config")
+    s.createDataFrame([('{"_note": "x", "sky": ["云", "月"], "land": ["山"]}',)], "value string").coalesce(1).write.text(f"{st.root}/x")
+    c = S.read_config(s, f"{st.root}/x/*.txt")
+    return s.createDataFrame([(k, w) for k, ws in c.items() for w in ws], "dim string, keyword string")
+
+
 @query("SELECT ref_id FROM canon_value WHERE entry NOT IN ('霜铃花', '月络兰', '正月')")
 def src_18_stop_words(s, d):
     st = Stage(s, "words")
@@ -156,3 +184,32 @@ def sink_09_edit_log(s, d):
 @query("SELECT max(TRY_CAST(ID AS BIGINT)) + 1 AS next_id FROM review_tool")
 def sink_09_next_id(s, d):
     return K.next_id(table(s, d, "review_tool"), "ID")
+
+
+@query("SELECT id, name FROM category")
+def sink_02_versions(s, d):
+    """Two versions are written; the first one stays as it was."""
+    base = Stage(s, "versions").root
+    c = table(s, d, "category").select("id", "name")
+    first = K.write_version(c, base)
+    K.write_version(s.read.parquet(first).where("id < 10"), base)
+    return s.read.parquet(first)
+
+
+@query("SELECT id, name FROM category WHERE level = 1")
+def sink_07_dry_run(s, d):
+    return K.report(table(s, d, "category").where("level = 1").select("id", "name"), None)
+
+
+@query("SELECT 0::BIGINT AS differing")
+def sink_08_model_round_trip(s, d):
+    """A fitted model is written and loaded again; its predictions stay the same."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators import models as M
+
+    x = M.vectors(table(s, d, "embeddings"), "embedding").select("vec_id", "features", (F.col("label") % 2).cast("double").alias("y"), F.lit(1.0).alias("weight"))
+    model, path = M.logistic(5).fit(x), f"{Stage(s, 'model').root}/m"
+    model.write().overwrite().save(path)
+    a, b = model.transform(x).select("vec_id", F.col("p").alias("a")), PipelineModel.load(path).transform(x).select("vec_id", F.col("p").alias("b"))
+    return a.join(b, "vec_id").agg(F.count_if(F.col("a") != F.col("b")).alias("differing"))

@@ -93,7 +93,8 @@ def text_06_emotion_vector(s, d):
     wide = t.select("doc_id", v.alias("v"), size.alias("n")).select("doc_id", *[F.round(F.col(f"v.{x}") / F.col("n"), 6).alias(x) for x in names])
     from ..operators.retrieval import arg_max
 
-    return wide.withColumn("best", arg_max([(x, F.col(x)) for x in names]))
+    nothing = sum((F.abs(F.col(x)) for x in names[1:]), F.abs(F.col(names[0]))) == 0
+    return wide.withColumn("best", F.when(~nothing, arg_max([(x, F.col(x)) for x in names])))  # no hit: no label
 
 
 @query()

@@ -42,11 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Stage:
-    """Written intermediate tables in the shared folder, dropped together when no longer needed."""
+    """Written intermediate tables in the shared folder. They outlive the loss of any executor.
+
+    A result is lazy and may read them until it is written itself, so they stay until `sweep` or the end of the run.
+    """
+
+    made: list[Stage] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Stage.made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -59,6 +65,12 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep() -> None:
+    """Drops all intermediate tables made so far. Results that still read them must have been written before."""
+    while Stage.made:
+        Stage.made.pop().drop()
+
+
 def default_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
     b = (
