@@ -122,6 +122,17 @@ def test_nearest_equals_brute_force(spark):
         assert [got[q, i + 1] for i in range(4)] == np.argsort(-s)[:4].tolist()
 
 
+def test_index_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where("vec_id % 5 = 0")
+    cells = V.fit_cells(e, "vec_id", "embedding", 32)
+    want = {(r.q, r.vec_id) for r in V.nearest(q, e, "vec_id", "embedding", 10).collect()}
+    share = lambda probes, block: len(want & {(r.q, r.vec_id) for r in V.nearest_by_index(q, e, "vec_id", "embedding", 10, cells, probes, block).collect()}) / len(want)
+    assert share(32, 16) == 1.0
+    recall = share(18, 4096)
+    assert recall >= 0.9
+
+
 def test_ranked_has_no_gaps(spark):
     df = spark.range(0, 1000).select(F.xxhash64("id").alias("v"), "id")
     got = V.ranked(df, [F.asc("v"), F.asc("id")]).orderBy("rank").collect()

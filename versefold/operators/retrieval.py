@@ -48,22 +48,8 @@ def arg_max(values: Sequence[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(c == best, F.lit(n)) for n, c in values])
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
-    """q, key, similarity, rank: the k nearest by cosine of every query, against all vectors, the query itself left out.
-
-    Vectors and queries are cut into blocks of at most about `block` rows; every pair of blocks is one matrix product in
-    its own task, and each keeps k candidates a query, so what is shuffled is blocks and k rows a query and block, never
-    pairs. Ties go to the smaller key.
-    """
-    kind = vectors.schema[key].dataType.simpleString()
-    n_v, n_q = vectors.count(), queries.count()
-    bv, bq = max(1, -(-n_v // block)), max(1, -(-n_q // block))
-
-    def packed(df: DataFrame, blocks: int, name: str) -> DataFrame:
-        return df.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name), F.col(key).alias("k"), F.col(vector).alias("v"))
-
-    left = packed(queries, bq, "i").select("i", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("j"), F.lit(True).alias("is_q"), "k", "v")
-    right = packed(vectors, bv, "j").select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("i"), "j", F.lit(False).alias("is_q"), "k", "v")
+def _best(key: str, k: int):
+    """A function of one block of queries and vectors (columns is_q, k, v): the k nearest vectors of each query."""
 
     def best(table: pa.Table) -> pa.Table:
         q = table.filter(table["is_q"])
@@ -86,7 +72,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
                 out["similarity"] += s[i, row].tolist()
         return pa.table(out, schema=pa.schema([("q", table.schema.field("k").type), (key, table.schema.field("k").type), ("similarity", pa.float64())]))
 
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, f"q {kind}, {key} {kind}, similarity double")
+    return best
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+    """q, key, similarity, rank: the k nearest by cosine of every query, against all vectors, the query itself left out.
+
+    Vectors and queries are cut into blocks of at most about `block` rows; every pair of blocks is one matrix product in
+    its own task, and each keeps k candidates a query, so what is shuffled is blocks and k rows a query and block, never
+    pairs. Ties go to the smaller key.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    n_v, n_q = vectors.count(), queries.count()
+    bv, bq = max(1, -(-n_v // block)), max(1, -(-n_q // block))
+
+    def packed(df: DataFrame, blocks: int, name: str) -> DataFrame:
+        return df.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name), F.col(key).alias("k"), F.col(vector).alias("v"))
+
+    left = packed(queries, bq, "i").select("i", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("j"), F.lit(True).alias("is_q"), "k", "v")
+    right = packed(vectors, bv, "j").select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("i"), "j", F.lit(False).alias("is_q"), "k", "v")
+
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(_best(key, k), f"q {kind}, {key} {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -141,3 +147,48 @@ def profile_score(row: dict[str, Column], wanted: dict[str, tuple[list[str], lis
         arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
         parts.append(weights[dim] * F.size(F.array_intersect(row[dim], arr(hard))) + 0.6 * weights[dim] * F.size(F.array_intersect(row[dim], arr(soft))))
     return sum(parts[1:], parts[0])
+
+
+def fit_cells(vectors: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, seed: int = 42) -> np.ndarray:
+    """Centroids of k-means on a bounded sample (at most `sample` rows, the first by a seeded hash); every row is indexed by them."""
+    from .models import KMeans, vectors as as_vectors
+
+    rows = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    unit_rows = rows.select(unit(F.col("v")).alias("v"))
+    return np.array(KMeans(k=cells, seed=seed, maxIter=15).fit(as_vectors(unit_rows, "v")).clusterCenters())
+
+
+def in_cells(df: DataFrame, key: str, vector: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    """key, vector, cell: every row once for each of its `probes` nearest centroids (a broadcast matrix of cells rows)."""
+    value = df.sparkSession.sparkContext.broadcast(centroids)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        c = value.value
+        half = (c * c).sum(1) / 2
+        for b in batches:
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), c.shape[1])
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            cell = np.argsort(half - v @ c.T, axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(np.arange(len(b)), cell.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell.ravel().astype(np.int32))], names=["k", "v", "cell"])
+
+    src = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return src.mapInArrow(run, f"k {kind}, v array<double>, cell int")
+
+
+def nearest_by_index(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, centroids: np.ndarray, probes: int, block: int = 4096) -> DataFrame:
+    """q, key, similarity, rank: approximate `nearest`, which looks only into the `probes` cells nearest to a query.
+
+    Cells larger than `block` are cut by a hash of the key, and queries go to every part, so a cell of a third of all rows
+    is spread; recall grows with probes and is 1 when all cells are probed.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    stored = in_cells(vectors, key, vector, centroids, 1)
+    sizes = stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # at most one row a cell
+    right = stored.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_q"), "k", "v")
+    asked = in_cells(queries, key, vector, centroids, probes).join(F.broadcast(sizes), "cell")
+    left = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_q"), "k", "v")
+    found = left.unionByName(right).groupBy("cell", "part").applyInArrow(_best(key, k), f"q {kind}, {key} {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))

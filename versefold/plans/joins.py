@@ -90,6 +90,14 @@ def join_10_all_pairs_top10(s, d):
     return _nearest(s, d).select("q", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+@query()
+def join_10_indexed_top10(s, d):
+    """Approximate neighbours of every row whose id is divisible by 100, against all rows."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    cells = V.fit_cells(e, "vec_id", "embedding", 32)
+    return V.nearest_by_index(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10, cells, 18)
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 5) AS similarity FROM embeddings")
 def join_11_one_query_vector(s, d):
     e = table(s, d, "embeddings")
