@@ -184,7 +184,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: f
     """id_a < id_b: all pairs of keys whose texts' shingle sets share at least the threshold of their union; equal texts too."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("c"), F.col(f"`{text}`").alias("text"))
     classes = near_classes(rows, n, threshold, bands)
-    keys = rows.select("c", "key")
+    keys = Stage(df.sparkSession, "keys").write(rows.select("c", "key"), "keys")  # not normalized and hashed again for every use
     across = classes.join(keys.withColumnsRenamed({"c": "a", "key": "x"}), "a").join(keys.withColumnsRenamed({"c": "b", "key": "y"}), "b")
     within = bucket_pairs(common_keys(keys, "c"), "c", "key")
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
