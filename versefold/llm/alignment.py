@@ -14,7 +14,7 @@ The items are held-out passages of fixed number; they are broadcast in parts of
 checked by an aggregate before it is collected.
 
 Defined cases: null, empty and blank texts match nothing; repeated documents come out each; a pair of document and item
-comes out once, with its best window; with equal scores the first window counts; null keys of items are left out.
+comes out once, with its best window; with equal scores the first window counts; items that are there twice count once, and null keys of items are left out.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def score(table: Items, code: np.ndarray, offsets: np.ndarray, d: np.ndarray, i:
 
 def _parts(items: DataFrame, key: str, text: str) -> list[tuple[np.ndarray, list[str]]]:
     """The items in parts of bounded size: hash classes of the key, as many as their characters ask for."""
-    normal = items.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("i"), F.coalesce(alnum_key(F.col(f"`{text}`")), F.lit("")).alias("t"))
+    normal = items.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("i"), F.coalesce(alnum_key(F.col(f"`{text}`")), F.lit("")).alias("t")).distinct()
     n = 1 + int((normal.agg(F.sum(F.length("t"))).first()[0] or 0) // MOST_CHARS)
     parts = [normal.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n)]
     return [(np.array([r.i for r in rows], np.int64), [r.t for r in rows]) for rows in parts]

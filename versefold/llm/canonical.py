@@ -154,6 +154,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
     reference: ref_id, field_name, entry, other_names.
     """
+    reference = reference.select("ref_id", "field_name", "entry", "other_names")
     entries = reference.where("entry is not null").select("field_name", F.col("entry").alias("value"), "ref_id")
     exact = values.join(entries, ["field_name", "value"])  # how often each entry occurs as it is
     often = exact.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
