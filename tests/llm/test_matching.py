@@ -176,3 +176,9 @@ def test_items_in_parts(spark, monkeypatch):
     e = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in alignment.leaks(d, "doc_id", "text", e, "item_id", "text").collect()}
     assert got == {(k, j % 8) for k in range(8) for j in (k, k + 7)}
+
+
+def test_numbers_in_marketing_words():
+    assert listings.read("買二送一枝棠芸品種霜鈴花", ["Burgundy", "20枝裝", None, "Length 50厘米"], FLOWERS)[2:4] == (50, 20)
+    assert listings.read("買二送一 枝冷月霜鈴花 每紮12枝", ["紅", None, "50cm", None], FLOWERS)[2:4] == (50, 12)
+    assert ("枝棠芸", 1) in listings.read("買二送一枝棠芸品種霜鈴花", ["Burgundy", "20枝裝", None, "Length 50厘米"], FLOWERS)[4]
