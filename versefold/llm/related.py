@@ -66,7 +66,6 @@ def entity_sets(df: DataFrame, key: str, authors: Column, number: Column) -> Dat
 
 def components(sets: DataFrame, stage: Stage, most_rounds: int = 100) -> DataFrame:
     """entity, label: the component's least entity, for entities that some row ties to another one."""
-    spark = sets.sparkSession
     connectors = sets.where(F.size("entities") > 1).select("entities").distinct().select(F.xxhash64("entities").alias("record"), F.explode("entities").alias("entity"))
     connectors = stage.write(connectors, "connectors")
     labels, before = stage.write(connectors.select("entity", F.col("entity").alias("label")).distinct(), "labels0"), None
