@@ -259,3 +259,18 @@ def test_profile_and_weights(spark):
     assert w == {"a": 0.5, "b": 0.5, "c": 0.0} and V.channel_weights({"a": 1.0}, []) == {"a": 0.0}
     df = spark.createDataFrame([(["x", "y"],)], "d array<string>")
     assert df.select(V.profile_score({"d": F.col("d")}, {"d": (["x"], ["y", "z"])}, {"d": 2.0}).alias("s")).first().s == pytest.approx(3.2)
+
+
+def test_numbered_groups_and_folds(spark):
+    from versefold.operators import models as M
+
+    df = spark.range(0, 5000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"))
+    rows = R.numbered(df, "g", "id", 1, "place", "total").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.g, r.total), []).append(r.place)
+    assert len(rows) == 5000 and all(sorted(p) == list(range(n)) for (_, n), p in groups.items())
+    sizes = M.folds(df, "id", "g", 5).groupBy("g", "fold").count().groupBy("g").agg((F.max("count") - F.min("count")).alias("d")).collect()
+    assert all(r.d <= 1 for r in sizes)
+    split = M.stratified_split(df, "id", "g", 0.2, 3).groupBy("g").agg(F.avg((F.col("split") == "test").cast("int")).alias("s")).collect()
+    assert all(abs(r.s - 0.2) < 0.01 for r in split)

@@ -10,9 +10,11 @@ from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def vectors(df: DataFrame, column: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
@@ -61,16 +63,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return c.crossJoin(F.broadcast(t)).select(label, (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
 
 
-def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> Column:
-    """Stratified folds: places in the order of a seeded hash within each label, modulo k."""
-    return F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1, F.lit(k))
+def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
+    """The rows with a stratified fold: places in the order of a seeded hash within each label, modulo k."""
+    return numbered(df, label, key, seed, "__place", "__total").withColumn("fold", F.pmod("__place", F.lit(k)).cast("int")).drop("__place", "__total")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float, rare: int, seed: int = 42) -> DataFrame:
     """key, label, split: of each label the share `test` by hash order is test; labels of at most `rare` rows are all train."""
-    w = Window.partitionBy(label)
-    place = (F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1) / F.count(F.lit(1)).over(w)
-    return df.select(key, label, F.when((F.count(F.lit(1)).over(w) > rare) & (place < test), "test").otherwise("train").alias("split"))
+    x = numbered(df.select(key, label), label, key, seed, "__place", "__total")
+    return x.select(key, label, F.when((F.col("__total") > rare) & (F.col("__place") / F.col("__total") < test), "test").otherwise("train").alias("split"))
 
 
 def svc(scaled: bool = True, rounds: int = 20) -> Pipeline:
@@ -87,7 +88,7 @@ def logistic(rounds: int = 30) -> Pipeline:
 def out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, make=svc, seed: int = 42) -> DataFrame:
     """key, y, p: predictions of each row by the model that did not see its fold."""
     x = vectors(df.select(key, column, label), column).join(F.broadcast(class_weights(df, label)), label)
-    x = x.withColumn("y", F.col(label).cast("double")).withColumn("fold", folds(df, key, label, k, seed)).select(key, "features", "weight", "y", "fold").persist()
+    x = folds(x.withColumn("y", F.col(label).cast("double")), key, label, k, seed).select(key, "features", "weight", "y", "fold").persist()
     out = None
     for i in range(k):
         part = make().fit(x.where(F.col("fold") != i)).transform(x.where(F.col("fold") == i)).select(key, "y", "p")

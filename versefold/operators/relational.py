@@ -120,6 +120,22 @@ def next_value(c: Column, by: Sequence[str], order: Sequence[Column]) -> Column:
     return F.first(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
 
 
+def numbered(df: DataFrame, by: str, key: str, seed: int, place: str, total: str) -> DataFrame:
+    """Places 0, 1, ... of each group's rows in the order of a seeded hash, and the group's size.
+
+    A group may hold a third of all rows, so no task numbers a whole group: the hash's first bits cut it into 1024 parts,
+    parts are numbered by themselves and shifted by the sizes of the parts before them.
+    """
+    h = F.xxhash64(key, F.lit(seed))
+    parts = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned("__h", 54))
+    sizes = parts.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(by)
+    shift = sizes.select(by, "__b", F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(w).alias(total))
+    local = F.row_number().over(Window.partitionBy(by, "__b").orderBy("__h", key))
+    numbered_parts = parts.withColumn("__r", local).alias("p").join(shift.alias("s"), (F.col(f"p.{by}").eqNullSafe(F.col(f"s.{by}"))) & (F.col("p.__b") == F.col("s.__b")))
+    return numbered_parts.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("__r") - 1 + F.col("__s")).alias(place), F.col(total))
+
+
 # --- aggregates
 
 

@@ -49,7 +49,7 @@ def ml_05_scaled_pipeline(s, d):
 @query()
 def ml_06_folds(s, d):
     t = _two(s, d)
-    return t.select("vec_id", "label", M.folds(t, "vec_id", "label", 5).alias("fold")).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return M.folds(t, "vec_id", "label", 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

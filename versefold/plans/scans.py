@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..session import Stage, table
 from ..sources import readers as S
+from ..sources import stores
 from ..sources import writers as K
 from .registry import query
 
@@ -88,6 +93,43 @@ def src_10_text_files(s, d):
     return S.text_files(s, f"{st.root}/x/*.txt").select(F.regexp_extract("file", r"(part-\d+)", 1).alias("file"), "i", "line")
 
 
+def _local_folder(s, name: str) -> str:
+    """A folder for formats that are one local file; executors must see the shared folder as a file system."""
+    root = Stage(s, name).root
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("this format needs a shared folder that is mounted as a file system")
+    path = root.removeprefix("file://")
+    os.makedirs(path)
+    return path
+
+
+@query("SELECT CAST(ref_id AS BIGINT) AS ref_id, entry FROM canon_value WHERE field_name = '花名' ORDER BY ref_id")
+def src_11_sqlite(s, d):
+    """A table of a SQLite file, read by ranges of rows in parallel, with projection and order."""
+    path = f"{_local_folder(s, 'sqlite')}/x.db"
+    rows = table(s, d, "canon_value").select("ref_id", "field_name", "entry").collect()  # the reference list is fixed and small
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE canon (ref_id INTEGER PRIMARY KEY, field_name TEXT, entry TEXT)")
+        db.executemany("INSERT INTO canon VALUES (?, ?, ?)", [tuple(r) for r in rows])
+    return stores.read_sqlite(s, path, "canon").where("field_name = '花名'").select("ref_id", "entry").orderBy("ref_id")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings WHERE vec_id < 100")
+def src_15_matrix(s, d):
+    """A numpy matrix with a list of keys, read by ranges of rows."""
+    path = f"{_local_folder(s, 'npy')}/m.npy"
+    rows = table(s, d, "embeddings").where("vec_id < 100").select("vec_id", "embedding").orderBy("vec_id").collect()  # a fixture of 100 rows
+    np.save(path, np.array([r.embedding for r in rows], np.float64))
+    m = stores.read_matrix(s, path, [r.vec_id for r in rows])
+    return m.select(F.col("key").alias("vec_id"), F.round(F.col("vector")[0], 5).alias("first"))
+
+
+@query("SELECT 'checkpoint-20' AS folder")
+def src_22_newest_checkpoint(s, d):
+    names = [f"checkpoint-{r.ref_id % 20 + 1}" for r in table(s, d, "canon_value").select("ref_id").collect()]
+    return s.createDataFrame([(S.newest_checkpoint(names),)], "folder string")
+
+
 HTML = "'<div>' || name || '<br/>顏色：<b>' || coalesce(color, '') || '</b><br>產地:' || coalesce(origin, '?') || '</div><a href=\"https://x.invalid/SalePage/Index/' || id || '\">'"
 
 
