@@ -46,7 +46,7 @@ def ml_05_scaled_pipeline(s, d):
     return M.out_of_fold(_two(s, d), "vec_id", "embedding", "label", 2, M.logistic)
 
 
-@query()
+@query("SELECT label, CAST(fold AS INTEGER) AS fold, count(*) AS n FROM (SELECT label % 3 AS label, (row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id) - 1) % 5 AS fold FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2")
 def ml_06_folds(s, d):
     t = _two(s, d)
     return M.folds(t, "vec_id", "label", 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -82,7 +82,7 @@ def ml_10_class_weights(s, d):
     return M.class_weights(table(s, d, "embeddings"), "label").select("label", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query("SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 'positive' ELSE 'negative' END AS label, least(abs(CAST(embedding[1] AS DOUBLE)), 1) AS confidence FROM embeddings")
 def ml_11_batched_inference(s, d):
     """Labels and confidences from an injected scoring function, by Arrow batches."""
     import pandas as pd

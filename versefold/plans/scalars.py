@@ -82,7 +82,10 @@ def fn_12_sentences(s, d):
     return table(s, d, "documents").where("lang = 'zh'").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
 
 
-@query()
+_PART = r"list_filter(list_transform(regexp_extract_all(赏析, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^何以|旧本作|今从前者|或云'))"
+
+
+@query(f"SELECT ID, CASE WHEN len({_PART}) > 0 THEN array_to_string({_PART}, '') ELSE 赏析 END AS kept FROM review_tool")
 def fn_13_kept_sentences(s, d):
     return table(s, d, "review_tool").select("ID", X.kept_sentences(F.col("赏析"), ["^何以", "旧本作", "今从前者", "或云"]).alias("kept"))
 

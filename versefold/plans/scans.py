@@ -23,7 +23,7 @@ def src_01_csv(s, d):
     return S.read_csv(s, f"{st.root}/x").select("ID", F.col("诗名"), "正文")
 
 
-@query()
+@query("SELECT CAST(ref_id AS VARCHAR) AS ref_id, entry FROM canon_value")
 def src_02_any_encoding(s, d):
     st = Stage(s, "enc")
     K.write_csv(table(s, d, "canon_value").select(F.col("ref_id").cast("string"), "entry"), f"{st.root}/x")

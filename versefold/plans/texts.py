@@ -65,7 +65,7 @@ def text_03_tfidf(s, d):
     return x.select("doc_id", "term", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"SELECT doc_id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM ({TFIDF})) WHERE rank <= 20")
 def text_03_tfidf_top20(s, d):
     return R.top_k(text_03_tfidf(s, d), ["doc_id"], [F.desc("score"), F.asc("term")], 20)
 
