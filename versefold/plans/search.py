@@ -79,6 +79,7 @@ def ret_06_embedding_channel(s, d):
     return V.ranked(c, [F.desc_nulls_last("c"), F.asc("vec_id")]).select("vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+# Weights of the four channels.
 BASE = {"embedding": 0.30, "imagery": 0.30, "sentiment": 0.25, "dimension": 0.15}
 
 

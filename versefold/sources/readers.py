@@ -180,7 +180,11 @@ def lexicon_table(spark: SparkSession, lexicon: dict[str, dict[str, float]] | di
 # --- pages and addresses
 
 
-def url_key(url: Column, patterns: Sequence[str] = (r"/SalePageCategory/(\d+)", r"/page/(\d+)", r"/SalePage/Index/(\d+)"), default: str = "unknown") -> Column:
+# Where shop addresses carry their keys.
+URL_KEYS = (r"/SalePageCategory/(\d+)", r"/page/(\d+)", r"/SalePage/Index/(\d+)")
+
+
+def url_key(url: Column, patterns: Sequence[str] = URL_KEYS, default: str = "unknown") -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns], F.lit(default))
 
 
