@@ -3,7 +3,9 @@
 Shingles are hashed once; under each of `bands` permutations both the smallest and the largest value are kept, so that
 one evaluation of the permutation yields two signature values, and the pair (minimum, maximum) is the permutation's
 band. Two records with Jaccard similarity s share a given band with a probability near s squared, whatever else they
-hold, so all bands are missed with (1 - s^2)^bands: 1e-4 for s = 0.6 and 21 bands, less for any larger s.
+hold, so all bands are missed with (1 - s^2)^bands: 4e-6 for s = 0.6 and 28 bands, less for any larger s.
+Hashed shingles of alphabetic text are longer than those compared in the end (see weighted_shingles): three letters are
+shared by most texts of a language, and their buckets would hold all of them.
 
 Records of equal text are one class, named by the text's 64-bit hash: repeats within a batch are dropped before anything
 is shuffled, so a group of copies that holds a third of all rows leaves a few rows. Bands are matched by one shuffle of
