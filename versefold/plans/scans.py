@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import sqlite3
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
@@ -114,14 +113,22 @@ def src_11_sqlite(s, d):
     return stores.read_sqlite(s, path, "canon").where("field_name = '花名'").select("ref_id", "entry").orderBy("ref_id")
 
 
+def _matrix(s, d):
+    """The whole table as shards of numpy matrices with their keys, written by the executors and read by ranges of rows."""
+    path = _local_folder(s, "npy")
+    stores.write_shards(table(s, d, "embeddings"), "vec_id", "embedding", path)
+    return stores.read_shards(s, path).select(F.col("key").alias("vec_id"), F.round(F.col("vector")[0], 5).alias("first"))
+
+
 @query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings WHERE vec_id < 100")
 def src_15_matrix(s, d):
-    """A numpy matrix with a list of keys, read by ranges of rows."""
-    path = f"{_local_folder(s, 'npy')}/m.npy"
-    rows = table(s, d, "embeddings").where("vec_id < 100").select("vec_id", "embedding").orderBy("vec_id").collect()  # a fixture of 100 rows
-    np.save(path, np.array([r.embedding for r in rows], np.float64))
-    m = stores.read_matrix(s, path, [r.vec_id for r in rows])
-    return m.select(F.col("key").alias("vec_id"), F.round(F.col("vector")[0], 5).alias("first"))
+    """The first ids of the matrix, as the SQL has them; src_15_matrix_all has all rows."""
+    return _matrix(s, d).where("vec_id < 100")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings")
+def src_15_matrix_all(s, d):
+    return _matrix(s, d)
 
 
 @query("SELECT 'checkpoint-20' AS folder")
