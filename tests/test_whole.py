@@ -1,6 +1,7 @@
 """Queries and operators do the whole job, not a part of it."""
 
 import numpy as np
+import pytest
 
 from versefold import plans
 from versefold.session import table
@@ -17,3 +18,15 @@ def test_matrix_shards(spark, small, tmp_path):
 
 def test_matrix_has_all_rows(spark, small):
     assert plans.QUERIES["src_15_matrix_all"](spark, small).count() == table(spark, small, "embeddings").count() > 100
+
+
+@pytest.mark.parametrize("name,of", [("sort_02_numeric_first_all", "review_tool"), ("sort_03_mixed_direction_all", "product"), ("sort_04_verdict_rank_all", "review_tool")])
+def test_sorts_keep_all_rows_in_order(spark, small, name, of):
+    got = [r["rank"] for r in plans.QUERIES[name](spark, small).collect()]
+    assert got == list(range(1, table(spark, small, of).count() + 1)) and len(got) > 100
+
+
+def test_all_months_in_order(spark, small):
+    got = plans.QUERIES["sort_01_domain_order_all"](spark, small).collect()
+    assert [r["月份"] for r in got[:12]] == "正月 二月 三月 四月 五月 六月 七月 八月 九月 十月 十一月 十二月".split()
+    assert sum(r.n for r in got) == table(spark, small, "review_tool").count() and got[-1]["月份"] is None

@@ -87,29 +87,62 @@ def win_11_countdown(s, d):
 # --- sorts, limits, top-k
 
 
+def _in_order(df, order):
+    """All rows in order with their place, by range partitions."""
+    return V.ranked(df, order).withColumn("rank", F.col("rank").cast("bigint")).orderBy("rank")
+
+
 @query("SELECT 月份, n FROM (SELECT 月份, count(*) AS n FROM review_tool WHERE 月份 IN ('正月', '二月', '三月') GROUP BY 1)")
 def sort_01_domain_order(s, d):
     order = F.create_map(*[F.lit(x) for kv in (("正月", 1), ("二月", 2), ("三月", 3)) for x in kv])
     return table(s, d, "review_tool").where(F.col("月份").isin("正月", "二月", "三月")).groupBy("月份").agg(n()).orderBy(F.try_element_at(order, F.col("月份")))
 
 
+MONTHS = ("正月", "二月", "三月", "四月", "五月", "六月", "七月", "八月", "九月", "十月", "十一月", "十二月")
+
+
+@query(f"SELECT 月份, n, row_number() OVER (ORDER BY coalesce(list_position({list(MONTHS)}, 月份), 13), 月份 NULLS LAST) AS rank FROM (SELECT 月份, count(*) AS n FROM review_tool GROUP BY 1)")
+def sort_01_domain_order_all(s, d):
+    """All values: the twelve months in their order, any others after them, null last."""
+    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in zip(MONTHS, range(1, 13)) for x in kv]), F.col("月份")), F.lit(13))
+    return _in_order(table(s, d, "review_tool").groupBy("月份").agg(n("rows")), [place, F.asc_nulls_last("月份")]).select("月份", F.col("rows").alias("n"), "rank")
+
+
 @query("SELECT ID FROM review_tool ORDER BY TRY_CAST(ID AS INTEGER) IS NULL, TRY_CAST(ID AS INTEGER), ID LIMIT 100")
 def sort_02_numeric_first(s, d):
     num = F.expr("try_cast(ID as int)")
     return table(s, d, "review_tool").select("ID").orderBy(num.isNull(), num, "ID").limit(100)
 
 
+@query("SELECT ID, row_number() OVER (ORDER BY TRY_CAST(ID AS INTEGER) IS NULL, TRY_CAST(ID AS INTEGER), ID) AS rank FROM review_tool")
+def sort_02_numeric_first_all(s, d):
+    num = F.expr("try_cast(ID as int)")
+    return _in_order(table(s, d, "review_tool").select("ID"), [num.isNull(), num, F.asc_nulls_last("ID")]).select("ID", "rank")
+
+
 @query("SELECT id, price, name FROM product WHERE price IS NOT NULL ORDER BY supplier_id ASC, price DESC, id ASC LIMIT 100")
 def sort_03_mixed_direction(s, d):
     return table(s, d, "product").where("price is not null").orderBy(F.asc_nulls_last("supplier_id"), F.desc("price"), F.asc("id")).limit(100).select("id", "price", "name")
 
 
+@query("SELECT id, price, name, row_number() OVER (ORDER BY supplier_id ASC NULLS LAST, price DESC NULLS LAST, id ASC) AS rank FROM product")
+def sort_03_mixed_direction_all(s, d):
+    t = table(s, d, "product").select("supplier_id", "id", "price", "name")
+    return _in_order(t, [F.asc_nulls_last("supplier_id"), F.desc_nulls_last("price"), F.asc_nulls_last("id")]).select("id", "price", "name", "rank")
+
+
 @query("SELECT ID, 审核状态 FROM review_tool ORDER BY CASE 审核状态 WHEN '⚑' THEN 0 WHEN '✓' THEN 1 ELSE 2 END, ID LIMIT 50")
 def sort_04_verdict_rank(s, d):
     v = F.when(F.col("审核状态") == "⚑", 0).when(F.col("审核状态") == "✓", 1).otherwise(2)
     return table(s, d, "review_tool").orderBy(v, "ID").limit(50).select("ID", "审核状态")
 
 
+@query("SELECT ID, 审核状态, row_number() OVER (ORDER BY CASE 审核状态 WHEN '⚑' THEN 0 WHEN '✓' THEN 1 ELSE 2 END, ID) AS rank FROM review_tool")
+def sort_04_verdict_rank_all(s, d):
+    v = F.when(F.col("审核状态") == "⚑", 0).when(F.col("审核状态") == "✓", 1).otherwise(2)
+    return _in_order(table(s, d, "review_tool").select("ID", "审核状态"), [v, F.asc_nulls_last("ID")]).select("ID", "审核状态", "rank")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
 def sort_05_global_top_k(s, d):
     return table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(25)
