@@ -30,3 +30,11 @@ def test_all_months_in_order(spark, small):
     got = plans.QUERIES["sort_01_domain_order_all"](spark, small).collect()
     assert [r["月份"] for r in got[:12]] == "正月 二月 三月 四月 五月 六月 七月 八月 九月 十月 十一月 十二月".split()
     assert sum(r.n for r in got) == table(spark, small, "review_tool").count() and got[-1]["月份"] is None
+
+
+def test_bigrams_of_whole_texts(spark, tmp_path):
+    long = "".join(chr(0x4E00 + i) for i in range(60))
+    rows = [(1, long, "verse"), (2, "一", "verse"), (3, "", "prose"), (4, None, None), (5, "ab，c", "english")]
+    spark.createDataFrame(rows, "item_id bigint, text string, kind string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    got = {r.item_id: r.grams for r in plans.QUERIES["ret_03_query_tokens_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: [long[i : i + 2] for i in range(59)], 2: [], 3: [], 4: [], 5: ["ab", "b，"]}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import fields as X
+from ..functions.text import grams
 from ..operators import lexicon as L
 from ..operators import relational as R
 from ..operators import retrieval as V
@@ -41,6 +43,13 @@ def ret_03_query_tokens(s, d):
     return t.select("item_id", F.array_join(F.filter(grams, lambda g: ~g.isin("孤灯", "云月")), " ").alias("grams"))
 
 
+@query(r"SELECT item_id, list_filter(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), lambda g: regexp_matches(g, '^[\p{L}\p{N}_]')) AS grams FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g') AS t FROM eval_item)")
+def ret_03_query_tokens_all(s, d):
+    """All runs of two characters of each whole text that begin with a letter or digit; none for shorter texts."""
+    terms = F.transform(grams(X.trimmed(F.coalesce("text", F.lit(""))), 2, 2), lambda x: x["term"])
+    return table(s, d, "eval_item").select("item_id", F.filter(terms, lambda g: g.rlike(r"^[\p{L}\p{N}_]")).alias("grams"))
+
+
 def _channel(s, d, first: int, target: list[float]):
     e = table(s, d, "embeddings")
     v = F.transform(F.slice("embedding", first, len(target)), lambda x: x.cast("double"))
