@@ -38,3 +38,10 @@ def test_bigrams_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "item_id bigint, text string, kind string").write.parquet(f"{tmp_path}/eval_item.parquet")
     got = {r.item_id: r.grams for r in plans.QUERIES["ret_03_query_tokens_all"](spark, str(tmp_path)).collect()}
     assert got == {1: [long[i : i + 2] for i in range(59)], 2: [], 3: [], 4: [], 5: ["ab", "b，"]}
+
+
+def test_sentences_of_all_languages(spark, tmp_path):
+    rows = [(1, "一二三四。五六七八！", "zh"), (2, "一二三四。五六七八！", "zh-hant"), (3, "一二三四。", None), (4, None, "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.parts for r in plans.QUERIES["fn_12_sentences_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "一二三四。¦五六七八！", 2: "一二三四。¦五六七八！", 3: "一二三四。", 4: None}

@@ -82,6 +82,12 @@ def fn_12_sentences(s, d):
     return table(s, d, "documents").where("lang = 'zh'").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4), '¦') AS parts FROM documents")
+def fn_12_sentences_all(s, d):
+    """Documents of every language, also of none."""
+    return table(s, d, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
+
+
 _PART = r"list_filter(list_transform(regexp_extract_all(赏析, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^何以|旧本作|今从前者|或云'))"
 
 
