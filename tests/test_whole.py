@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from versefold import plans
+from versefold.operators import models as M
 from versefold.session import table
 from versefold.sources import stores
 
@@ -45,3 +47,12 @@ def test_sentences_of_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.parts for r in plans.QUERIES["fn_12_sentences_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "一二三四。¦五六七八！", 2: "一二三四。¦五六七八！", 3: "一二三四。", 4: None}
+
+
+def test_topics_are_searched_over_all_documents(spark):
+    assert M.elbow([9.0, 8.5, 5.0, 4.9]) == 2 and M.elbow([3.0]) == 0
+    df = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(30)], "k int, t array<string>")
+    docs, top = M.lda(df, "k", F.col("t"), [2, 3], rounds=3, final=5)
+    assert docs.count() == 30 and top.count() in (2, 3)
+    side = {(r.k % 2, r.dominant_topic) for r in docs.collect()}
+    assert {a for a, _ in side} == {0, 1}

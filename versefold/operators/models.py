@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -13,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .relational import numbered
 
 
@@ -20,15 +23,37 @@ def vectors(df: DataFrame, column: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
 
 
-def lda(df: DataFrame, key: str, toks: Column, topics: int, vocabulary: int = 2000, rounds: int = 15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(key, topic_i.., dominant_topic, dominant_topic_score) and (topic_id, top_words) of an online LDA."""
+def together(f: Callable, items: Sequence, threads: int = 8) -> list:
+    """f of each item, in their order; the jobs of up to `threads` items run at the same time."""
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(f, items, chunksize=1)
+
+
+def elbow(values: Sequence[float]) -> int:
+    """Place of the value after the largest fall, from 0; 0 where there is one value only."""
+    falls = [x - y for x, y in zip(values, values[1:])]
+    return falls.index(max(falls)) + 1 if falls else 0
+
+
+def lda(df: DataFrame, key: str, toks: Column, topics: Sequence[int], vocabulary: int = 2000, rounds: int = 30, final: int = 50, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(key, topic_i.., dominant_topic, dominant_topic_score) and (topic_id, top_words) of an LDA by expectation maximization, which uses all documents in every round.
+
+    topics: the numbers of topics to try with `rounds` rounds each; the one after the largest fall of perplexity is fitted with `final` rounds.
+    """
     t = df.select(key, toks.alias("t")).where(F.size("t") > 0)
     cv = CountVectorizer(inputCol="t", outputCol="features", vocabSize=vocabulary, minDF=2).fit(t)
-    x = cv.transform(t)
-    m = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online").fit(x)
+    x = cv.transform(t).select(key, "features").persist()
+    shared_dir(df.sparkSession)  # the rounds cut their lineage there
+    of = lambda k, n: LDA(k=k, maxIter=n, seed=seed, optimizer="em").fit(x)
+    try:
+        x.count()  # in memory before the jobs that share it
+        k = topics[elbow(together(lambda k: math.exp(of(k, rounds).logPerplexity(x)), topics))] if len(topics) > 1 else topics[0]
+        m = of(k, final)
+    finally:
+        x.unpersist()
     d = m.transform(x).select(key, vector_to_array("topicDistribution").alias("p"))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
-    docs = d.select(key, *[F.col("p")[i].alias(f"topic_{i}") for i in range(topics)], best.alias("dominant_topic"), F.array_max("p").alias("dominant_topic_score"))
+    docs = d.select(key, *[F.col("p")[i].alias(f"topic_{i}") for i in range(k)], best.alias("dominant_topic"), F.array_max("p").alias("dominant_topic_score"))
     words = F.array(*[F.lit(w) for w in cv.vocabulary])  # at most `vocabulary` words
     top = m.describeTopics(15).select(F.col("topic").alias("topic_id"), F.transform("termIndices", lambda i: F.get(words, i)).alias("top_words"))
     return docs, top

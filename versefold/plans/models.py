@@ -13,12 +13,12 @@ from .registry import query
 
 @query()
 def ml_01_lda_topics(s, d):
-    return M.lda(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")), 7)[0]
+    return M.lda(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")), range(4, 13))[0]
 
 
 @query()
 def ml_01_lda_keywords(s, d):
-    return M.lda(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")), 7)[1]
+    return M.lda(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")), range(4, 13))[1]
 
 
 @query()
