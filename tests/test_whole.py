@@ -56,3 +56,19 @@ def test_topics_are_searched_over_all_documents(spark):
     assert docs.count() == 30 and top.count() in (2, 3)
     side = {(r.k % 2, r.dominant_topic) for r in docs.collect()}
     assert {a for a, _ in side} == {0, 1}
+
+
+def test_clusters_are_found_above_six(spark):
+    rows = [(i, [10.0 * (i % 9 == j) + 0.01 * (i // 9) for j in range(9)]) for i in range(90)]
+    out, k, score = M.kmeans_search(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 8, 10, starts=3)
+    assert k == 9 and score > 0.9 and out.count() == 90
+
+
+def test_predictions_of_all_labels_by_five_folds(spark, tmp_path, monkeypatch):
+    seen = []
+    real = M.out_of_fold
+    monkeypatch.setattr(M, "out_of_fold", lambda df, key, column, label, k, *a: seen.append(k) or real(df, key, column, label, k, *a))
+    rows = [(i, [float(i % 10 == j) for j in range(10)], i % 10) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.QUERIES["ml_05_scaled_pipeline"](spark, str(tmp_path)).collect()
+    assert seen == [5] and len(got) == 100 and all(r.p == r.y == r.vec_id % 10 for r in got)

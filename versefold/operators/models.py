@@ -59,15 +59,17 @@ def lda(df: DataFrame, key: str, toks: Column, topics: Sequence[int], vocabulary
     return docs, top
 
 
-def kmeans_search(df: DataFrame, key: str, column: str, low: int, high: int, seed: int = 42) -> tuple[DataFrame, int, float]:
-    """(key, cluster), best k and its silhouette: k from low to high; the data are read from memory after the first."""
+def kmeans_search(df: DataFrame, key: str, column: str, low: int, high: int, seed: int = 42, starts: int = 10) -> tuple[DataFrame, int, float]:
+    """(key, cluster), best k and its silhouette: k from low to high, for each k the start of least cost; the data are read from memory after the first."""
     x = vectors(df.select(key, column), column).select(key, "features").persist()
     ev = ClusteringEvaluator()
     best = None
     try:
-        for k in range(low, high + 1):
-            out = KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x)
-            score = ev.evaluate(out)
+        x.count()  # in memory before the jobs that share it
+        ks = range(low, high + 1)
+        tried = together(lambda a: (m := KMeans(k=a[0], seed=seed + a[1], maxIter=20).fit(x), m.summary.trainingCost), [(k, i) for k in ks for i in range(starts)])
+        outs = [min(tried[i : i + starts], key=lambda a: a[1])[0].transform(x) for i in range(0, len(tried), starts)]
+        for k, out, score in zip(ks, outs, together(ev.evaluate, outs)):
             if best is None or score > best[2] + 1e-12:
                 best = (out.select(key, F.col("prediction").alias("cluster")), k, score)
     finally:
@@ -114,9 +116,11 @@ def out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, make=s
     """key, y, p: predictions of each row by the model that did not see its fold."""
     x = vectors(df.select(key, column, label), column).join(F.broadcast(class_weights(df, label)), label)
     x = folds(x.withColumn("y", F.col(label).cast("double")), key, label, k, seed).select(key, "features", "weight", "y", "fold").persist()
+    x.count()  # in memory before the jobs that share it
+    models = together(lambda i: make().fit(x.where(F.col("fold") != i)), range(k))
     out = None
-    for i in range(k):
-        part = make().fit(x.where(F.col("fold") != i)).transform(x.where(F.col("fold") == i)).select(key, "y", "p")
+    for i, m in enumerate(models):
+        part = m.transform(x.where(F.col("fold") == i)).select(key, "y", "p")
         out = part if out is None else out.unionByName(part)
     return out
 

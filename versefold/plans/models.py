@@ -23,7 +23,7 @@ def ml_01_lda_keywords(s, d):
 
 @query()
 def ml_02_kmeans(s, d):
-    out, k, score = M.kmeans_search(table(s, d, "embeddings"), "vec_id", "embedding", 3, 6)
+    out, k, score = M.kmeans_search(table(s, d, "embeddings"), "vec_id", "embedding", 3, 12)
     return out.select("vec_id", "cluster", F.lit(k).alias("k"), F.lit(round(score, 4)).alias("silhouette"))
 
 
@@ -32,18 +32,22 @@ def ml_03_hierarchical(s, d):
     return M.hierarchical(table(s, d, "embeddings"), "vec_id", "embedding", 8)
 
 
+def _labelled(s, d):
+    return table(s, d, "embeddings").where("label is not null").select("vec_id", "embedding", "label")
+
+
 def _two(s, d):
     return table(s, d, "embeddings").where("label is not null").select("vec_id", "embedding", (F.col("label") % 3).alias("label"))
 
 
 @query()
 def ml_04_linear_svc(s, d):
-    return M.out_of_fold(_two(s, d), "vec_id", "embedding", "label", 2)
+    return M.out_of_fold(_labelled(s, d), "vec_id", "embedding", "label", 5)
 
 
 @query()
 def ml_05_scaled_pipeline(s, d):
-    return M.out_of_fold(_two(s, d), "vec_id", "embedding", "label", 2, M.logistic)
+    return M.out_of_fold(_labelled(s, d), "vec_id", "embedding", "label", 5, M.logistic)
 
 
 @query("SELECT label, CAST(fold AS INTEGER) AS fold, count(*) AS n FROM (SELECT label % 3 AS label, (row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id) - 1) % 5 AS fold FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2")
@@ -69,8 +73,8 @@ def ml_09_ablation(s, d):
     """Macro F1 of feature prefixes; the best one is marked."""
     rows = None
     for n in (4, 16, 64):
-        t = _two(s, d).withColumn("embedding", F.slice("embedding", 1, n))
-        p = M.out_of_fold(t, "vec_id", "embedding", "label", 2, M.logistic)
+        t = _labelled(s, d).withColumn("embedding", F.slice("embedding", 1, n))
+        p = M.out_of_fold(t, "vec_id", "embedding", "label", 5, M.logistic)
         f1 = R.classification_report(p, "y", "p").agg(F.avg("f1").alias("macro_f1")).select(F.lit(n).alias("features"), F.round("macro_f1", 4).alias("macro_f1"))
         rows = f1 if rows is None else rows.unionByName(f1)
     best = rows.agg(F.max("macro_f1").alias("best"))
