@@ -1,17 +1,24 @@
 """Near-duplicate records by min-max hashing (problem 6).
 
-Shingles are hashed once; under each of `bands` permutations both the smallest and the largest value are kept, so that
-one evaluation of the permutation yields two signature values, and the pair (minimum, maximum) is the permutation's
-band. Two records with Jaccard similarity s share a given band with a probability near s squared, whatever else they
-hold, so all bands are missed with (1 - s^2)^bands: 4e-6 for s = 0.6 and 28 bands, less for any larger s.
-Hashed shingles of alphabetic text are longer than those compared in the end (see weighted_shingles): three letters are
-shared by most texts of a language, and their buckets would hold all of them.
+The sets that are compared in the end, all runs of n = 3 adjacent characters, are the sets that are hashed, whatever the
+alphabet. Under each of `permutations` permutations both the smallest and the largest value are kept, so that one
+evaluation of the permutation gives two signature values; an unbiased estimate of the similarity is the share of equal
+values. The 2 * 64 values are used twice:
+
+* banding: bands of `rows` = 3 consecutive values, `bands` = 28 of them. Two records of similarity s share a band with
+  1 - (1 - s^3)^28: all but 0.11 % at s = 0.6, all but 0.05 % at 0.62, less than 1e-5 at 0.75.
+* a sketch of one bit of each of the 128 values. Pairs that share a band are compared by the number of equal bits, whose
+  mean is 128 (1 + s) / 2; only from 3.5 deviations below the threshold's mean on (86 of 128 for 0.6, so that 0.02 % are
+  lost) does a pair become a candidate. Unrelated texts of one alphabet, which share common shingles, fall out in numpy.
+
+Every candidate is then compared exactly, by whole sets of shingles.
 
 Records of equal text are one class, named by the text's 64-bit hash: repeats within a batch are dropped before anything
-is shuffled, so a group of copies that holds a third of all rows leaves a few rows. Bands are matched by one shuffle of
-(band, class); only buckets of two or more classes go on. A bucket's pairs are made by blocks of bounded size, each pair
-of blocks a join key of its own. Each candidate pair is then compared exactly, by whole sets of shingles, and classes
-become pairs of keys at the very end.
+is shuffled, so a group of copies that holds a third of all rows leaves a row a batch. Bands are matched by one shuffle
+of (bucket, class, sketch), sorted within partitions and read as a stream: nothing is collected for a bucket but the
+bucket itself. Bands that are hot are known beforehand from the classes whose hash falls into 1/64 (this only lays out
+the work, it decides about no pair): their members are cut into blocks, and each pair of blocks is a bucket of its own, so
+that a band of any size is spread over the cluster in buckets of some BLOCK rows. No bucket is capped.
 
 Defined cases: rows with a null or blank body are left out by the caller; a text shorter than a shingle has no shingles
 and pairs only with equal texts if it is not empty. Ties do not occur: the result is all pairs from the threshold on.
@@ -23,14 +30,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stage
+from .related import components
 
 _SEED = 20240229
-#: Weights of a character of a large and of a small alphabet in a hashed shingle, and what a shingle must weigh.
-DENSE, SPARSE, NEED = 7, 3, 21
+#: Weights of a character of a large and of a small alphabet in a weighted shingle (seeds of alignment).
+DENSE, SPARSE = 7, 3
+#: Members of a block of a hot band; bands with more than twice as many are cut. SAMPLE: one class in so many tells which.
+BLOCK, SAMPLE = 2048, 64
+#: Hot bands that are known to every task at most, the largest first; 12 bytes each.
+MOST_HOT = 200_000
+#: Pairs of one numpy step.
+STEP = 1 << 20
 
 
 def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,51 +81,172 @@ def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndar
     return h ^ (h >> np.uint64(32)), start, length, count, code
 
 
-def hashed_shingles(texts: list[str], need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's shingles of three ideographs or seven letters, and their numbers."""
-    h, _, _, count, _ = weighted_shingles(texts, need, True)
-    return h, count
+def shingle_hashes(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of each text's runs of n adjacent characters, and their numbers."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    count = np.maximum(lens - n + 1, 0)
+    if not count.any():
+        return np.zeros(0, np.uint32), count
+    h = np.zeros(len(code) - n + 1, np.uint64)
+    for k in range(n):
+        h ^= code[k : len(code) - n + 1 + k]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(code))  # characters from here to the text's end
+    return (h[left[: len(h)] >= n] >> np.uint64(32)).astype(np.uint32), count
 
 
-def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of h -> (a h + b) mod 2^64, whose high bits are used."""
+def multipliers(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and addends of h -> (a h + b) mod 2^32."""
     rng = np.random.default_rng(_SEED)
-    a = rng.integers(0, 2**63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, bands, dtype=np.uint64)
+    a = rng.integers(0, 2**31, permutations, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, rng.integers(0, 2**32, permutations, dtype=np.uint32)
 
 
-def band_hashes(texts: list[str], bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """For texts with shingles: their numbers, and a matrix (bands, texts) of hashed pairs (minimum, maximum)."""
-    h, count = hashed_shingles(texts)
+def signature(texts: list[str], n: int = 3, permutations: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For texts with shingles: their numbers, and a matrix (2 permutations, texts): minimum and maximum of each permutation in turn."""
+    h, count = shingle_hashes(texts, n)
     rows = np.flatnonzero(count)
-    out = np.empty((bands, len(rows)), np.int64)
+    out = np.empty((2 * permutations, len(rows)), np.uint32)
     if len(rows):
         start = np.concatenate(([0], np.cumsum(count[rows])[:-1]))
-        for i, (a, b) in enumerate(zip(*permutations(bands))):
-            x = h * a + b
-            x ^= x >> np.uint64(31)
-            low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
-            mixed = (low * np.uint64(0x9E3779B97F4A7C15) ^ high) * np.uint64(0x94D049BB133111EB) + np.uint64(i)
-            out[i] = (mixed ^ (mixed >> np.uint64(30))).view(np.int64)
+        x = np.empty_like(h)
+        for i, (a, b) in enumerate(zip(*multipliers(permutations))):
+            np.multiply(h, a, out=x)
+            x += b
+            np.minimum.reduceat(x, start, out=out[2 * i])
+            np.maximum.reduceat(x, start, out=out[2 * i + 1])
     return rows, out
 
 
-def signatures(texts: DataFrame, bands: int) -> DataFrame:
-    """band BIGINT, c BIGINT: of each different text with a shingle, from columns c and text."""
+def band_hashes(values: np.ndarray, bands: int, rows: int = 3) -> np.ndarray:
+    """(bands, texts) of int64: each band's `rows` consecutive signature values, hashed together with its number."""
+    if bands * rows > len(values):
+        raise ValueError(f"{bands} bands of {rows} need {bands * rows} values, there are {len(values)}")
+    out = np.empty((bands, values.shape[1]), np.int64)
+    for i in range(bands):
+        x = np.full(values.shape[1], i + 1, np.uint64)
+        for v in values[i * rows : (i + 1) * rows]:
+            x = (x ^ v) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+        out[i] = (x * np.uint64(0x94D049BB133111EB)).view(np.int64)
+    return out
+
+
+def sketches(values: np.ndarray) -> np.ndarray:
+    """(texts, 2) of uint64: one bit of each of 128 signature values; fewer leave zeros."""
+    bits = np.zeros((values.shape[1], 128), np.uint8)
+    mixed = values * np.uint32(0x9E3779B1)
+    bits[:, : len(values)] = (mixed >> np.uint32(31)).T[:, :128]
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def least_agreement(threshold: float, permutations: int) -> int:
+    """Equal bits of a sketch that a candidate must have: 3.5 deviations below the mean of pairs right at the threshold."""
+    bits, p = min(128, 2 * permutations), (1 + threshold) / 2
+    return 128 - bits + int(bits * p - 3.5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
+    c, first = np.unique(np.asarray(batch.column(0)), return_index=True)
+    return c, batch.column(1).take(pa.array(first)).to_pylist()
+
+
+def hot_bands(texts: DataFrame, n: int, permutations: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes with more than some 2 * BLOCK members, sorted, and the number of blocks of each; see the module's text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t = _distinct(batch)
+            some, values = signature(t, n, permutations)
+            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(values, bands, rows).T.ravel()), pa.array(np.repeat(c[some], bands))], names=["band", "c"])
+
+    part = texts.select("c", "text").where(F.pmod(F.xxhash64("c"), F.lit(SAMPLE)) == 0).mapInArrow(run, "band bigint, c bigint")
+    counts = part.groupBy("band").agg(F.approx_count_distinct("c", 0.1).alias("n")).where(F.col("n") * SAMPLE > 2 * BLOCK)
+    found = sorted((r.band, -(-r.n * SAMPLE // BLOCK)) for r in counts.orderBy(F.desc("n"), "band").limit(MOST_HOT).collect())
+    return np.array([b for b, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+
+
+def buckets(texts: DataFrame, n: int, permutations: int, bands: int, rows: int) -> DataFrame:
+    """bucket, c, s1, s2 BIGINT, side TINYINT: of each different text with a shingle, from columns c and text.
+
+    Members of sides 1 and 2 are paired with each other, members of side 0 among themselves. A hot band's member of block
+    i is in the buckets (i, j) of all other blocks j, on the side of its block, and in (i, i).
+    """
+    hot, blocks = hot_bands(texts, n, permutations, bands, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, first = np.unique(np.asarray(batch.column(0)), return_index=True)
-            rows, out = band_hashes(batch.column(1).take(pa.array(first)).to_pylist(), bands)
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(out.T.ravel()), pa.array(np.repeat(c[rows], bands))], names=["band", "c"])
+            c, t = _distinct(batch)
+            some, values = signature(t, n, permutations)
+            if not len(some):
+                continue
+            band, who = band_hashes(values, bands, rows).T.ravel(), np.repeat(np.arange(len(some)), bands)
+            side = np.zeros(len(band), np.int8)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, band), len(hot) - 1)
+                is_hot = hot[at] == band
+                h, w, k = band[is_hot], who[is_hot], blocks[at[is_hot]]
+                own = np.repeat(((c[some][w].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)).astype(np.int64) % k, k)
+                other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                low, high = np.minimum(own, other).view(np.uint64), np.maximum(own, other).view(np.uint64)
+                cut = ((np.repeat(h, k).view(np.uint64) ^ (low << np.uint64(32) | high) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                band, who = np.concatenate((band[~is_hot], cut)), np.concatenate((who[~is_hot], np.repeat(w, k)))
+                side = np.concatenate((side[~is_hot], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)))
+            s = sketches(values).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(c[some][who]), pa.array(s[who, 0]), pa.array(s[who, 1]), pa.array(side)], names=["bucket", "c", "s1", "s2", "side"])
+
+    return texts.select("c", "text").mapInArrow(run, "bucket bigint, c bigint, s1 bigint, s2 bigint, side tinyint")
+
+
+def _near(start: np.ndarray, size: np.ndarray, c: np.ndarray, s: np.ndarray, side: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of members of one bucket that agree in enough bits; buckets: from start on, size members."""
+    after = np.repeat(start + size, size) - np.arange(len(c)) - 1  # members behind each one in its bucket
+    total = np.cumsum(after)
+    lo = 0
+    while lo < len(c):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + STEP, "right")))
+        k = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        equal = 128 - np.bitwise_count(s[i, 0] ^ s[j, 0]).astype(np.int16) - np.bitwise_count(s[i, 1] ^ s[j, 1])
+        ok = (equal >= agree) & (c[i] != c[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        yield np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+        lo = hi
+
+
+def bucket_candidates(members: DataFrame, agree: int) -> DataFrame:
+    """a < b: pairs that share a bucket and agree in at least `agree` sketch bits; a pair may come out more than once."""
+    spread = members.repartition("bucket").sortWithinPartitions("bucket", "c")
 
-    return texts.select("c", "text").mapInArrow(run, "band bigint, c bigint")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int8)]
+
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            bucket, c, s1, s2, side = cols
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            size = np.diff(np.append(edge, len(bucket)))
+            several = np.repeat(size > 1, size)
+            if several.any():
+                size = size[size > 1]
+                s = np.stack((s1[several], s2[several]), 1).view(np.uint64)
+                for a, b in _near(np.cumsum(size) - size, size, c[several], s, side[several], agree):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+        for batch in batches:
+            cols = [np.concatenate((x, np.asarray(y))) for x, y in zip(kept, batch.columns)]
+            fresh = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))  # the same class from another batch
+            cols = [x[fresh] for x in cols]
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            kept = [x[last:] for x in cols]
+            yield from pairs([x[:last] for x in cols])
+        yield from pairs(kept)
 
-def shared_buckets(rows: DataFrame, bucket: str) -> DataFrame:
-    """The rows of buckets that have two rows or more, with the bucket's `size`."""
-    return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(bucket))).where("size > 1")
+    return spread.mapInArrow(run, "a bigint, b bigint")
 
 
 def common_keys(rows: DataFrame, bucket: str) -> DataFrame:
@@ -143,35 +278,60 @@ def bucket_pairs(members: DataFrame, bucket: str, key: str, block: int = 512) ->
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
 
 
-def similar(a: list[str], b: list[str], n: int, threshold: float) -> np.ndarray:
-    """Whether the sets of shingles of a[i] and b[i] share at least the threshold of their union."""
-
-    known: dict[str, set[str]] = {}
+def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of all different shingles, sorted by text, then shingle: exact for n <= 3, as 21 bits hold a character."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(code) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(len(code) - n + 1, np.int64)
+    for k in range(n):
+        h = h << 21 | code[k : len(code) - n + 1 + k]
+    whole = (np.repeat(np.cumsum(lens), lens) - np.arange(len(code)))[: len(h)] >= n
+    text, h = np.repeat(np.arange(len(texts)), lens)[: len(h)][whole], h[whole]
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    return text[new], h[new]
 
-    def of(text: str) -> set[str]:
-        if text not in known:
-            known[text] = {text[i : i + n] for i in range(len(text) - n + 1)}
-        return known[text]
 
+def similar(a: list[str], b: list[str], n: int, threshold: float) -> np.ndarray:
+    """Whether the sets of shingles of a[i] and b[i] share at least the threshold of their union; n <= 3."""
+    if n > 3:
+        raise ValueError("shingles of at most three characters are compared exactly")
+    index: dict[str, int] = {}
+    x, y = (np.fromiter((index.setdefault(t, len(index)) for t in side), np.int64, len(side)) for side in (a, b))
+    text, h = shingle_sets(list(index), n)
+    _, rank = np.unique(h, return_inverse=True)
+    size = np.bincount(text, minlength=len(index))
+    start = np.cumsum(size) - size
+    place = text * (int(rank.max(initial=0)) + 1) + rank  # sorted
     out = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a, b)):
-        p, q = of(x), of(y)
-        both = len(p & q)
-        out[i] = bool(p or q) and both >= threshold * (len(p) + len(q) - both) - 1e-12
+    load = np.cumsum(size[x])
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + STEP, "right")))
+        k = size[x[lo:hi]]
+        mine = np.repeat(start[x[lo:hi]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        want = np.repeat(y[lo:hi], k) * (int(rank.max(initial=0)) + 1) + rank[mine]
+        at = np.minimum(np.searchsorted(place, want), max(0, len(place) - 1))
+        both = np.bincount(np.repeat(np.arange(hi - lo), k)[place[at] == want], minlength=hi - lo) if len(place) else np.zeros(hi - lo, np.int64)
+        union = size[x[lo:hi]] + size[y[lo:hi]] - both
+        out[lo:hi] = (union > 0) & (both >= threshold * union - 1e-12)
+        lo = hi
     return out
 
 
-def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
+def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, permutations: int = 64, bands: int = 28, rows: int = 3) -> DataFrame:
     """a < b: all pairs of different texts (by c, their hash) whose similarity reaches the threshold.
 
-    texts: c BIGINT, text STRING; a text may be there many times.
+    texts: c BIGINT, text STRING; a text may be there many times. 28 bands of 3 suit a threshold of 0.6 and above.
     """
-    spark = texts.sparkSession
-    stage = Stage(spark, "minmax")
-    members = stage.write(shared_buckets(signatures(texts, bands), "band").distinct(), "members")
-    candidates = stage.write(bucket_pairs(members, "band", "c").distinct(), "candidates")
+    stage = Stage(texts.sparkSession, "minmax")
+    members = buckets(texts, n, permutations, bands, rows)
+    candidates = stage.write(bucket_candidates(members, least_agreement(threshold, permutations)).distinct(), "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    known = stage.write(without_repeats(texts).join(ids, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
+    known = stage.write(without_repeats(texts.join(ids, "c", "left_semi")).groupBy("c").agg(F.first("text").alias("text")), "texts")
     both = candidates.join(known.withColumnsRenamed({"c": "a", "text": "x"}), "a").join(known.withColumnsRenamed({"c": "b", "text": "y"}), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +342,47 @@ def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, bands: in
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
-    """id_a < id_b: all pairs of keys whose texts' shingle sets share at least the threshold of their union; equal texts too."""
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, c, text of the rows with a text, written: they are normalized and hashed once for all uses."""
     rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("c"), F.col(f"`{text}`").alias("text"))
-    classes = near_classes(rows, n, threshold, bands)
-    keys = Stage(df.sparkSession, "keys").write(rows.select("c", "key"), "keys")  # not normalized and hashed again for every use
+    return Stage(df.sparkSession, "rows").write(rows, "rows")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, **how: int) -> DataFrame:
+    """id_a < id_b: all pairs of keys whose texts' shingle sets share at least the threshold of their union; equal texts too."""
+    rows = _rows(df, key, text)
+    classes = near_classes(rows, n, threshold, **how)
+    keys = rows.select("c", "key")
     across = classes.join(keys.withColumnsRenamed({"c": "a", "key": "x"}), "a").join(keys.withColumnsRenamed({"c": "b", "key": "y"}), "b")
     within = bucket_pairs(common_keys(keys, "c"), "c", "key")
     return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
-def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, bands: int = 28) -> DataFrame:
-    """key, class_id BIGINT (of its text), n_links BIGINT (different texts near it): one row for each row with a text."""
-    rows = df.where(F.length(f"`{text}`") > 0).select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("class_id"), F.col(f"`{text}`").alias("text"))
-    pairs = near_classes(rows.select(F.col("class_id").alias("c"), "text"), n, threshold, bands)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    return rows.select("key", "class_id").join(links, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+def class_links(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, **how: int) -> tuple[DataFrame, DataFrame]:
+    """(representative_a < representative_b of near classes; key, representative): a class is named by its smallest key."""
+    rows = _rows(df, key, text)
+    stage = Stage(df.sparkSession, "classes")
+    names = stage.write(rows.groupBy("c").agg(F.min("key").alias("representative")), "names")
+    pairs = stage.write(near_classes(rows, n, threshold, **how), "pairs")
+    named = pairs.join(names.withColumnsRenamed({"c": "a", "representative": "x"}), "a").join(names.withColumnsRenamed({"c": "b", "representative": "y"}), "b")
+    links = named.select(F.least("x", "y").alias("representative_a"), F.greatest("x", "y").alias("representative_b"))
+    return links, rows.select("key", "c").join(names, "c").select("key", "representative")
+
+
+def grouped(df: DataFrame, key: str, text: str, n: int = 3, threshold: float = 0.6, **how: int) -> DataFrame:
+    """key, representative, n_links BIGINT, group_id: one row for each row with a text.
+
+    representative: the smallest key of the row's class (equal texts); n_links: different texts near it; group_id: the
+    smallest key of all rows that links tie together, over any number of links.
+    """
+    links, members = class_links(df, key, text, n, threshold, **how)
+    stage = Stage(df.sparkSession, "groups")
+    links, members = stage.write(links, "links"), stage.write(members, "members")
+    ends = links.select(F.explode(F.array("representative_a", "representative_b")).alias("representative"))
+    n_links = ends.groupBy("representative").agg(F.count(F.lit(1)).alias("n_links"), F.first(F.xxhash64("representative")).alias("entity"))
+    tied = components(links.select(F.array_sort(F.array(F.xxhash64("representative_a"), F.xxhash64("representative_b"))).alias("entities")), stage)
+    linked = stage.write(n_links.join(tied, "entity").select("representative", "n_links", "label"), "linked")
+    first = linked.groupBy("label").agg(F.min("representative").alias("group_id"))
+    named = linked.join(first, "label").select("representative", "n_links", "group_id")
+    out = members.join(named, "representative", "left")
+    return out.select("key", "representative", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("group_id", "representative").alias("group_id"))

@@ -18,10 +18,12 @@ HAS_BODY = r"regexp_matches(coalesce(正文, ''), '[^\s\p{Z}]')"
 POEMS = f"""poems AS (SELECT ID AS key, {alnum("诗名")} AS title, {alnum("作者")} AS author, {alnum("正文")} AS body FROM review_tool WHERE {HAS_BODY}
 UNION ALL SELECT raw_id, {alnum(_field("诗名"))}, {alnum(_field("作者"))}, {alnum(_field("正文"))} FROM poem_raw)"""
 
+TEXTS = f"""t AS (SELECT ID, {alnum("诗名")} || {alnum("正文")} AS s FROM review_tool WHERE {HAS_BODY})"""
+
 ORACLES: dict[str, str] = {
     "p3_found": f"WITH {POEMS} SELECT first_key, key AS copy_key FROM (SELECT key, min(key) OVER (PARTITION BY title, author, body) AS first_key FROM poems) WHERE key <> first_key",
     "p3_collapsed": f"WITH {POEMS} SELECT min(key) AS first_key, count(*) AS n_copies FROM poems GROUP BY title, author, body",
-    "p6_found": f"""WITH t AS (SELECT ID, {alnum("诗名")} || {alnum("正文")} AS s FROM review_tool WHERE {HAS_BODY}),
+    "p6_found": f"""WITH {TEXTS},
 g AS (SELECT DISTINCT ID, substr(s, i, 3) AS g FROM (SELECT ID, s, unnest(range(1, greatest(length(s) - 1, 1))) AS i FROM t)), n AS (SELECT ID, count(*) AS n FROM g GROUP BY ID),
 c AS (SELECT a.ID AS id_a, b.ID AS id_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.ID < b.ID GROUP BY 1, 2)
 SELECT id_a, id_b FROM c JOIN n x ON x.ID = id_a JOIN n y ON y.ID = id_b WHERE k >= 0.6 * (x.n + y.n - k)
@@ -53,3 +55,13 @@ _CELL = rf"regexp_replace(regexp_replace(v, '({_EMOJI})\x{{fe0f}}', '\1', 'g'),
 ORACLES["p2_found"] = rf"""WITH c AS (SELECT 'review_tool' AS table_name, ID AS row_key, '正文' AS field_name, 正文 AS v FROM review_tool UNION ALL SELECT 'product', CAST(id AS VARCHAR), 'name', name FROM product UNION ALL SELECT 'category', CAST(id AS VARCHAR), 'name', name FROM category),
 n AS (SELECT table_name, row_key, field_name, {_CELL} AS v FROM c WHERE v IS NOT NULL)
 SELECT table_name, row_key, field_name FROM n WHERE regexp_matches(v, '{_ODD}') OR regexp_matches(v, '\p{{Latin}}[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}]\p{{Latin}}|\p{{Cyrillic}}\p{{Greek}}|\p{{Greek}}\p{{Cyrillic}}') OR regexp_matches(v, '(?:^|[^{_ALPHA}])[{_ALIKE}]+(?:$|[^{_ALPHA}])')"""
+
+#: Classes of equal texts, their links by shared runs of three, and components by recursion over the smallest key.
+_CLASSES = f"""{TEXTS}, r AS (SELECT s, min(ID) AS rep FROM t WHERE s <> '' GROUP BY s),
+g AS (SELECT DISTINCT rep, substr(s, i, 3) AS g FROM (SELECT rep, s, unnest(range(1, greatest(length(s) - 1, 1))) AS i FROM r)), n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+c AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT x AS representative_a, y AS representative_b FROM c JOIN n p ON p.rep = x JOIN n q ON q.rep = y WHERE k >= 0.6 * (p.n + q.n - k))"""
+ORACLES["p6_links"] = f"WITH {_CLASSES} SELECT * FROM links"
+ORACLES["p6_grouped"] = f"""WITH RECURSIVE {_CLASSES}, both AS MATERIALIZED (SELECT representative_a AS u, representative_b AS v FROM links UNION ALL SELECT representative_b, representative_a FROM links),
+cc(id, comp) USING KEY (id) AS (SELECT rep, rep FROM r UNION SELECT v, min(cc.comp) FROM cc JOIN both ON cc.id = u JOIN recurring.cc w ON w.id = v WHERE cc.comp < w.comp GROUP BY v)
+SELECT ID AS key, rep AS representative, (SELECT count(*) FROM both WHERE u = rep) AS n_links, comp AS group_id FROM t JOIN r USING (s) JOIN cc ON cc.id = rep"""

@@ -90,6 +90,11 @@ def p6_grouped(s: SparkSession, d: str) -> DataFrame:
     return minmax.grouped(_texts(s, d), "key", "text")
 
 
+def p6_links(s: SparkSession, d: str) -> DataFrame:
+    """The links of p6_grouped: pairs of representatives of different texts."""
+    return minmax.class_links(_texts(s, d), "key", "text")[0]
+
+
 def p7_ids(s: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(s, d, "documents"), "doc_id", "text")
 
@@ -115,5 +120,5 @@ def p9_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_normalized, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p5_unmatched, p6_found, p6_grouped, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_normalized, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p5_unmatched, p6_found, p6_grouped, p6_links, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)
 }
