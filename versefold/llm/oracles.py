@@ -62,6 +62,6 @@ g AS (SELECT DISTINCT rep, substr(s, i, 3) AS g FROM (SELECT rep, s, unnest(rang
 c AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
 links AS (SELECT x AS representative_a, y AS representative_b FROM c JOIN n p ON p.rep = x JOIN n q ON q.rep = y WHERE k >= 0.6 * (p.n + q.n - k))"""
 ORACLES["p6_links"] = f"WITH {_CLASSES} SELECT * FROM links"
-ORACLES["p6_grouped"] = f"""WITH RECURSIVE {_CLASSES}, both AS MATERIALIZED (SELECT representative_a AS u, representative_b AS v FROM links UNION ALL SELECT representative_b, representative_a FROM links),
-cc(id, comp) USING KEY (id) AS (SELECT rep, rep FROM r UNION SELECT v, min(cc.comp) FROM cc JOIN both ON cc.id = u JOIN recurring.cc w ON w.id = v WHERE cc.comp < w.comp GROUP BY v)
-SELECT ID AS key, rep AS representative, (SELECT count(*) FROM both WHERE u = rep) AS n_links, comp AS group_id FROM t JOIN r USING (s) JOIN cc ON cc.id = rep"""
+ORACLES["p6_grouped"] = f"""WITH RECURSIVE {_CLASSES}, arc AS MATERIALIZED (SELECT representative_a AS u, representative_b AS v FROM links UNION ALL SELECT representative_b, representative_a FROM links),
+cc(id, comp) USING KEY (id) AS (SELECT rep, rep FROM r UNION SELECT v, min(cc.comp) FROM cc JOIN arc ON cc.id = u JOIN recurring.cc w ON w.id = v WHERE cc.comp < w.comp GROUP BY v)
+SELECT ID AS key, rep AS representative, (SELECT count(*) FROM arc WHERE u = rep) AS n_links, comp AS group_id FROM t JOIN r USING (s) JOIN cc ON cc.id = rep"""
