@@ -64,4 +64,4 @@ links AS (SELECT x AS representative_a, y AS representative_b FROM c JOIN n p ON
 ORACLES["p6_links"] = f"WITH {_CLASSES} SELECT * FROM links"
 ORACLES["p6_grouped"] = f"""WITH RECURSIVE {_CLASSES}, arc AS MATERIALIZED (SELECT representative_a AS u, representative_b AS v FROM links UNION ALL SELECT representative_b, representative_a FROM links),
 cc(id, comp) USING KEY (id) AS (SELECT rep, rep FROM r UNION SELECT v, min(cc.comp) FROM cc JOIN arc ON cc.id = u JOIN recurring.cc w ON w.id = v WHERE cc.comp < w.comp GROUP BY v)
-SELECT ID AS key, rep AS representative, (SELECT count(*) FROM arc WHERE u = rep) AS n_links, comp AS group_id FROM t JOIN r USING (s) JOIN cc ON cc.id = rep"""
+SELECT t.ID AS key, r.rep AS representative, (SELECT count(*) FROM arc WHERE u = r.rep) AS n_links, comp AS group_id FROM t JOIN r USING (s) JOIN cc ON cc.id = r.rep"""
