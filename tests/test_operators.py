@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from versefold.functions import fields as X
-from versefold.functions.chinese import SIMPLIFIED, TRADITIONAL, number
+from versefold.functions.chinese import number, to_simplified_table, to_traditional_table
 from versefold.functions.text import alnum_key, is_blank
 from versefold.operators import columns as C
 from versefold.operators import lexicon as L
@@ -166,9 +166,32 @@ def test_overlay_merge_is_idempotent(spark):
 
 def test_contains_join_equals_theta_join(spark):
     t = spark.createDataFrame([(1, "霜铃花下", None), (2, "x", "月络兰"), (3, None, None)], "id int, a string, b string")
-    terms = spark.createDataFrame([("霜铃花",), ("月络兰",), ("兰",)], "term string")
-    got = {tuple(r) for r in R.contains_join(t, "id", ["a", "b"], terms, "term", [1, 3]).collect()}
+    terms = spark.createDataFrame([("霜铃花",), ("月络兰",), ("兰",), ("",), (None,)], "term string")
+    got = {tuple(r) for r in R.contains_join(t, "id", ["a", "b"], terms, "term").collect()}
     assert got == {(1, "霜铃花"), (2, "月络兰"), (2, "兰")}
+    assert R.contains_join(t, "id", ["a"], terms.limit(0), "term").count() == 0
+
+
+def test_terms_of_any_length_are_found(spark, monkeypatch):
+    text = "红云，大红袍子与皇家贵族南方公主"
+    terms = ["红云", "大红袍", "皇家贵族南方公", "皇家贵族南方公主", "五字的名称"]
+    t = spark.createDataFrame([(1, text), (2, "袍"), (3, None)], "id int, a string")
+    lex = spark.createDataFrame([(x,) for x in [*terms, ""]], "term string")
+    want = {(1, x) for x in terms if x in text}
+    for most in (100_000, 2):  # with and without a broadcast
+        monkeypatch.setattr(R.small, "__defaults__", (most,))
+        assert {tuple(r) for r in R.contains_join(t, "id", ["a"], lex, "term").collect()} == want
+        assert {(r.id, r.term) for r in L.all_matches(t, "id", "a", lex).collect()} == want
+    assert L.all_matches(t, "id", "a", lex.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        R.lengths_of(lex, "term", 2)
+
+
+def test_greedy_names_what_stands_before(spark):
+    df = spark.createDataFrame([(1, "不见溪云云"), (2, None)], "id int, t string")
+    got = [(r.pos, r.term, r.before) for r in L.greedy(df, "id", "t", ["溪云", "云", "溪"], 5, 2).collect()]
+    assert got == [(3, "溪云", "不见"), (5, "云", "溪云")]
+    assert L.greedy(df, "id", "t", [], 5, 2).count() == 0
 
 
 def test_negated_scores(spark):
@@ -249,9 +272,13 @@ def test_keys_and_blanks(spark):
     assert [tuple(r) for r in df.collect()] == [(None, True), ("", True), ("", True), ("ａbc月é", False)]
 
 
-def test_numbers_and_scripts():
+def test_numbers_and_scripts(spark):
     assert [number(x) for x in ("十", "廿四", "十六", "二十", "兩", "5", "正", "x", "")] == [10, 24, 16, 20, 2, 5, 1, None, None]
-    assert len(TRADITIONAL) == len(SIMPLIFIED)
+    there, back = to_simplified_table(spark), to_traditional_table(spark)
+    assert "愛鄉飛劉後來麵髮乾隆岁".translate(there) == "爱乡飞刘后来面发干隆岁" and len(there) > 2000
+    assert "爱乡飞刘".translate(back) == "愛鄉飛劉"
+    df = spark.createDataFrame([("鈴木 Bell",), (None,), ("",)], "t string")
+    assert [r.x for r in df.select(X.to_simplified(F.col("t")).alias("x")).collect()] == ["铃木 Bell", None, ""]
 
 
 def test_profile_and_weights(spark):

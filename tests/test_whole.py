@@ -19,17 +19,17 @@ def test_matrix_shards(spark, small, tmp_path):
 
 
 def test_matrix_has_all_rows(spark, small):
-    assert plans.QUERIES["src_15_matrix_all"](spark, small).count() == table(spark, small, "embeddings").count() > 100
+    assert plans.QUERIES["src_15_matrix"](spark, small).count() == table(spark, small, "embeddings").count() > 100
 
 
-@pytest.mark.parametrize("name,of", [("sort_02_numeric_first_all", "review_tool"), ("sort_03_mixed_direction_all", "product"), ("sort_04_verdict_rank_all", "review_tool")])
+@pytest.mark.parametrize("name,of", [("sort_02_numeric_first", "review_tool"), ("sort_03_mixed_direction", "product"), ("sort_04_verdict_rank", "review_tool")])
 def test_sorts_keep_all_rows_in_order(spark, small, name, of):
     got = [r["rank"] for r in plans.QUERIES[name](spark, small).collect()]
     assert got == list(range(1, table(spark, small, of).count() + 1)) and len(got) > 100
 
 
 def test_all_months_in_order(spark, small):
-    got = plans.QUERIES["sort_01_domain_order_all"](spark, small).collect()
+    got = plans.QUERIES["sort_01_domain_order"](spark, small).collect()
     assert [r["月份"] for r in got[:12]] == "正月 二月 三月 四月 五月 六月 七月 八月 九月 十月 十一月 十二月".split()
     assert sum(r.n for r in got) == table(spark, small, "review_tool").count() and got[-1]["月份"] is None
 
@@ -38,14 +38,14 @@ def test_bigrams_of_whole_texts(spark, tmp_path):
     long = "".join(chr(0x4E00 + i) for i in range(60))
     rows = [(1, long, "verse"), (2, "一", "verse"), (3, "", "prose"), (4, None, None), (5, "ab，c", "english")]
     spark.createDataFrame(rows, "item_id bigint, text string, kind string").write.parquet(f"{tmp_path}/eval_item.parquet")
-    got = {r.item_id: r.grams for r in plans.QUERIES["ret_03_query_tokens_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.grams for r in plans.QUERIES["ret_03_query_tokens"](spark, str(tmp_path)).collect()}
     assert got == {1: [long[i : i + 2] for i in range(59)], 2: [], 3: [], 4: [], 5: ["ab", "b，"]}
 
 
 def test_sentences_of_all_languages(spark, tmp_path):
     rows = [(1, "一二三四。五六七八！", "zh"), (2, "一二三四。五六七八！", "zh-hant"), (3, "一二三四。", None), (4, None, "en")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.parts for r in plans.QUERIES["fn_12_sentences_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.parts for r in plans.QUERIES["fn_12_sentences"](spark, str(tmp_path)).collect()}
     assert got == {1: "一二三四。¦五六七八！", 2: "一二三四。¦五六七八！", 3: "一二三四。", 4: None}
 
 

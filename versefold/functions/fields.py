@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .chinese import SIMPLIFIED, TRADITIONAL
+from .chinese import to_simplified_table, to_traditional_table
+
+
+def _translated(c: Column, table: dict[int, str]) -> Column:
+    return F.translate(c, "".join(map(chr, table)), "".join(table.values())) if table else c
 
 
 def to_simplified(c: Column) -> Column:
-    return F.translate(c, TRADITIONAL, SIMPLIFIED)
+    """Every Traditional character's Simplified form (see chinese.to_simplified_table)."""
+    return _translated(c, to_simplified_table(SparkSession.active()))
 
 
 def to_traditional(c: Column) -> Column:
-    return F.translate(c, SIMPLIFIED, TRADITIONAL)
+    return _translated(c, to_traditional_table(SparkSession.active()))
+
+
+# Marks that do not count when names are matched, and categories before a product's name.
+DROPPED = "·•・,，。;；:：!！?？\"“”'‘’"
+CATEGORIES = ("鮮花", "葉材", "配花", "觀果", "乾花", "永生花", "花器", "花泥", "包裝", "工具")
 
 
 def han_and_stops(c: Column) -> Column:
@@ -33,8 +43,8 @@ def without(c: Column, characters: str) -> Column:
 
 
 def match_form(c: Column) -> Column:
-    """For matching: no white space of any kind, brackets of one width, no bullets or quotes."""
-    return F.translate(F.regexp_replace(c, r"[\s　]+", ""), "（）【】·•“”\"'", "()[]")
+    """For matching: no white space of any kind, round brackets of one width, no bullets, stops or quotes."""
+    return F.regexp_replace(F.translate(F.regexp_replace(c, r"[\s\p{Z}]+", ""), "（）", "()"), f"[{DROPPED}]", "")
 
 
 def trimmed(c: Column) -> Column:
@@ -43,10 +53,10 @@ def trimmed(c: Column) -> Column:
 
 
 def base_name(c: Column) -> Column:
-    """A product's name without a bracketed end, without a category and dash before it, up to the next dash."""
-    cut = F.regexp_replace(c, r"[（(\[].*$", "")
-    cut = F.regexp_replace(cut, r"^(?:鮮花|乾花|永生花)[\s\p{Z}]*-[\s\p{Z}]*", "")
-    return trimmed(F.regexp_replace(cut, r"[\s\p{Z}]*[-－].*$", ""))
+    """A product's name without a bracketed end, without a category and dash before it, up to the next ` - ` or `－`."""
+    cut = trimmed(F.regexp_replace(c, r"(?s)[（(].*$", ""))
+    cut = F.regexp_replace(cut, rf"^(?:{'|'.join(CATEGORIES)})[\s\p{{Z}}]*[-－][\s\p{{Z}}]*", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(cut, r"(?s) - .*$", ""), r"(?s)－.*$", ""))
 
 
 def variants(c: Column, suffix: str = "花") -> Column:

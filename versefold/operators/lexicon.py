@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grams
+from .relational import lengths_of, small
 
 #: Fixed value: characters that negate what follows.
 NEGATION = "不无莫非未休勿"
@@ -31,10 +33,19 @@ def terms_at_places(text: Column, terms: Sequence[str], negation: str = "") -> C
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"{before}(?=({alternatives}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def all_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame, low: int, high: int) -> DataFrame:
-    """key, pos and the lexicon's columns: every occurrence of every term, overlapping ones too, by an equi-join on term."""
-    found = df.select(key, F.explode(grams(F.col(text), low, high)).alias("x")).select(key, "x.pos", "x.term")
-    return found.join(lexicon, "term")
+def all_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """key, pos and the lexicon's columns: every occurrence of every `term`, of any length, overlapping ones too.
+
+    An equi-join on runs of the lengths that terms have (an aggregate over the lexicon); a small lexicon meets the runs
+    before anything is shuffled.
+    """
+    lexicon = lexicon.where(F.length("term") > 0)
+    lengths = lengths_of(lexicon, "term")
+    if not lengths:
+        return df.select(key, F.lit(0).alias("pos")).limit(0).join(lexicon.limit(0), F.lit(True)).select(key, "pos", *lexicon.columns)
+    every = F.flatten(F.array(*[F.coalesce(grams(F.col(text), k, k), F.array().cast("array<struct<pos:int,term:string>>")) for k in lengths]))
+    found = df.select(key, F.explode(every).alias("x")).select(key, "x.pos", "x.term")
+    return found.join(small(lexicon), "term")
 
 
 def longest_at(matches: DataFrame, key: str) -> DataFrame:
@@ -44,37 +55,45 @@ def longest_at(matches: DataFrame, key: str) -> DataFrame:
     return best.select(key, "pos", "m.*")
 
 
+def trie_pattern(terms: Iterable[str]) -> str:
+    """A pattern that matches the longest of the terms at a place; its time follows the text, not the number of terms."""
+    root: dict = {}
+    for t in terms:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        if not (branches := [re.escape(c) + of(x) for c, x in sorted(node.items()) if c]):
+            return ""
+        inner = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{inner})?" if "" in node else inner
+
+    return of(root)
+
+
 def greedy(df: DataFrame, key: str, text: str, terms: Sequence[str], high: int = 5, low: int = 2, singles: bool = True) -> DataFrame:
-    """key, pos, term: longest match from left to right without overlap, then single characters on uncovered places.
+    """key, pos, term, before: longest match from left to right without overlap, then single characters on uncovered places.
 
-    Inherently sequential within a text, so texts go through Python in Arrow batches; the term set is part of the closure
-    and of the caller's bounded size.
+    before: the two characters in front. Terms of low to high characters, and of one character if `singles`: a place that
+    no longer term covers takes its single character, which is what a second pass over the uncovered places gives. Places
+    are needed, so texts go through one compiled pattern (a prefix tree, no loop over characters) in Arrow batches.
     """
-    vocabulary = frozenset(terms)
+    kept = sorted({t for t in terms if t and (low <= len(t) <= high or singles and len(t) == 1)})
+    pattern = re.compile(trie_pattern(kept)) if kept else re.compile(r"(?!)")
     kind = df.schema[key].dataType.simpleString()
 
-    def one(t: str) -> list[tuple[int, str]]:
-        out, i, n, free = [], 0, len(t), []
-        while i < n:
-            for k in range(min(high, n - i), low - 1, -1):
-                if t[i : i + k] in vocabulary:
-                    out.append((i + 1, t[i : i + k]))
-                    i += k
-                    break
-            else:
-                free.append(i)
-                i += 1
-        return out + ([(i + 1, t[i]) for i in free if t[i] in vocabulary] if singles else [])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, pos, term = [], [], []
+            rows, pos, term, before = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for p, x in one(t or ""):
-                    rows.append(i), pos.append(p), term.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(term, pa.string())], names=[key, "pos", "term"])
+                for m in pattern.finditer(t or ""):
+                    p = m.start()
+                    rows.append(i), pos.append(p + 1), term.append(m.group()), before.append(t[max(0, p - 2) : p])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(term, pa.string()), pa.array(before, pa.string())], names=[key, "pos", "term", "before"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, pos int, term string")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, pos int, term string, before string")
 
 
 def negated_scores(toks: Column, categories: dict[str, dict[str, float]], negators: Sequence[str], reach: int = 3) -> Column:

@@ -34,17 +34,33 @@ def first_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: s
     return left.join(one, list(keys), "left")
 
 
-def contains_join(texts: DataFrame, key: str, haystacks: Sequence[str], terms: DataFrame, term: str, lengths: Sequence[int]) -> DataFrame:
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for a broadcast if it has at most `most` rows, else as it is: a shuffled join then."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def lengths_of(terms: DataFrame, term: str, most: int = 256) -> list[int]:
+    """The different lengths of the terms, by an aggregate; terms of more than `most` lengths are no word list."""
+    found = sorted(r[0] for r in terms.where(F.length(term) > 0).select(F.length(term)).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"terms of more than {most} different lengths")
+    return found
+
+
+def contains_join(texts: DataFrame, key: str, haystacks: Sequence[str], terms: DataFrame, term: str) -> DataFrame:
     """key, term: pairs where any of the haystack columns contains the term, by an equi-join.
 
     Substrings of the terms' lengths are exploded and joined by equality, so that no theta join compares every text with
-    every term. lengths: the lengths that terms have; their number is small and known to the caller.
+    every term; a small list of terms meets them before anything is shuffled. Empty and null terms are in nothing.
     """
-
+    terms = terms.where(F.length(term) > 0).select(term).distinct()
+    lengths = lengths_of(terms, term)
+    if not lengths:
+        return texts.select(key).limit(0).withColumn(term, F.lit(None).cast("string"))
     of = lambda h: F.flatten(F.array(*[F.transform(grams(F.coalesce(F.col(h), F.lit("")), n, n), lambda x: x["term"]) for n in lengths]))
     every = F.array_distinct(F.flatten(F.array(*[of(h) for h in haystacks])))
     exploded = texts.select(F.col(key), F.explode(every).alias(term))
-    return exploded.join(terms.select(term).distinct(), term).select(key, term)
+    return exploded.join(small(terms), term).select(key, term)
 
 
 def overlay_merge(base: DataFrame, edits: DataFrame, key: str, fields: Sequence[str], source: str) -> tuple[DataFrame, DataFrame]:

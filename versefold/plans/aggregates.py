@@ -135,11 +135,18 @@ def agg_19_top_terms_per_group(s, d):
     return R.top_k(t.groupBy("lang", "term").agg(n()), ["lang"], [F.desc("n"), F.asc("term")], 12)
 
 
-@query("SELECT source, string_agg(term, '|' ORDER BY n DESC, term) AS terms FROM (SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS r FROM (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '([一-鿿]{3})', 1)) AS term FROM documents WHERE source IS NOT NULL AND text IS NOT NULL) WHERE term IN (SELECT entry FROM canon_value WHERE field_name = '花名') AND term <> '霜铃花' GROUP BY 1, 2)) WHERE r <= 20 GROUP BY source")
+OTHER_FLOWERS = "SELECT DISTINCT entry AS term FROM canon_value WHERE field_name = '花名' AND entry <> '霜铃花' AND entry <> ''"
+
+
+@query(f"SELECT source, string_agg(term, '|' ORDER BY n DESC, term) AS terms FROM (SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS r FROM (SELECT source, term, sum((length(text) - length(replace(text, term, ''))) // length(term)) AS n FROM documents JOIN ({OTHER_FLOWERS}) ON contains(text, term) WHERE source IS NOT NULL GROUP BY 1, 2)) WHERE r <= 20 GROUP BY source")
 def agg_20_whitelisted_terms(s, d):
-    t = table(s, d, "documents").where("source is not null and text is not null").select("source", F.explode(F.regexp_extract_all("text", F.lit("([一-鿿]{3})"), F.lit(1))).alias("term"))
+    """Terms of any length, wherever they stand."""
+    from ..operators import lexicon as L
+
     w = table(s, d, "canon_value").where("field_name = '花名' and entry <> '霜铃花'").select(F.col("entry").alias("term")).distinct()
-    top = R.top_k(t.join(F.broadcast(w), "term", "left_semi").groupBy("source", "term").agg(n()), ["source"], [F.desc("n"), F.asc("term")], 20)
+    docs = table(s, d, "documents").where("source is not null and text is not null").select("source", "text")
+    t = L.all_matches(docs, "source", "text", w).select("source", "term")
+    top = R.top_k(t.groupBy("source", "term").agg(n()), ["source"], [F.desc("n"), F.asc("term")], 20)
     x = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))).alias("x"))
     return x.select("source", F.array_join(F.transform("x", lambda v: v["term"]), "|").alias("terms"))
 
@@ -202,13 +209,13 @@ def agg_28_later_duplicates(s, d):
     return table(s, d, "review_tool").withColumn("r", F.row_number().over(Window.partitionBy("诗名", "作者").orderBy("ID"))).where("r > 1").select("ID")
 
 
-@query("SELECT CAST(sum(k) AS BIGINT) AS hits, count(*) FILTER (k > 0) AS covered, count(*) FILTER (k = 0) AS uncovered FROM (SELECT doc_id, coalesce((SELECT count(*) FROM (SELECT unnest(list_transform(range(1, greatest(length(text) - 2, 1)), lambda i: substr(text, i, 3))) AS g) JOIN (SELECT DISTINCT entry FROM canon_value WHERE field_name = '花名') ON g = entry), 0) AS k FROM documents WHERE text IS NOT NULL)")
+@query("WITH e AS (SELECT DISTINCT entry AS term FROM canon_value WHERE field_name = '花名' AND entry <> ''), k AS (SELECT doc_id, sum((length(text) - length(replace(text, term, ''))) // length(term)) AS k FROM documents JOIN e ON contains(text, term) GROUP BY doc_id) SELECT CAST(coalesce(sum(k), 0) AS BIGINT) AS hits, count(k) AS covered, count(*) - count(k) AS uncovered FROM documents LEFT JOIN k USING (doc_id) WHERE text IS NOT NULL")
 def agg_29_lexicon_coverage(s, d):
     from ..operators import lexicon as L
 
     t = table(s, d, "documents").where("text is not null").select("doc_id", "text")
-    lex = table(s, d, "canon_value").where("field_name = '花名'").select(F.col("entry").alias("term")).distinct().where(F.length("term") == 3)
-    hits = L.all_matches(t, "doc_id", "text", F.broadcast(lex), 3, 3).groupBy("doc_id").agg(n("k"))
+    lex = table(s, d, "canon_value").where("field_name = '花名'").select(F.col("entry").alias("term")).distinct()
+    hits = L.all_matches(t, "doc_id", "text", lex).groupBy("doc_id").agg(n("k"))
     return t.select("doc_id").join(hits, "doc_id", "left").agg(F.sum(F.coalesce("k", F.lit(0))).alias("hits"), F.count_if(F.col("k") > 0).alias("covered"), F.count_if(F.col("k").isNull()).alias("uncovered"))
 
 

@@ -68,12 +68,12 @@ def join_08_containment(s, d):
     p = table(s, d, "product").select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "spec_text", "description")])
     t = _flowers(s, d)  # a fixed reference list
     hit = F.contains("name", "term") | F.contains("spec_text", "term") | F.contains("description", "term")
-    return p.join(F.broadcast(t), hit).select("id", "term").distinct()
+    return p.join(R.small(t, 1000), hit).select("id", "term").distinct()  # for a list of that size; contains_join for others
 
 
 @query(CONTAINS)
 def join_09_containment_by_grams(s, d):
-    return R.contains_join(table(s, d, "product"), "id", ["name", "spec_text", "description"], _flowers(s, d), "term", [3, 4])
+    return R.contains_join(table(s, d, "product"), "id", ["name", "spec_text", "description"], _flowers(s, d), "term")
 
 
 DOT = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"

@@ -8,6 +8,7 @@ from ..functions import fields as X
 from ..functions.text import han_only
 from ..operators import lexicon as L
 from ..operators import retrieval as V
+from ..operators.relational import small
 from ..session import table
 from .registry import query
 
@@ -32,12 +33,16 @@ def fn_04_strip_punctuation(s, d):
     return table(s, d, "review_tool").select("ID", X.without(F.col("诗名"), "《》（）·").alias("bare"))
 
 
-@query("SELECT ID, translate(regexp_replace(诗名, '[\\s　]+', '', 'g'), '（）【】·•“”\"''', '()[]') AS form FROM review_tool")
+@query(r"""SELECT ID, regexp_replace(replace(replace(regexp_replace(诗名, '[\s\x0b\p{Z}]+', '', 'g'), '（', '('), '）', ')'), '[·•・,，。;；:：!！?？"“”''‘’]', '', 'g') AS form FROM review_tool""")
 def fn_05_match_form(s, d):
     return table(s, d, "review_tool").select("ID", X.match_form(F.col("诗名")).alias("form"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '[（(\[].*$', ''), '^(?:鮮花|乾花|永生花)[\s\p{Z}]*-[\s\p{Z}]*', ''), '[\s\p{Z}]*[-－].*$', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS base FROM product")
+_CUT = r"regexp_replace(regexp_replace(name, '(?s)[（(].*$', ''), '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')"
+_BARE = rf"regexp_replace({_CUT}, '^(?:鮮花|葉材|配花|觀果|乾花|永生花|花器|花泥|包裝|工具)[\s\x0b\p{{Z}}]*[-－][\s\x0b\p{{Z}}]*', '')"
+
+
+@query(rf"SELECT id, regexp_replace(split_part(split_part({_BARE}, ' - ', 1), '－', 1), '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g') AS base FROM product")
 def fn_06_base_name(s, d):
     return table(s, d, "product").select("id", X.base_name(F.col("name")).alias("base"))
 
@@ -47,13 +52,12 @@ def fn_07_suffix_variants(s, d):
     return table(s, d, "canon_value").where("field_name = '花名'").select("ref_id", F.array_join(X.variants(F.col("entry")), "|").alias("forms"))
 
 
-def _translated():
-    from ..functions.chinese import SIMPLIFIED, TRADITIONAL
+# The Traditional characters among the names of these tables, and below each its Simplified form; independent of the conversion that is tested.
+_TRADITIONAL = "鈴絡蘭煙縷綿蓮羅鏡雲結繡風鐸綺紋曉絲嵐淚鶴頂蟬螢燈魚鱗龍鬚鳳龜綃樓盞層霧歸來聽階壺紅迴腸無臥榮臺涼綠黃藍純淺銀濃馬題詠農曆舊閏時間輯編檳種個兩條東後會長門開關書畫詩詞國學體點過還進遠運邊頭髮價師數氣熱現禮節紮薦藝裝親貨買賣選闆靚鮮鵝"
+_SIMPLIFIED = "铃络兰烟缕绵莲罗镜云结绣风铎绮纹晓丝岚泪鹤顶蝉萤灯鱼鳞龙须凤龟绡楼盏层雾归来听阶壶红回肠无卧荣台凉绿黄蓝纯浅银浓马题咏农历旧闰时间辑编槟种个两条东后会长门开关书画诗词国学体点过还进远运边头发价师数气热现礼节扎荐艺装亲货买卖选板靓鲜鹅"
 
-    return f"SELECT id, translate(name, '{TRADITIONAL}', '{SIMPLIFIED}') AS simplified FROM product"
 
-
-@query(_translated())
+@query(f"SELECT id, translate(name, '{_TRADITIONAL}', '{_SIMPLIFIED}') AS simplified FROM product")
 def fn_08_simplified(s, d):
     return table(s, d, "product").select("id", X.to_simplified(F.col("name")).alias("simplified"))
 
@@ -62,7 +66,7 @@ def fn_08_simplified(s, d):
 def fn_09_alias_lookup(s, d):
     c = table(s, d, "canon_value").where("field_name = '花名'")
     alias = c.select(F.col("entry").alias("k"), "ref_id").union(c.select(F.explode("other_names").alias("k"), "ref_id")).distinct()
-    return table(s, d, "review_tool").select("ID", F.replace(F.col("花名"), F.lit(" "), F.lit("")).alias("k")).join(F.broadcast(alias), "k").select("ID", "ref_id")
+    return table(s, d, "review_tool").select("ID", F.replace(F.col("花名"), F.lit(" "), F.lit("")).alias("k")).join(small(alias), "k").select("ID", "ref_id")
 
 
 @query(r"SELECT ID, nullif(regexp_extract(作者, '^\s*[〔\[（(]?(前昱|后昱|昱|东澹|西澹|澹|瑄)[〕\]）)]?\s*[·• ]?\s*([^\s，。、；·（）()\[\]〔〕]{1,8})\s*$', 1), '') AS dynasty, nullif(regexp_extract(作者, '^\s*[〔\[（(]?(前昱|后昱|昱|东澹|西澹|澹|瑄)[〕\]）)]?\s*[·• ]?\s*([^\s，。、；·（）()\[\]〔〕]{1,8})\s*$', 2), '') AS author FROM review_tool")
@@ -77,13 +81,8 @@ def fn_11_verse_lines(s, d):
     return l.select("doc_id", F.size(F.filter("l", lambda x: F.coalesce(X.is_verse(x), F.lit(False)))).cast("bigint").alias("verses"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4), '¦') AS parts FROM documents WHERE lang = 'zh'")
-def fn_12_sentences(s, d):
-    return table(s, d, "documents").where("lang = 'zh'").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
-
-
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4), '¦') AS parts FROM documents")
-def fn_12_sentences_all(s, d):
+def fn_12_sentences(s, d):
     """Documents of every language, also of none."""
     return table(s, d, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
 

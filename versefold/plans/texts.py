@@ -103,10 +103,9 @@ def text_07_longest_match_polarity(s, d):
     terms = {t: ("positive" if t[0] in W.POSITIVE else "negative") for t in [*W.POSITIVE, *W.NEGATIVE, "清风", "寒山", "孤灯", "暖云"]}
     lex = s.createDataFrame(list(terms.items()), "term string, polarity string")
     t = table(s, d, "documents").where("text is not null").select("doc_id", "text")
-    m = L.greedy(t, "doc_id", "text", list(terms), 4, 2).join(t, "doc_id").join(F.broadcast(lex), "term")
-    near = F.substring(F.col("text"), F.greatest(F.col("pos") - 2, F.lit(1)), F.col("pos") - F.greatest(F.col("pos") - 2, F.lit(1)))
-    sign = F.when(near.rlike("[" + "".join(W.NEGATORS) + "]"), -1.0).otherwise(1.0)
-    w = F.length("term") * sign / F.length("text")
+    m = L.greedy(t, "doc_id", "text", list(terms), 4, 2).join(F.broadcast(lex), "term").join(t.select("doc_id", F.length("text").alias("size")), "doc_id")
+    sign = F.when(F.col("before").rlike("[" + "".join(W.NEGATORS) + "]"), -1.0).otherwise(1.0)
+    w = F.length("term") * sign / F.col("size")
     g = m.groupBy("doc_id").agg(F.sum(F.when(F.col("polarity") == "positive", w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("polarity") == "negative", w).otherwise(0.0)).alias("q"))
     kind, confidence = C.neutral_band(F.col("p"), F.col("q"), 0.0005)
     return g.select("doc_id", F.round("p", 6).alias("positive"), F.round("q", 6).alias("negative"), kind.alias("kind"), F.round(confidence, 4).alias("confidence"))
@@ -119,11 +118,12 @@ PN = [(t, 1) for t in W.POSITIVE] + [(t, -1) for t in W.NEGATIVE]
     f"WITH c AS (SELECT doc_id, substr(text, i, 1) AS t, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS b FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text IS NOT NULL)) SELECT doc_id, CAST(sum(CASE WHEN b IN ('不','无','莫','未','休','勿') THEN -w ELSE w END) AS BIGINT) AS score, count(*) AS hits FROM c JOIN {rows_sql(PN, 'term, w')} ON t = term GROUP BY doc_id"
 )
 def text_08_simple_sentiment(s, d):
-    lex = s.createDataFrame(PN, "term string, w int")
-    t = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "term"), "text")
-    before = F.when(F.col("i") > 0, F.substring(F.col("text"), F.col("i"), F.lit(1))).otherwise("")
-    j = t.select("doc_id", "term", before.isin(*W.NEGATORS).alias("negated")).join(F.broadcast(lex), "term")
-    return j.groupBy("doc_id").agg(F.sum(F.when(F.col("negated"), -F.col("w")).otherwise(F.col("w"))).alias("score"), n("hits"))
+    """Counts of single characters by two patterns for each polarity, in the scan's own stage."""
+    t = table(s, d, "documents").where("text is not null")
+    count = lambda chars, before="": F.regexp_count("text", F.lit(f"{before}[{''.join(chars)}]")).cast("bigint")
+    negated = f"(?<=[{''.join(W.NEGATORS)}])"
+    score = count(W.POSITIVE) - 2 * count(W.POSITIVE, negated) - count(W.NEGATIVE) + 2 * count(W.NEGATIVE, negated)
+    return t.select("doc_id", score.alias("score"), count([*W.POSITIVE, *W.NEGATIVE]).alias("hits")).where("hits > 0")
 
 
 CL = [(t, c) for c, ts in W.CLASSES.items() for t in ts]
@@ -142,6 +142,12 @@ def text_09_pseudo_label(s, d):
     return top.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("label")).otherwise("Uncertain").alias("label"))
 
 
+def _greedy_terms(s, d, low: int, singles: bool):
+    kept = [k for k in W.HEADINGS if low <= len(k) <= 5 or singles and len(k) == 1]
+    terms = F.regexp_extract_all("text", F.lit(f"({L.trie_pattern(kept)})"), F.lit(1))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(n())
+
+
 def _imagery(s, d):
     return L.greedy(table(s, d, "documents").where("text is not null"), "doc_id", "text", list(W.HEADINGS), 5, 2)
 
@@ -154,12 +160,13 @@ SHORT_TERMS = "".join(k for k in W.HEADINGS if len(k) == 1)
     f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{LONG_TERMS}')) AS term FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{LONG_TERMS}', '-', 'g'), '[{SHORT_TERMS}]')) FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2"
 )
 def text_10_greedy_two_phase(s, d):
-    return _imagery(s, d).groupBy("doc_id", "term").agg(n())
+    """A place that no term of two characters or more covers takes its single character: one pattern, longest terms first."""
+    return _greedy_terms(s, d, 2, True)
 
 
 @query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{LONG_TERMS}|[{SHORT_TERMS}]')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2")
 def text_11_greedy_one_phase(s, d):
-    return L.greedy(table(s, d, "documents").where("text is not null"), "doc_id", "text", list(W.HEADINGS), 5, 1, singles=False).groupBy("doc_id", "term").agg(n())
+    return _greedy_terms(s, d, 1, False)
 
 
 @query()
@@ -195,7 +202,7 @@ def text_13_rule_labels(s, d):
 def text_14_coverage(s, d):
     t = table(s, d, "canon_value").where("field_name = '花名'").select(F.col("entry").alias("term")).distinct()
     p = table(s, d, "product").select("id", "supplier_id", "name")
-    m = R.contains_join(p, "id", ["name"], t, "term", [3, 4]).join(p, "id")
+    m = R.contains_join(p, "id", ["name"], t, "term").join(p, "id")
     total = m.groupBy("supplier_id", "term").agg(n())
     ex = R.top_k(m, ["supplier_id", "term"], [F.asc("id")], 3).groupBy("supplier_id", "term").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"))
     return total.join(ex, ["supplier_id", "term"]).select("supplier_id", F.col("term").alias("entry"), "n", F.array_join(F.transform("x", lambda v: v["name"]), "|").alias("examples"))
@@ -275,4 +282,4 @@ def text_22_subset_frequency(s, d):
     t = table(s, d, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("term"))
     c = t.groupBy("term").agg(n("total"), F.count_if(F.col("lang") == "zh").alias("in_zh")).where("total >= 5")
     e = table(s, d, "canon_value").select(F.col("entry").alias("term"), F.lit(True).alias("e")).distinct()
-    return c.join(F.broadcast(e), "term", "left").select("term", "total", "in_zh", F.length("term").cast("bigint").alias("size"), F.coalesce("e", F.lit(False)).alias("is_entry"))
+    return c.join(R.small(e), "term", "left").select("term", "total", "in_zh", F.length("term").cast("bigint").alias("size"), F.coalesce("e", F.lit(False)).alias("is_entry"))
