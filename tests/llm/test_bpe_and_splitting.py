@@ -80,3 +80,71 @@ def test_split_oversized(spark):
     assert {r.doc_id for r in got} == {5}
     assert len(got) == 2 * got[0].n_pieces and all(r.n_tokens <= 1024 and r.piece == TEXTS[-1][r.char_start : r.char_end] for r in got)
     assert splitting.split_oversized(df.limit(0), "doc_id", "text").count() == 0
+
+
+TREE = """前言
+
+# 甲
+引子
+## 甲一
+- 一
+  - 一之一
+    - 深
+  - 一之二
+
+- 二
+  接着
+## 甲二
+
+段落一
+第二行
+
+段落二
+乙
+===
+```
+# 不是标题
+- 不是列表
+```
+<div><p>x</p><ul><li>y</li></ul></div>
+"""
+
+
+def test_structure_of_a_hand_made_tree():
+    at = {level: [TREE[i:].split("\n")[0] for i in places] for level, places in splitting.structure(TREE).items()}
+    item = splitting.ITEM
+    assert at[0] == ["# 甲", "乙"] and at[1] == ["## 甲一", "## 甲二"] and at[splitting.PARAGRAPH] == ["段落二"]
+    assert at[item][0] == "- 二" and at[item + 1] == ["  - 一之一", "  - 一之二", "<p>x</p><ul><li>y</li></ul></div>", "<ul><li>y</li></ul></div>", "</div>"] and at[item + 2] == ["    - 深", "<li>y</li></ul></div>", "</ul></div>"]
+    assert "# 不是标题" in at[splitting.LINE] and "- 不是列表" in at[splitting.LINE] and "第二行" in at[splitting.LINE]
+    assert splitting.structure("") == {} and splitting.structure("\n\n") == {}
+    assert splitting.structure("第一卷 a\n第二章 b\n第三节 c\n第四章 d\nPart 2\n") == {1: [6, 18], 2: [12], 0: [24]}
+
+
+def spans_of(text, most):
+    e = bpe.encoder(bpe.TOKENIZER)
+    words, counts, *_ = e.analyse([text])
+    return [text[a:b] for a, b in splitting._Text(text, words[0], counts[0]).pack(0, len(text), most)]
+
+
+def test_only_oversized_nodes_are_entered():
+    part = lambda head, n: head + "\n" + "word " * n + "\n"
+    small, large = [part(f"## s{i}", 20) for i in range(4)], part("## big", 20) + part("### b1", 60) + part("### b2", 60)
+    got = spans_of("# A\n" + small[0] + small[1] + large + small[2] + small[3], 100)
+    assert got == ["# A\n" + small[0] + small[1], part("## big", 20) + part("### b1", 60), part("### b2", 60), small[2] + small[3]]
+
+
+def test_lists_are_cut_between_items_of_the_least_depth():
+    item = lambda i, n: f"- item {i}\n" + "".join(f"  - part {i} {j} " + "w " * n + "\n" for j in range(3))
+    text = "".join(item(i, 10) for i in range(8))
+    got = spans_of(text, 150)
+    assert len(got) > 1 and all(x.startswith("- item") for x in got) and "".join(got) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["# a", "## b", "卷一", "- x", "  - y", "", "词句。又一句，半句", "<div>", "</div>", "```", "word " * 30, "===", "1. z"]), max_size=40), st.sampled_from([20, 60]))
+def test_pieces_of_any_structure_fill_the_text(lines, limit):
+    text = "\n".join(lines)
+    e = bpe.encoder(bpe.TOKENIZER)
+    total, found = splitting.pieces(e, [text], limit, 5)[0]
+    if found:
+        assert "".join(text[a:b] for a, b, *_ in found) == text and all(n <= limit for *_, n in found)

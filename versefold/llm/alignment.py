@@ -1,17 +1,19 @@
 """Evaluation texts leaking into training text (problem 8).
 
 Items and documents are compared by letters and digits in lower case. Seeds are n-grams of equal information: runs of 8
-ideographs or 22 letters (see minmax.weighted_shingles). Documents look up every one of their n-grams among those of the
+ideographs or 19 letters (see minmax.weighted_shingles). Documents look up every one of their n-grams among those of the
 items. A document becomes a candidate of an item by one rare seed (one that occurs in at most `rare` items) or by as
 many frequent seeds on one diagonal as a run of `run` characters must have, so frequent n-grams cost no candidates and
 lose none. Every candidate's windows are then scored by Smith-Waterman local alignment, all candidates of a batch
 together, and the longest run that the two have in common is measured.
 
 Any common run of `run` >= 19 characters holds a whole seed at its begin, so no such run is missed; edited and
-paraphrased passages are found as long as one seed of theirs is intact.
+paraphrased passages are found as long as one seed of theirs is intact. Their recall is measured in the tests against
+aligning every document with every item. Whether a pair counts as an exact leak (p8_found) is read off the longest run
+that the alignment's windows have in common, not off its score.
 
-The items are held-out passages of fixed number; they are broadcast in parts of at most MOST_CHARS characters, each part
-checked by an aggregate before it is collected.
+Items are broadcast in parts of at most MOST_CHARS characters, sized by an aggregate before they are collected, one part
+after another: with more than one part, each part's rows are written before the next part is collected.
 
 Defined cases: null, empty and blank texts match nothing; repeated documents come out each; a pair of document and item
 comes out once, with its best window; with equal scores the first window counts; items that are there twice count once, and null keys of items are left out.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key
+from ..session import Stage
 from .bpe import slices
 from .minmax import DENSE, SPARSE, weighted_shingles
 
@@ -132,12 +135,12 @@ def score(table: Items, code: np.ndarray, offsets: np.ndarray, d: np.ndarray, i:
     return out
 
 
-def _parts(items: DataFrame, key: str, text: str) -> list[tuple[np.ndarray, list[str]]]:
-    """The items in parts of bounded size: hash classes of the key, as many as their characters ask for."""
+def _parts(items: DataFrame, key: str, text: str) -> tuple[int, Iterator[tuple[np.ndarray, list[str]]]]:
+    """The number of parts, and the items in parts of bounded size: hash classes of the key, collected as they are asked for."""
     normal = items.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("i"), F.coalesce(alnum_key(F.col(f"`{text}`")), F.lit("")).alias("t")).distinct()
     n = 1 + int((normal.agg(F.sum(F.length("t"))).first()[0] or 0) // MOST_CHARS)
-    parts = [normal.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n)]
-    return [(np.array([r.i for r in rows], np.int64), [r.t for r in rows]) for rows in parts]
+    parts = (normal.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n))
+    return n, ((np.array([r.i for r in rows], np.int64), [r.t for r in rows]) for rows in parts)
 
 
 SCHEMA = "doc_id bigint, item_id bigint, score int, share double, longest_run int"
@@ -153,7 +156,8 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
         raise ValueError(f"a run must be at least as long as the longest seed, {SEED_LETTERS}")
     src = docs.where(F.col(f"`{doc_text}`").isNotNull()).select(F.col(f"`{doc_key}`").cast("bigint").alias("k"), alnum_key(F.col(f"`{doc_text}`")).alias("t"))
     outs = []
-    for ids, texts in _parts(items, item_key, item_text):
+    n, parts = _parts(items, item_key, item_text)
+    for k, (ids, texts) in enumerate(parts):
         value = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def find(batches: Iterable[pa.RecordBatch], value=value) -> Iterator[pa.RecordBatch]:
@@ -164,14 +168,23 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
                 h, start, _, count, code = weighted_shingles(docs_text, SEED, False)
                 offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, docs_text), np.int64, len(docs_text)))))
                 found = score(table, code, offsets, *candidates(table, h, start, np.repeat(np.arange(len(count)), count), run))
-                rows = [(d, i, v, v / (MATCH * int(size[i])), r) for (d, i), (v, r) in found.items() if v >= share * MATCH * int(size[i]) or r >= run]
+                best: dict[tuple[int, int], tuple[tuple[float, int], int]] = {}  # an item may have several texts
+                for (d, i), (v, r) in found.items():
+                    part, at = v / (MATCH * int(size[i])), (d, int(table.ids[i]))
+                    if part >= share or r >= run:
+                        score_, run_ = best.get(at, ((part, v), r))
+                        best[at] = (max(score_, (part, v)), max(run_, r))
+                rows = [(d, i, v, part, r) for (d, i), ((part, v), r) in best.items()]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(table.ids[list(cols[1])] if rows else [], pa.int64()), pa.array(cols[2], pa.int32()), pa.array([round(x, 4) for x in cols[3]], pa.float64()), pa.array(cols[4], pa.int32())],
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array([round(x, 4) for x in cols[3]], pa.float64()), pa.array(cols[4], pa.int32())],
                     names=["doc_id", "item_id", "score", "share", "longest_run"],
                 )
 
-        outs.append(src.mapInArrow(find, SCHEMA))
+        out = src.mapInArrow(find, SCHEMA)
+        outs.append(out if n == 1 else Stage(docs.sparkSession, "leaks").write(out, f"part{k}"))
+        if n > 1:
+            value.unpersist()
     out = outs[0]
     for x in outs[1:]:
         out = out.unionByName(x)

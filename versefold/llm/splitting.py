@@ -1,13 +1,19 @@
 """Splitting oversized texts at natural boundaries (problem 9).
 
-A text is read as a tree: sections at headings, paragraphs at blank lines, lines or list items, sentences, clauses,
-pretokens of the tokenizer. Sibling subtrees are merged as long as they fit; only a node that is too large by itself is
-entered. Sizes are tokens. Each piece but the first begins `overlap` tokens before the end of the piece before it, at
-the nearest place at or before that which does not cut a character.
+A text is read as a tree of its structure: sections by the depth of their headings (Markdown, underlined or HTML headings;
+volumes, chapters and sections named as such), paragraphs, lists and block elements of markup by their nesting, and below
+them lines, sentences, clauses, pretokens of the tokenizer and characters. A section ends where a heading of its own or a
+lesser depth begins, an item where the next item of its own or a lesser depth does; a heading stays with what follows it.
+Fenced code has lines only.
+
+Packing goes bottom-up: a node that fits is one subtree; only a node that is too large by itself is entered, its children
+are packed first, and neighbouring siblings that fit are merged as long as the sum fits. Sizes are tokens. Each piece but
+the first begins `overlap` tokens before the end of the piece before it, at the nearest place at or before that which does
+not cut a character.
 
 Defined cases: null, empty and blank texts and texts within the limit give no pieces. A single pretoken longer than the
 limit is cut between characters. Rows with the same key are split each for itself. The pieces without their overlaps,
-one after another, are the text.
+one after another, are the text. Structure that is not closed (a tag, a fence) ends with the text.
 """
 
 from __future__ import annotations
@@ -24,15 +30,94 @@ from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, Encoder, encoder, may_exceed, shared, slices
 
-#: Places where a text may be cut, from the strongest: the cut is at the end of the match.
-HEADING = regex.compile(r"\n(?=[ \t　]*(?:#{1,6}\s|卷\s*[\d一二三四五六七八九十百]|第[\d一二三四五六七八九十百千]+[章卷回节節部篇]|(?i:chapter|part|book)\s+[\divxlc]))")
-BOUNDARIES = [
-    HEADING,
-    regex.compile(r"\n[^\S\n]*\n\s*"),
-    regex.compile(r"\n+"),
-    regex.compile(r"[。！？!?…]+[”’」』）)\"']*|\.[”’\"')]*(?=\s)"),
-    regex.compile(r"[；;：:，,、]+|\s(?=\S)"),
+#: Levels of the tree: headings by depth, paragraphs, items and elements by nesting, lines, and within lines.
+DEPTHS, NESTED = 6, 8
+PARAGRAPH = DEPTHS
+ITEM = PARAGRAPH + 1
+LINE = ITEM + NESTED
+SENTENCE, CLAUSE, PRETOKEN = LINE + 1, LINE + 2, LINE + 3
+INLINE = {
+    SENTENCE: regex.compile(r"[。！？!?…]+[”’」』）)\"']*|\.[”’\"')]*(?=\s)"),
+    CLAUSE: regex.compile(r"[；;：:，,、]+|\s(?=\S)"),
+}
+_NUMBER = r"[\d一二三四五六七八九十百千]+"
+#: Headings that are named as such, with their depth.
+NAMED = [
+    (1, regex.compile(rf"[ \t　]*(?:第{_NUMBER}[卷部篇編编]|卷\s*{_NUMBER}|(?i:part|book|volume)\s+[\divxlc]+\b)")),
+    (2, regex.compile(rf"[ \t　]*(?:第{_NUMBER}[章回]|(?i:chapter)\s+[\divxlc]+\b)")),
+    (3, regex.compile(rf"[ \t　]*(?:第{_NUMBER}[节節]|(?i:section)\s+[\divxlc]+\b)")),
 ]
+HASHES = regex.compile(r" {0,3}(#{1,6})(?:\s|$)")
+UNDERLINE = regex.compile(r" {0,3}(=+|-{2,})[ \t]*$")
+BULLET = regex.compile(rf"([ \t　]*)(?:[-*+•·◦▪]\s|\d{{1,3}}[.)](?=\s)|{_NUMBER}、|[（(]{_NUMBER}[)）])")
+FENCE = regex.compile(r" {0,3}(`{3,}|~{3,})")
+BLOCKS = "section|article|aside|header|footer|main|nav|div|ul|ol|li|dl|dd|table|thead|tbody|tr|p|blockquote|pre|figure|poem|chapter|body|stanza"
+TAG = regex.compile(rf"<(?P<close>/)?(?:(?P<name>{BLOCKS})|h(?P<depth>[1-6]))\b[^<>]*>", regex.I)
+
+
+def structure(text: str) -> dict[int, list[int]]:
+    """level -> places, sorted, at which a node of this level begins; levels above SENTENCE."""
+    found: dict[int, int] = {}  # place -> strongest level
+    indents: list[int] = []
+    fence, blank, heading, begin, before = "", False, True, 0, None
+    note = lambda at, level: found.__setitem__(at, min(level, found.get(at, LINE)))
+    for line in text.splitlines(keepends=True) if "\r" in text else regex.findall(r"[^\n]*\n|[^\n]+", text):
+        bare = line.strip()
+        mark = FENCE.match(line)
+        depth = None
+        if fence:
+            note(begin, LINE)
+            if mark and mark[1].startswith(fence):
+                fence = ""
+        elif not bare:
+            blank = True
+            begin += len(line)
+            continue
+        else:
+            if mark:
+                fence = mark[1]
+            elif m := HASHES.match(line):
+                depth = len(m[1])
+            elif (m := UNDERLINE.match(line)) and before is not None and not blank and not heading:
+                note(before, 0 if m[1][0] == "=" else 1)
+                indents, heading = [], True
+                note(begin, LINE)
+                before, begin = None, begin + len(line)
+                continue
+            elif len(bare) <= 80:
+                depth = next((d for d, p in NAMED if p.match(line)), None)
+            if depth:
+                note(begin, depth - 1)
+                indents = []
+            elif m := BULLET.match(line):
+                width = len(m[1].expandtabs(4))
+                while indents and indents[-1] >= width:
+                    indents.pop()
+                level = min(ITEM + len(indents), LINE - 1)
+                indents.append(width)
+                note(begin, LINE if heading else level)
+            else:
+                if blank and not line[:1].isspace():
+                    indents = []
+                note(begin, PARAGRAPH if blank and not heading and not (indents and line[:1].isspace()) else LINE)
+        heading, blank, before = bool(depth), False, begin
+        begin += len(line)
+    nested = 0
+    for m in TAG.finditer(text):
+        if m["depth"]:
+            if not m["close"]:
+                note(m.start(), int(m["depth"]) - 1)
+        elif not m["close"]:
+            note(m.start(), min(ITEM + nested, LINE - 1))
+            nested += 1
+        elif nested:
+            nested -= 1
+            note(m.end(), min(ITEM + nested, LINE - 1))
+    out: dict[int, list[int]] = {}
+    for at in sorted(found):
+        if 0 < at < len(text):
+            out.setdefault(found[at], []).append(at)
+    return out
 
 
 class _Text:
@@ -42,7 +127,7 @@ class _Text:
         self.text = text
         self.at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))).tolist()
         self.tokens = np.concatenate(([0], np.cumsum(count))).tolist()
-        self.cuts: dict[int, list[int]] = {}
+        self.cuts = structure(text)
 
     def before(self, x: int) -> float:
         """Tokens before a character; within a pretoken in proportion."""
@@ -59,30 +144,29 @@ class _Text:
     def edges(self, level: int, a: int, b: int) -> list[int]:
         """Inner cuts of the span at this level, strictly between its ends."""
         if level not in self.cuts:
-            rules = len(BOUNDARIES)
-            self.cuts[level] = [m.end() for m in BOUNDARIES[level].finditer(self.text)] if level < rules else self.at if level == rules else list(range(len(self.text) + 1))
+            self.cuts[level] = [] if level < SENTENCE else [m.end() for m in INLINE[level].finditer(self.text)] if level in INLINE else self.at if level == PRETOKEN else list(range(len(self.text) + 1))
         c = self.cuts[level]
         return c[bisect_right(c, a) : bisect_left(c, b)]
 
     def pack(self, a: int, b: int, most: int, level: int = 0) -> list[tuple[int, int]]:
-        """Spans of at most `most` tokens that fill [a, b): siblings merged, oversized nodes entered."""
+        """Spans of at most `most` tokens that fill [a, b): only oversized nodes are entered, siblings are merged bottom-up."""
         if self.size(a, b) <= most or b - a <= 1:
             return [(a, b)]
-        out: list[tuple[int, int]] = []
         inner = self.edges(level, a, b)
-        if not inner:
-            return self.pack(a, b, most, level + 1)
-        open_a = None  # begin of a run of siblings that may still grow
+        while not inner:
+            level += 1
+            inner = self.edges(level, a, b)
+        packed: list[tuple[int, int, bool]] = []  # begin, end, whether it is a whole subtree
         for x, y in zip([a, *inner], [*inner, b]):
-            if open_a is not None and self.size(open_a, y) <= most:
-                out[-1] = (open_a, y)
-            elif self.size(x, y) <= most:
-                out.append((x, y))
-                open_a = x
+            spans = self.pack(x, y, most, level + 1)
+            packed += [(p, q, len(spans) == 1) for p, q in spans]
+        out: list[tuple[int, int, bool]] = []
+        for p, q, whole in packed:
+            if out and whole and out[-1][2] and self.size(out[-1][0], q) <= most:
+                out[-1] = (out[-1][0], q, True)
             else:
-                out += self.pack(x, y, most, level + 1)
-                open_a = None
-        return out
+                out.append((p, q, whole))
+        return [(p, q) for p, q, _ in out]
 
 
 def _starts(enc: Encoder, text: str, ids: np.ndarray, cores: list[tuple[int, int]], overlap: int) -> list[tuple[int, int]]:
