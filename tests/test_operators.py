@@ -103,9 +103,31 @@ def test_textrank(spark):
     assert got[2, "bb"] > got[2, "aa"] and sum(v for (i, _), v in got.items() if i == 2) == pytest.approx(3.0)
 
 
+def texts_of(spark, rows):
+    texts = {}
+    for i, t, n in rows:
+        texts.setdefault(i, []).extend([t] * n)
+    return spark.createDataFrame([*texts.items(), (99, [])], "id int, t array<string>")
+
+
+def test_places_and_fusion_equal_sorting(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 6)), None if i % 5 == 0 else float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, a double, b double")
+    order = {c: {r[0]: p for p, r in enumerate(sorted(rows, key=lambda r: (r[c] is None, -(r[c] or 0.0), r[0])), 1)} for c in (1, 2)}
+    keys = np.array([3, 10, 77, 390])
+    values = np.array([[-np.inf if rows[k][c] is None else rows[k][c] for k in keys] for c in (1, 2)])
+    assert V.places(df, "k", ["a", "b"], keys, values).tolist() == [[order[c][k] for k in keys.tolist()] for c in (1, 2)]
+    want = sorted(((-round(0.7 / (60 + order[1][r[0]]) + 0.3 / (60 + order[2][r[0]]), 7), r[0]) for r in rows))[:25]
+    for how in ({}, {"first": 4}, {"first": 64, "most": 1}):  # at once, by growing heads, by ranking all
+        got = V.fused_top(df, "k", {"a": 0.7, "b": 0.3, "c": 0.0}, 25, **how)
+        assert [(k, s) for k, s in got] == [(k, pytest.approx(-s)) for s, k in want]
+    assert V.fused_top(df.limit(0), "k", {"a": 1.0}, 5) == []
+
+
 def test_bm25_by_hand(spark):
     rows = [(1, "aa", 2), (1, "bb", 1), (2, "bb", 3)]
-    got = {r.id: r.score for r in V.bm25(spark.createDataFrame(rows, "id int, term string, tf int"), "id", ["aa", "aa"]).collect()}
+    got = {r.id: r.score for r in V.bm25(texts_of(spark, rows), "id", F.col("t"), ["aa", "aa"]).collect()}
     idf = np.log((2 - 1 + 0.5) / 1.5 + 1)
     assert got == {1: pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 3)))}
 

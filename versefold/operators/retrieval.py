@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Stage, cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,7 +23,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector of length 1; a zero vector stays zero."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The length is bound to a lambda variable, so that it is not computed again for every element.
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
@@ -97,21 +98,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def bm25(counts: DataFrame, key: str, query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(df: DataFrame, key: str, toks: Column, query: Sequence[str], k1: float = 1.5, b: float = 0.75, hits_only: bool = True) -> DataFrame:
     """key, score: query tokens count with multiplicity; idf = ln((N - df + 0.5) / (df + 0.5) + 1).
 
-    counts: key, term, tf of all documents. Lengths, the corpus size and the average are partial aggregates.
+    Lengths and the query's few term frequencies are expressions on each row's tokens; the corpus statistics are one row of
+    partial aggregates, so nothing is exploded or shuffled. N counts documents with a token. Documents without any query
+    term are left out (hits_only) or have a score of 0.
     """
-    spark = counts.sparkSession
-    q = spark.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "term string, times int")
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = counts.join(F.broadcast(q), "term")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return j.groupBy(key).agg(F.sum(part * F.col("times")).alias("score"))
+    terms = sorted(set(query))
+    times = lambda word: F.size(F.filter("t", lambda x: x == word))
+    each = df.select(key, toks.alias("t")).select(key, F.size("t").alias("dl"), F.array(*map(times, terms)).cast("array<int>").alias("tf"))
+    each = each.where("dl > 0") if hits_only else each
+    has = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = each.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *has)
+
+    def part(i: int, word: str) -> Column:
+        tf, n_docs = F.col("tf")[i], F.col(f"df{i}")
+        idf = F.log((F.col("n") - n_docs + 0.5) / (n_docs + 0.5) + 1)
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * query.count(word)).otherwise(0.0)
+
+    score = sum((part(i, w) for i, w in enumerate(terms)), F.lit(0.0))
+    scored = each.crossJoin(F.broadcast(stats))
+    return (scored.where(F.exists("tf", lambda x: x > 0)) if hits_only else scored).select(key, score.alias("score"))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
@@ -124,15 +132,72 @@ def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFr
     return spread.withColumn(rank, local).join(F.broadcast(before), "__p").withColumn(rank, F.col(rank) + F.coalesce("before", F.lit(0))).drop("__p", "__m", "n", "before")
 
 
-def fuse(channels: Sequence[tuple[DataFrame, float]], key: str, k: int = 60) -> DataFrame:
-    """key, score = sum of weight / (k + rank); channels of weight 0 are left out. A channel has columns key and rank."""
-    parts = [c.select(key, (F.lit(float(w)) / (F.lit(float(k)) + F.col("rank"))).alias("s")) for c, w in channels if w]
+def fuse(channels: Sequence[tuple[DataFrame | Callable[[], DataFrame], float]], key: str, k: int = 60) -> DataFrame:
+    """key, score = sum of weight / (k + rank). A channel has columns key and rank, or is a function that makes them; of weight 0 it is not made."""
+    made = [(c() if callable(c) else c, w) for c, w in channels if w]
+    parts = [c.select(key, (F.lit(float(w)) / (F.lit(float(k)) + F.col("rank"))).alias("s")) for c, w in made]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(key).agg(F.sum("s").alias("score"))
 
 
+def places(scores: DataFrame, key: str, channels: Sequence[str], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(channels, candidates): place of each candidate among all rows, by falling score, then key; null scores come last.
+
+    Counting instead of sorting: a map over the rows merges each batch with the candidates, and the counts of rows in front
+    of each are summed. values: the candidates' scores (channels, candidates), -inf for null.
+    """
+    value = scores.sparkSession.sparkContext.broadcast((keys, values))
+    m, n = values.shape
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        keys, values = value.value
+        ahead = np.zeros((m, n), np.int64)
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            for i in range(m):
+                s = np.asarray(batch.column(i + 1).fill_null(-np.inf))
+                order = np.lexsort((np.concatenate((keys, own)), -np.concatenate((values[i], s))))
+                is_row = order >= n
+                ahead[i][order[~is_row]] += np.cumsum(is_row)[~is_row]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m * n)), pa.array(ahead.ravel())], names=["i", "ahead"])
+
+    rows = scores.select(key, *channels).mapInArrow(run, "i bigint, ahead bigint").groupBy("i").agg(F.sum("ahead").alias("ahead")).collect()
+    out = np.zeros(m * n, np.int64)
+    for r in rows:
+        out[r.i] = r.ahead
+    return out.reshape(m, n) + 1
+
+
+def fused_top(scores: DataFrame, key: str, weights: dict[str, float], needed: int, k: int = 60, first: int = 512, most: int = 32_768, digits: int = 7) -> list[tuple[int, float]]:
+    """The `needed` best (key, score) by reciprocal rank fusion over all rows, score rounded, equal ones by key; exact.
+
+    scores: an integer key and one column for each channel. Only the first `first` rows of every channel are candidates:
+    a row outside of all of them has a score of at most sum of weight / (k + first + 1). If the last one needed is not
+    above that, four times as many are taken; beyond `most` all rows are ranked by range partitions instead.
+    """
+    on = {c: w for c, w in weights.items() if w}
+    scores = Stage(scores.sparkSession, "channels").write(scores.select(key, *on), "scores")
+    n = scores.count()
+    while first <= most or n <= first:
+        heads = [scores.orderBy(F.desc_nulls_last(c), key).limit(first) for c in on]
+        found = {r[0]: [-np.inf if x is None else x for x in r[1:]] for h in heads for r in h.collect()}
+        keys = np.array(sorted(found), np.int64)
+        if not len(keys):
+            return []
+        values = np.array([found[x] for x in keys.tolist()], np.float64).T
+        rank = places(scores, key, list(on), keys, values)
+        score = sum(w / (k + rank[i]) for i, w in enumerate(on.values()))
+        best = sorted((-round(float(v), digits), int(x)) for v, x in zip(score, keys))[:needed]
+        if n <= first or len(best) == needed and -best[-1][0] > sum(on.values()) / (k + first + 1) + 10.0**-digits:
+            return [(x, -v) for v, x in best]
+        first *= 4
+    ranks = [(ranked(scores.select(key, c), [F.desc_nulls_last(c), F.asc(key)]), w) for c, w in on.items()]
+    fused = fuse(ranks, key, k).select(key, F.round("score", digits).alias("score"))
+    return [tuple(r) for r in fused.orderBy(F.desc("score"), key).limit(needed).collect()]
+
+
 def channel_weights(base: dict[str, float], active: Iterable[str]) -> dict[str, float]:
     """Weights of inactive channels become 0, the others sum to 1."""
     on = set(active)

@@ -53,14 +53,16 @@ def cooccurrence(df: DataFrame, key: str, toks: Column, window: int = 4) -> Data
     """key, a, b, w: how often b stands within `window` places of a, a and b different; built from shifted arrays, without a self-join."""
     t = df.select(key, toks.alias("t"))
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda d: F.when(F.size("t") > d, F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - d).alias("a"), F.slice("t", d + 1, F.size("t") - d).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))))
-    one = t.select(key, F.explode(pairs).alias("p")).select(key, "p.a", "p.b").where("a <> b")
-    return one.unionByName(one.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
+    one = t.select(key, F.explode(pairs).alias("p")).select(key, F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
+    half = one.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))  # each pair in one direction; the other one is the same
+    return half.select(key, "w", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(key, "p.a", "p.b", "w")
 
 
-def textrank(df: DataFrame, key: str, toks: Column, window: int = 4, rounds: int = 30, damping: float = 0.85) -> DataFrame:
-    """key, term, score: unnormalised PageRank on each document's co-occurrence graph; under three tokens every score is 1.
+def textrank(df: DataFrame, key: str, toks: Column, window: int = 4, rounds: int = 30, damping: float = 0.85, k: int = 10, digits: int = 6) -> DataFrame:
+    """key, term, score, rank: the k best terms by unnormalised PageRank on each document's co-occurrence graph; under three tokens every score is 1.
 
-    The graph is one document's, so a document's rounds run as numpy inside one Arrow batch, without any shuffle.
+    The graph is one document's, so a document's rounds and its ranking run inside one Arrow batch, without any shuffle.
+    Scores are rounded to `digits`; equal ones by term.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -82,7 +84,10 @@ def textrank(df: DataFrame, key: str, toks: Column, window: int = 4, rounds: int
 
     def run(batches):
         for pdf in batches:
-            rows = [(k, t, v) for k, toks in zip(pdf["k"], pdf["t"]) for t, v in one(list(toks)).items()]
-            yield pd.DataFrame(rows, columns=[key, "term", "score"])
+            rows = []
+            for name, toks in zip(pdf["k"], pdf["t"]):
+                best = sorted(((-round(v, digits), t) for t, v in one(list(toks)).items()))[:k]
+                rows += [(name, t, -v, i) for i, (v, t) in enumerate(best, 1)]
+            yield pd.DataFrame(rows, columns=[key, "term", "score", "rank"])
 
-    return df.select(F.col(key).alias("k"), toks.alias("t")).where(F.size("t") > 0).mapInPandas(run, f"{key} {kind}, term string, score double")
+    return df.select(F.col(key).alias("k"), toks.alias("t")).where(F.size("t") > 0).mapInPandas(run, f"{key} {kind}, term string, score double, rank bigint")

@@ -10,10 +10,13 @@ from ..functions.text import grams
 from ..operators import lexicon as L
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..operators import text_stats as T
 from ..session import table
-from .aggregates import LONG, counts
+from . import lexicons as W
+from .aggregates import LONG
 from .joins import NEAREST, _nearest
 from .registry import query
+from .texts import DIMENSION_SQL, DIMS, dimension_counts, idf_vectors
 
 QUERY = ["霜风", "孤灯", "寒烟", "孤灯"]
 
@@ -22,7 +25,7 @@ bm AS (SELECT doc_id, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)
 
 
 def _bm25(s, d):
-    return V.bm25(counts(s, d), "doc_id", QUERY)
+    return V.bm25(table(s, d, "documents"), "doc_id", T.tokens(F.col("text")), QUERY)
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 5) AS score FROM bm")
@@ -71,21 +74,19 @@ def ret_05_dimension_channel(s, d):
     return _ranked(_channel(s, d, 6, [1, 0, 2, 0, 1, 1, 0, 0, 3]))
 
 
-@query("WITH q AS (SELECT list_transform(range(1, 65), lambda i: (a[i] + b[i]) / 2) AS q FROM (SELECT max(CASE WHEN vec_id = 3 THEN CAST(embedding AS DOUBLE[]) END) AS a, max(CASE WHEN vec_id = 9 THEN CAST(embedding AS DOUBLE[]) END) AS b FROM embeddings)) SELECT vec_id, row_number() OVER (ORDER BY round(c, 9) DESC NULLS LAST, vec_id) AS rank FROM (SELECT vec_id, CASE WHEN label <> 0 THEN list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) END AS c FROM embeddings, q)")
+@query("WITH u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (3, 9))), q AS (SELECT list_transform(range(1, len(a) + 1), lambda i: (a[i] + b[i]) / 2) AS q FROM (SELECT max(CASE WHEN vec_id = 3 THEN u END) AS a, max(CASE WHEN vec_id = 9 THEN u END) AS b FROM u)) SELECT vec_id, row_number() OVER (ORDER BY round(c, 9) DESC NULLS LAST, vec_id) AS rank FROM (SELECT vec_id, CASE WHEN label <> 0 THEN list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) END AS c FROM embeddings, q)")
 def ret_06_embedding_channel(s, d):
-    """The mean of two query vectors; rows without a vector (here: of label 0) come last."""
+    """The mean of two unit query vectors, of length 1 again; rows without a vector (here: of label 0) come last."""
     e = table(s, d, "embeddings")
-    one = lambda k: F.max(F.when(F.col("vec_id") == k, F.transform("embedding", lambda x: x.cast("double"))))
-    q = e.where("vec_id in (3, 9)").agg(F.zip_with(one(3), one(9), lambda a, b: (a + b) / 2).alias("q"))
-    c = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.when(F.col("label") != 0, V.cosine(F.col("embedding"), F.col("q"))), 9).alias("c"))
+    c = e.crossJoin(F.broadcast(unit_query(e, [3, 9]))).select("vec_id", F.round(F.when(F.col("label") != 0, V.cosine(F.col("embedding"), F.col("q"))), 9).alias("c"))
     return V.ranked(c, [F.desc_nulls_last("c"), F.asc("vec_id")]).select("vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 # Weights of the four channels.
-BASE = {"embedding": 0.30, "imagery": 0.30, "sentiment": 0.25, "dimension": 0.15}
+BASE = {"imagery": 0.30, "sentiment": 0.30, "dimension": 0.25, "embedding": 0.15}
 
 
-@query("SELECT name, round(weight, 6) AS weight FROM (VALUES ('embedding', 0.0::DOUBLE), ('imagery', 0.3::DOUBLE / 0.7::DOUBLE), ('sentiment', 0.25::DOUBLE / 0.7::DOUBLE), ('dimension', 0.15::DOUBLE / 0.7::DOUBLE)) v(name, weight)")
+@query("SELECT name, round(weight, 6) AS weight FROM (VALUES ('embedding', 0.0::DOUBLE), ('imagery', 0.3::DOUBLE / 0.85::DOUBLE), ('sentiment', 0.3::DOUBLE / 0.85::DOUBLE), ('dimension', 0.25::DOUBLE / 0.85::DOUBLE)) v(name, weight)")
 def ret_07_channel_weights(s, d):
     w = V.channel_weights(BASE, ["imagery", "sentiment", "dimension"])
     return s.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "name string, weight double")
@@ -93,25 +94,69 @@ def ret_07_channel_weights(s, d):
 
 @query(f"WITH a AS ({_ranked_sql(_channel_sql(1, [0.9, 0.1, 0.2, 0.1, 0.4]))}), b AS ({_ranked_sql(_channel_sql(6, [1, 0, 2, 0, 1, 1, 0, 0, 3]))}) SELECT vec_id, round(sum(s), 7) AS score FROM (SELECT vec_id, 0.6::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT vec_id, 0.4::DOUBLE / (60 + rank) FROM b) GROUP BY vec_id")
 def ret_08_rrf(s, d):
-    f = V.fuse([(ret_04_sentiment_channel(s, d), 0.6), (ret_05_dimension_channel(s, d), 0.4), (ret_04_sentiment_channel(s, d), 0.0)], "vec_id")
+    f = V.fuse([(ret_04_sentiment_channel(s, d), 0.6), (ret_05_dimension_channel(s, d), 0.4), (lambda: ret_04_sentiment_channel(s, d), 0.0)], "vec_id")
     return f.select("vec_id", F.round("score", 7).alias("score"))
 
 
-HYBRID = f"""WITH {BM25}, l AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm), k AS (SELECT doc_id, row_number() OVER (ORDER BY abs(n_chars - 90), doc_id) AS rank FROM documents WHERE n_chars IS NOT NULL),
-f AS (SELECT doc_id, round(sum(s), 7) AS score FROM (SELECT doc_id, 0.5::DOUBLE / (60 + rank) AS s FROM l UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + rank) FROM k) GROUP BY 1),
-h AS (SELECT doc_id, score, source FROM f JOIN documents USING (doc_id) WHERE source IS NOT NULL ORDER BY score DESC, doc_id LIMIT 60), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS n FROM h)
+#: What a user asks for: words for the lexical channel, a mood, a text whose keywords make the nine dimensions, two vectors.
+MOOD, WISH = W.MOODS["思念"], "秋窗送别，想看清雅的花"
+WISHED = [float(sum(w in WISH for w in W.DIMENSION_WORDS[k])) for k in DIMS]
+_CLASSES = {k: "".join(ws) for k, ws in W.EMOTIONS.items()}
+
+
+def unit_query(vectors, keys):
+    """One row q: the mean of the unit query vectors, of length 1 again."""
+    one = lambda k: F.max(F.when(F.col("vec_id") == k, F.transform(V.unit(F.col("embedding")), lambda x: x)))
+    mean = F.zip_with(one(keys[0]), one(keys[1]), lambda a, b: (a + b) / 2)
+    return vectors.where(F.col("vec_id").isin(*keys)).agg(mean.alias("m")).select(V.unit(F.col("m")).alias("q"))
+
+
+def channels(s, d):
+    """doc_id, source and the four channels' scores: lexical, mood, dimensions, embedding (null where there is no vector)."""
+    docs = table(s, d, "documents").where("text is not null")
+    lexical = V.bm25(docs, "doc_id", T.tokens(F.col("text")), QUERY, hits_only=False).select("doc_id", F.round("score", 9).alias("imagery"))
+    found = [F.regexp_count("text", F.lit(f"[{c}]")) for c in _CLASSES.values()]
+    total = sum(found[1:], found[0]) + 1
+    shares = F.array(*[x / total for x in found], F.lit(1.0) / total)
+    mood = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.round(V.cosine(shares, F.array(*[F.lit(x) for x in MOOD])), 9).alias("sentiment"))
+    v = idf_vectors(dimension_counts(docs))
+    dims = v.select("doc_id", F.round(V.cosine(F.array(*DIMS), F.array(*[F.lit(x) for x in WISHED])), 9).alias("dimension"))
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    near = e.crossJoin(F.broadcast(unit_query(e, [3, 9]))).select(F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 9).alias("embedding"))
+    return mood.join(lexical, "doc_id").join(dims, "doc_id").join(near, "doc_id", "left")
+
+
+def _cosine_sql(xs: list[str], ys: list[float]) -> str:
+    dot = " + ".join(f"({x}) * {y}::DOUBLE" for x, y in zip(xs, ys))
+    norm = " + ".join(f"({x}) * ({x})" for x in xs)
+    return f"CASE WHEN sqrt({norm}) * {sum(y * y for y in ys) ** 0.5}::DOUBLE > 1e-12 THEN ({dot}) / (sqrt({norm}) * {sum(y * y for y in ys) ** 0.5}::DOUBLE) ELSE 0 END"
+
+
+_COUNTS = ", ".join(f"CAST(length(text) - length(regexp_replace(text, '[{c}]', '', 'g')) AS DOUBLE) AS {k}" for k, c in _CLASSES.items())
+_TOTAL = "(" + " + ".join(_CLASSES) + " + 1)"
+HYBRID = f"""WITH {BM25}, {DIMENSION_SQL}, em AS (SELECT doc_id, source, {_COUNTS} FROM documents WHERE text IS NOT NULL),
+mo AS (SELECT doc_id, coalesce(source, '') AS source, round({_cosine_sql([f"{k} / {_TOTAL}" for k in _CLASSES] + [f"1.0::DOUBLE / {_TOTAL}"], MOOD)}, 9) AS sentiment FROM em),
+dm AS (SELECT doc_id, round({_cosine_sql(DIMS, WISHED)}, 9) AS dimension FROM dv),
+ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), eu AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM ev WHERE vec_id IN (3, 9)),
+eq AS (SELECT list_transform(range(1, len(a) + 1), lambda i: (a[i] + b[i]) / 2) AS q FROM (SELECT max(CASE WHEN vec_id = 3 THEN u END) AS a, max(CASE WHEN vec_id = 9 THEN u END) AS b FROM eu)),
+ec AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(v, q), 9) AS embedding FROM ev, eq),
+al AS (SELECT doc_id, source, sentiment, dimension, embedding, round(coalesce(score, 0), 9) AS imagery FROM mo JOIN dm USING (doc_id) LEFT JOIN ec USING (doc_id) LEFT JOIN bm USING (doc_id)),
+rk AS (SELECT doc_id, source, {", ".join(f"row_number() OVER (ORDER BY {c} DESC NULLS LAST, doc_id) AS r_{c}" for c in BASE)} FROM al),
+h AS (SELECT doc_id, source, round({" + ".join(f"{w}::DOUBLE / (60 + r_{c})" for c, w in BASE.items())}, 7) AS score FROM rk ORDER BY score DESC, doc_id LIMIT 60),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS n FROM h)
 SELECT doc_id, source, score, 'rank ' || row_number() OVER (ORDER BY score DESC, doc_id) || ' from ' || source AS explanation FROM (SELECT * FROM c WHERE n <= 2 ORDER BY score DESC, doc_id LIMIT 10)"""
 
 
 @query(HYBRID)
 def ret_hybrid_recommendation(s, d):
-    """BM25 and a length channel fused by reciprocal ranks, at most two of a source, the ten best with an explanation."""
-    docs = table(s, d, "documents").select("doc_id", "source", "n_chars")
-    lexical = V.ranked(_bm25(s, d).select("doc_id", F.round("score", 9).alias("score")), [F.desc("score"), F.asc("doc_id")])
-    near = V.ranked(docs.where("n_chars is not null").select("doc_id", F.abs(F.col("n_chars") - 90).alias("gap")), [F.asc("gap"), F.asc("doc_id")])
-    f = V.fuse([(lexical, 0.5), (near, 0.5)], "doc_id").select("doc_id", F.round("score", 7).alias("score"))
+    """Four channels (lexical, mood, nine dimensions, embedding) fused by reciprocal ranks with the active ones' weights, at most two of a source, the ten best with an explanation."""
+    active = ["imagery", "sentiment", *(["dimension"] if any(WISHED) else []), "embedding"]
+    scores = channels(s, d)
+    best = V.fused_top(scores.select("doc_id", *active), "doc_id", V.channel_weights(BASE, active), 60)
+    f = s.createDataFrame(best, "doc_id bigint, score double")  # sixty rows
     order = [F.desc("score"), F.asc("doc_id")]
-    top = R.cap_per_group(f.join(docs.where("source is not null").select("doc_id", "source"), "doc_id"), "source", order, 2, 10)
+    source = table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    top = R.cap_per_group(source.join(F.broadcast(f), "doc_id"), "source", order, 2, 10)
     rank = F.row_number().over(Window.orderBy(*order))  # ten rows
     return top.select("doc_id", "source", "score", F.format_string("rank %d from %s", rank, F.col("source")).alias("explanation"))
 

@@ -72,8 +72,7 @@ def text_03_tfidf_top20(s, d):
 
 @query()
 def text_04_textrank(s, d):
-    x = T.textrank(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")))
-    return R.top_k(x.select("doc_id", "term", F.round("score", 6).alias("score")), ["doc_id"], [F.desc("score"), F.asc("term")], 10)
+    return T.textrank(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")))
 
 
 @query(
@@ -169,7 +168,12 @@ def text_11_greedy_one_phase(s, d):
     return _greedy_terms(s, d, 1, False)
 
 
-@query()
+_HEADS = rows_sql(list(W.HEADINGS.items()), "term, heading")
+MATCHES = f"""m AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{LONG_TERMS}')) AS term FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{LONG_TERMS}', '-', 'g'), '[{SHORT_TERMS}]')) FROM documents WHERE text IS NOT NULL)),
+by_heading AS (SELECT doc_id, heading, count(*) AS n FROM m JOIN {_HEADS} USING (term) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {MATCHES} SELECT doc_id, string_agg(heading, '、' ORDER BY n DESC, heading) AS headings, string_agg(heading || ':' || n, '|' ORDER BY n DESC, heading) AS frequency, string_agg('卷一/' || heading || '/词', '|' ORDER BY n DESC, heading) AS paths, any_value(raw) AS raw_words FROM by_heading JOIN (SELECT doc_id, string_agg(DISTINCT term, '|' ORDER BY term) AS raw FROM m GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
 def text_12_imagery_table(s, d):
     heads = F.create_map(*[F.lit(x) for kv in W.HEADINGS.items() for x in kv])
     m = _imagery(s, d).withColumn("heading", F.try_element_at(heads, F.col("term")))
@@ -224,20 +228,47 @@ def text_16_term_expansion(s, d):
     return t.select("ref_id", F.array_join(x, " ").alias("boosted"))
 
 
-def _dims(s, d):
-    t = table(s, d, "documents").where("text is not null").select("doc_id", *[F.regexp_count("text", F.lit(c)).alias(k) for k, c in (("sky", "[云月雪雨]"), ("land", "[山湖溪江]"), ("house", "[楼台窗门]"))])
-    return t
+DIMS = list(W.DIMENSIONS)
 
 
-@query(
-    "WITH t AS (SELECT doc_id, " + ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g')) AS {k}" for k, c in (("sky", "[云月雪雨]"), ("land", "[山湖溪江]"), ("house", "[楼台窗门]"))) + " FROM documents WHERE text IS NOT NULL), i AS (SELECT " + ", ".join(f"ln(count(*) / greatest(1, count(*) FILTER ({k} > 0))::DOUBLE) AS i_{k}" for k in ("sky", "land", "house")) + " FROM t), w AS (SELECT doc_id, sky * i_sky AS sky, land * i_land AS land, house * i_house AS house FROM t, i), n AS (SELECT *, sqrt(sky * sky + land * land + house * house) AS n FROM w) SELECT doc_id, " + ", ".join(f"round(CASE WHEN n > 0 THEN {k} / n ELSE 0 END, 5) AS {k}" for k in ("sky", "land", "house")) + " FROM n"
+def dimension_counts(docs):
+    """doc_id and nine counts of the catalog paths that a text's terms lead to (a/category/b; each heading once)."""
+    kept = sorted(W.HEADINGS)
+    terms = F.regexp_extract_all("text", F.lit(f"({L.trie_pattern(kept)})"), F.lit(1))
+    heads = F.create_map(*[F.lit(x) for kv in W.HEADINGS.items() for x in kv])
+    paths = F.transform(F.array_distinct(F.transform(terms, lambda t: F.try_element_at(heads, t))), lambda h: F.concat(F.lit("卷一/"), h, F.lit("/词")))
+    category = F.transform(F.filter(F.transform(paths, lambda p: F.split(p, "/")), lambda p: F.size(p) >= 3), lambda p: p[1])
+    count = lambda names: F.size(F.filter("c", lambda x: x.isin(*names)))
+    return docs.select("doc_id", category.alias("c")).select("doc_id", *[count(W.DIMENSIONS[k]).alias(k) for k in DIMS])
+
+
+def idf_vectors(counts):
+    """doc_id and nine columns: counts times ln(N / max(1, df)), of length 1; zero vectors stay. The statistics are one row."""
+    idf = counts.agg(*[F.log(F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_if(F.col(k) > 0))).alias(f"i_{k}") for k in DIMS])
+    w = counts.crossJoin(F.broadcast(idf)).select("doc_id", *[(F.col(k) * F.col(f"i_{k}")).alias(k) for k in DIMS])
+    norm = F.sqrt(sum((F.col(k) * F.col(k) for k in DIMS), F.lit(0.0)))
+    return w.withColumn("n", norm).select("doc_id", *[F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in DIMS])
+
+
+DIMENSION_SQL = (
+    f"{MATCHES}, dc AS (SELECT d.doc_id, "
+    + ", ".join(f"count(*) FILTER (heading IN ({', '.join(repr(c) for c in cs)})) AS {k}" for k, cs in W.DIMENSIONS.items())
+    + " FROM documents d LEFT JOIN by_heading h ON h.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id), di AS (SELECT "
+    + ", ".join(f"ln(count(*) / greatest(1, count(*) FILTER ({k} > 0))::DOUBLE) AS i_{k}" for k in DIMS)
+    + " FROM dc), dw AS (SELECT doc_id, "
+    + ", ".join(f"{k} * i_{k} AS {k}" for k in DIMS)
+    + " FROM dc, di), dn AS (SELECT *, sqrt("
+    + " + ".join(f"{k} * {k}" for k in DIMS)
+    + ") AS n FROM dw), dv AS (SELECT doc_id, "
+    + ", ".join(f"CASE WHEN n > 0 THEN {k} / n ELSE 0 END AS {k}" for k in DIMS)
+    + " FROM dn)"
 )
+
+
+@query(f"WITH {DIMENSION_SQL} SELECT doc_id, " + ", ".join(f"round({k}, 5) AS {k}" for k in DIMS) + " FROM dv")
 def text_17_category_idf(s, d):
-    t, dims = _dims(s, d), ("sky", "land", "house")
-    idf = t.agg(*[F.log(F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_if(F.col(k) > 0))).alias(f"i_{k}") for k in dims])
-    w = t.crossJoin(F.broadcast(idf)).select("doc_id", *[(F.col(k) * F.col(f"i_{k}")).alias(k) for k in dims])
-    norm = F.sqrt(sum((F.col(k) * F.col(k) for k in dims[1:]), F.col("sky") * F.col("sky")))
-    return w.withColumn("n", norm).select("doc_id", *[F.round(F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0), 5).alias(k) for k in dims])
+    v = idf_vectors(dimension_counts(table(s, d, "documents").where("text is not null")))
+    return v.select("doc_id", *[F.round(k, 5).alias(k) for k in DIMS])
 
 
 @query("SELECT i.item_id, array_to_string(list_sort(list_intersect(list_distinct(string_split(i.text, '')), ['月', '云', '霜', '雪', '灯'])), '|') AS confirmed FROM eval_item i")
@@ -246,14 +277,17 @@ def text_18_confirmed(s, d):
     return table(s, d, "eval_item").select("item_id", F.array_join(F.array_sort(F.array_intersect(F.array_distinct(F.split("text", "")), keep)), "|").alias("confirmed"))
 
 
-@query(
-    "SELECT doc_id, CASE WHEN land >= house THEN 'land' ELSE 'house' END AS best FROM (SELECT doc_id, length(text) - length(regexp_replace(text, '[山湖溪江]', '', 'g')) AS land, length(text) - length(regexp_replace(text, '[楼台窗门]', '', 'g')) AS house FROM documents WHERE text IS NOT NULL)"
-)
+_KEPT = [k for k in DIMS if k != "nature"]
+_BEST = "CASE " + " ".join(f"WHEN {k} = greatest({', '.join(_KEPT)}) THEN '{k}'" for k in _KEPT) + " END"
+
+
+@query(f"WITH {DIMENSION_SQL} SELECT doc_id, {_BEST} AS best FROM dc WHERE {' + '.join(_KEPT)} > 0")
 def text_19_denoised_label(s, d):
-    """The dominant label without a noisy class."""
+    """The dominant one of the dimensions without a noisy one, recomputed; of equal ones the first. Texts of no other dimension have none."""
     from ..operators.retrieval import arg_max
 
-    return _dims(s, d).select("doc_id", arg_max([(k, F.col(k)) for k in ("land", "house")]).alias("best"))
+    c = dimension_counts(table(s, d, "documents").where("text is not null"))
+    return c.where(sum((F.col(k) for k in _KEPT), F.lit(0)) > 0).select("doc_id", arg_max([(k, F.col(k)) for k in _KEPT]).alias("best"))
 
 
 @query(f"WITH {LONG} SELECT doc_id, term, tf, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM tf) WHERE rank <= 10")
