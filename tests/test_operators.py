@@ -323,3 +323,52 @@ def test_numbered_groups_and_folds(spark):
     assert all(r.d <= 1 for r in sizes)
     split = M.stratified_split(df, "id", "g", 0.2, 3).groupBy("g").agg(F.avg((F.col("split") == "test").cast("int")).alias("s")).collect()
     assert all(abs(r.s - 0.2) < 0.01 for r in split)
+
+
+def test_windows_over_hot_groups_equal_one_window(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.randint(0, 50), "x" if rng.random() < 0.05 else None) for i in range(800)]
+    df = spark.createDataFrame(rows, "id int, g int, o int, v string").withColumn("v", F.when(F.col("v").isNotNull(), F.col("id")))
+    order = [F.asc("o"), F.asc("id")]
+    got = {r.id: (r.a, r.b) for r in R.followed(R.carried(df, F.col("v"), ["g"], order, "a"), F.col("v"), ["g"], order, "b").collect()}
+    suffixed = {r.id: r.k for r in R.suffix_duplicates(df.select("id", "g", "o"), "g", order, "k").collect()}
+    for g in (1, 2, None):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        for i, r in enumerate(mine):
+            before = [x[0] for x in mine[: i + 1] if x[3]]
+            behind = [x[0] for x in mine[i + 1 :] if x[3]]
+            assert got[r[0]] == (before[-1] if before else None, behind[0] if behind else None)
+            assert suffixed[r[0]] == (None if g is None else f"{g}-{i + 1:02d}")
+    with pytest.raises(Exception, match="duplicate key"):
+        R.assert_unique(df, ["g"], "left").collect()
+    assert R.assert_unique(df, ["id"], "left").count() == 800
+
+
+def test_script_vocabulary_is_not_run(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import os\nWORDS: dict = {'sky': ['云', '月']}\nLIST = ['x']\nos.abort()\n")
+    assert {tuple(r) for r in S.script_vocabulary(spark, str(tmp_path / "a.py"), "WORDS").collect()} == {("sky", "云"), ("sky", "月")}
+    assert [tuple(r) for r in S.script_vocabulary(spark, str(tmp_path / "a.py"), "LIST").collect()] == [(None, "x")]
+    with pytest.raises(ValueError):
+        S.script_vocabulary(spark, str(tmp_path / "a.py"), "NONE")
+
+
+def test_csv_begins_with_a_mark(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'a"b\nc')], "ID string, t string")
+    writers.write_csv(df, str(tmp_path / "x"), single=True)
+    data = next((tmp_path / "x").glob("*.csv")).read_bytes()
+    assert data.startswith("\ufeffID,t\n".encode())
+    back = S.read_csv(spark, str(tmp_path / "x"))
+    assert back.columns == ["ID", "t"] and [tuple(r) for r in back.collect()] == [("1", 'a"b\nc')]
+
+
+def test_workbooks(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    frame = pd.DataFrame({"a": ["1", None], "花名": ["霜铃花", "x"]})
+    monkeypatch.setattr(pd, "read_excel", lambda path, sheet_name, dtype: frame)
+    assert [tuple(r) for r in S.read_excel(spark, "x.xlsx").collect()] == [("1", "霜铃花"), (None, "x")]
+    monkeypatch.setattr(pd, "read_excel", lambda *a, **k: (_ for _ in ()).throw(ImportError("openpyxl")))
+    with pytest.raises(ImportError, match="workbooks"):
+        S.read_excel(spark, "x.xlsx")

@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams
+from ..session import cut
 
 
 # --- joins and merges
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """The same rows; running the plan fails if a key is there twice."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate key in {name}")).cast("boolean")).otherwise(F.lit(True))).drop("__n")
+    """The same rows; running the plan fails if a key is there twice. Partial aggregates: a hot key fails early and alone."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.any_value(c).alias(c) for c in rest])
+    return one.where(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate key in {name}")).cast("boolean")).otherwise(F.lit(True))).select(*df.columns)
 
 
 def one_to_one_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,18 +124,59 @@ def cap_per_group(df: DataFrame, by: str, order: Sequence[Column], cap: int, k:
 
 def suffix_duplicates(df: DataFrame, key: str, order: Sequence[Column], out: str) -> DataFrame:
     """Keys that are there several times get -01, -02, ... in order; single keys stay."""
-    w = Window.partitionBy(key)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
-    text = F.col(key).cast("string")
-    return df.withColumn(out, F.when(n > 1, F.concat(text, F.lit("-"), F.when(i < 10, F.lpad(i.cast("string"), 2, "0")).otherwise(i.cast("string")))).otherwise(text))
+    parts, w = _in_parts(df, [key], order), Window.partitionBy(key)
+    sizes = parts.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__k"))
+    upto = F.sum("__k").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select(key, "__p", F.coalesce(upto, F.lit(0)).alias("__s"), F.sum("__k").over(w).alias("__n"))
+    local = F.row_number().over(Window.partitionBy(key, "__p").orderBy("__m"))
+    joined = _beside(parts.withColumn("__r", local), shift, [key], ["__s", "__n"])
+    text, i = F.col(key).cast("string"), (F.col("__r") + F.col("__s")).cast("string")
+    return joined.withColumn(out, F.when(F.col("__n") > 1, F.concat(text, F.lit("-"), F.when(F.length(i) < 2, F.lpad(i, 2, "0")).otherwise(i))).otherwise(text)).select(*df.columns, out)
 
 
-def carry_forward(c: Column, by: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def _in_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with their range partition __p by groups and order, and their place __m in it, cut from the lineage.
+
+    A group may hold a third of all rows: it is spread over partitions, and what a window has to know of the partitions
+    before (or behind) one is a row for each group and partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    return cut(spread).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+
+
+def _beside(parts: DataFrame, ends: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows with columns of their group's row of their partition; null groups too."""
+    a, b = parts.alias("a"), ends.alias("b")
+    same = F.col("a.__p") == F.col("b.__p")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same, "left").select("a.*", *[F.col(f"b.{c}") for c in columns])
 
 
-def next_value(c: Column, by: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.first(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+def carried(df: DataFrame, c: Column, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """The last value that is not null up to each row of its group, this row included."""
+    parts = _in_parts(df.withColumn("__c", c), by, order)
+    local = F.last("__c", ignorenulls=True).over(Window.partitionBy("__p", *by).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0))
+    ends = parts.groupBy("__p", *by).agg(F.max_by("__c", F.when(F.col("__c").isNotNull(), F.col("__m"))).alias("__e"))
+    before = F.last("__e", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    found = _beside(parts.withColumn(out, local), ends.withColumn("__b", before), by, ["__b"])
+    return found.withColumn(out, F.coalesce(out, "__b")).select(*df.columns, out)
+
+
+def followed(df: DataFrame, c: Column, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """The first value that is not null behind each row of its group, this row left out."""
+    parts = _in_parts(df.withColumn("__c", c), by, order)
+    local = F.first("__c", ignorenulls=True).over(Window.partitionBy("__p", *by).orderBy("__m").rowsBetween(1, Window.unboundedFollowing))
+    ends = parts.groupBy("__p", *by).agg(F.min_by("__c", F.when(F.col("__c").isNotNull(), F.col("__m"))).alias("__e"))
+    behind = F.first("__e", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__p").rowsBetween(1, Window.unboundedFollowing))
+    found = _beside(parts.withColumn(out, local), ends.withColumn("__b", behind), by, ["__b"])
+    return found.withColumn(out, F.coalesce(out, "__b")).select(*df.columns, out)
+
+
+def carry_forward(c: Column, by: Sequence[str], order: Sequence[Column]) -> Column:
+    """As a column, for groups that one task may hold (the lines of one text); `carried` is for groups of any size."""
+    return F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def numbered(df: DataFrame, by: str, key: str, seed: int, place: str, total: str) -> DataFrame:

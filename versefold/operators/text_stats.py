@@ -58,6 +58,14 @@ def cooccurrence(df: DataFrame, key: str, toks: Column, window: int = 4) -> Data
     return half.select(key, "w", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(key, "p.a", "p.b", "w")
 
 
+def token_importance(df: DataFrame, key: str, toks: str, heads: str) -> DataFrame:
+    """key, term, weight: of matrices (heads, rows, tokens) the mean over heads and rows for each token, and of equal tokens the greatest."""
+    rows = df.select(key, F.col(toks).alias("t"), F.flatten(heads).alias("r"))
+    mean = F.transform("t", lambda _, j: F.aggregate("r", F.lit(0.0), lambda a, row: a + F.get(row, j)) / F.size("r"))
+    each = rows.select(key, F.explode(F.arrays_zip(F.col("t").alias("term"), mean.alias("weight"))).alias("x"))
+    return each.select(key, "x.term", "x.weight").groupBy(key, "term").agg(F.max("weight").alias("weight"))
+
+
 def textrank(df: DataFrame, key: str, toks: Column, window: int = 4, rounds: int = 30, damping: float = 0.85, k: int = 10, digits: int = 6) -> DataFrame:
     """key, term, score, rank: the k best terms by unnormalised PageRank on each document's co-occurrence graph; under three tokens every score is 1.
 

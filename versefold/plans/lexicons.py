@@ -8,7 +8,15 @@ EMOTIONS = {
     "calm": {"闲": 1.0, "静": 1.0, "清": 0.5},
     "lonely": {"孤": 1.0, "寒": 1.0, "冷": 1.0},
 }
+#: The eight classes of an emotion vector.
+EIGHT = EMOTIONS | {"anger": {"怒": 2.0, "恨": 1.0}, "fear": {"惊": 1.0, "危": 1.0}, "wonder": {"奇": 1.0}, "love": {"思": 1.0, "怜": 1.0}}
+#: Terms of one to four characters with their finest class, and the two levels above it.
+FEELINGS = {"暖": "joy", "笑": "joy", "歌": "joy", "醉歌": "joy", "清": "ease", "闲": "ease", "静": "ease", "清风": "ease", "香": "praise", "明": "praise", "新": "praise", "惊": "wonder", "奇": "wonder", "泪": "sorrow", "愁": "sorrow", "残": "sorrow", "枯": "sorrow", "残灯": "sorrow", "孤": "lonely", "寒": "lonely", "冷": "lonely", "孤灯": "lonely", "寒山": "lonely", "暗": "weary", "掩": "weary"}
+PARENT = {"joy": "pleasure", "ease": "pleasure", "praise": "favour", "wonder": "surprise", "sorrow": "sadness", "lonely": "sadness", "weary": "disgust"}
+POSITIVE_SIDE, NEGATIVE_SIDE = ["pleasure", "favour", "surprise"], ["sadness", "disgust"]
 NEGATORS = ["不", "无", "莫", "未", "休", "勿"]
+#: Fourteen single characters that count beside the two-character terms.
+SINGLES = {"water": ["溪", "湖", "泉", "江", "潭"], "air": ["霜", "云", "霞", "烟", "风"], "house": ["楼", "窗", "桥", "门"]}
 #: Two-character terms, each of one class.
 CLASSES = {"water": ["溪云", "湖石", "泉声", "江水", "潭月"], "air": ["霜风", "云月", "霞雪", "寒烟", "雨风"], "house": ["楼台", "窗影", "桥帆", "门径", "帘灯"]}
 #: Terms with a heading, of one to four characters.

@@ -42,7 +42,10 @@ _CUT = r"regexp_replace(regexp_replace(name, '(?s)[（(].*$', ''), '^[\s\x0b\p{Z
 _BARE = rf"regexp_replace({_CUT}, '^(?:鮮花|葉材|配花|觀果|乾花|永生花|花器|花泥|包裝|工具)[\s\x0b\p{{Z}}]*[-－][\s\x0b\p{{Z}}]*', '')"
 
 
-@query(rf"SELECT id, regexp_replace(split_part(split_part({_BARE}, ' - ', 1), '－', 1), '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g') AS base FROM product")
+BASE_NAME = rf"regexp_replace(split_part(split_part({_BARE}, ' - ', 1), '－', 1), '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"SELECT id, {BASE_NAME} AS base FROM product")
 def fn_06_base_name(s, d):
     return table(s, d, "product").select("id", X.base_name(F.col("name")).alias("base"))
 
@@ -87,12 +90,28 @@ def fn_12_sentences(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "¦").alias("parts"))
 
 
-_PART = r"list_filter(list_transform(regexp_extract_all(赏析, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^何以|旧本作|今从前者|或云'))"
-
-
-@query(f"SELECT ID, CASE WHEN len({_PART}) > 0 THEN array_to_string({_PART}, '') ELSE 赏析 END AS kept FROM review_tool")
+# Sentences with any of these are dropped; the byline that may end a text.
+DROPPED = [
+    "何逊是|梁天监|驻扬州|建安王|水曹|记室|行参军",
+    "是(晚唐|初唐|盛唐|中唐|北宋|南宋|南朝|北朝|元|明|清)诗人[，。]|他的诗在当时|诗人。他的诗",
+    "生于|卒于|字[一-鿿]{1,3}[，。、]|号[一-鿿]{1,4}[，。]",
+    "进士|官至|贬为|流寓|谪|靖康|安史|天宝|开元年间",
+    "题为《|误加之题|为据|《初学记》|《艺文类聚》|《全唐诗》",
+    "化自|引自|出自.*诗句|见《[^》]+》卷",
+    "与[^。]{1,20}相比|不如[^。]{1,15}|胜于[^。]{1,15}",
+    "收录于|收录在|版本|刻本|校勘",
+    "美学家|评论家|学者.*谈到|黄震云|署名",
+    "这首诗是[^。]{0,40}写的[。]",
+    "文人专咏|时代较早|极负盛名[，。]",
+]
+BYLINE = r"[（(][一-鿿]{2,4}[）)]\s*$"
+_SENTENCES = r"list_filter(list_transform(regexp_extract_all(赏析, '[^。！？\n\r]*[。！？]|[^。！？\n\r]+'), lambda x: regexp_replace(x, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g')), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '%s'))" % "|".join(f"(?:{p})" for p in DROPPED)
+
+
+@query(rf"SELECT ID, regexp_replace(regexp_replace(CASE WHEN len({_SENTENCES}) > 0 THEN array_to_string({_SENTENCES}, '') ELSE 赏析 END, '{BYLINE}', ''), '^[\s\x0b\p{{Z}}]+|[\s\x0b\p{{Z}}]+$', '', 'g') AS kept FROM review_tool")
 def fn_13_kept_sentences(s, d):
-    return table(s, d, "review_tool").select("ID", X.kept_sentences(F.col("赏析"), ["^何以", "旧本作", "今从前者", "或云"]).alias("kept"))
+    """The comment without sentences of any of eleven patterns (the whole comment if none is left) and without a byline at its end."""
+    return table(s, d, "review_tool").select("ID", X.trimmed(F.regexp_replace(X.kept_sentences(F.col("赏析"), DROPPED), BYLINE, "")).alias("kept"))
 
 
 @query("SELECT doc_id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, greatest(length(text), 1))) AS i) WHERE substr(text, i, 2) = '微雪' AND NOT (i > 1 AND contains('不无莫非未休勿', substr(text, i - 1, 1)))) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL")

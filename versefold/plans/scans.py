@@ -69,7 +69,7 @@ def src_07_markdown_lines(s, d):
     return S.under_headings(_lines(s, d), "doc_id", {"heading": r"^卷\d+ (.*)"}).where("heading is not null").select("doc_id", "i", "heading", "line")
 
 
-@query()
+@query(f"WITH {LINES}, r AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^卷\\d+ (.*)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n, regexp_matches(line, '^卷\\d+ (.*)') AS st, regexp_matches(line, '^（') AS co FROM l) SELECT doc_id, CAST(n AS BIGINT) AS n, max(regexp_extract(line, '^卷\\d+ (.*)', 1)) FILTER (st) AS title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT st AND NOT co), '') AS body, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT st AND co), '') AS comment FROM r WHERE n > 0 AND trim(line) <> '' GROUP BY doc_id, n")
 def src_07_records(s, d):
     return S.records(_lines(s, d), "doc_id", r"^卷\d+ (.*)", "^（")
 
@@ -84,12 +84,13 @@ def src_09_phrase_headings(s, d):
     return S.phrase_headings(_lines(s, d), "doc_id", r"^卷\d+ (.*)")
 
 
-@query()
+@query("SELECT kind AS file, CAST(i - 1 AS INTEGER) AS i, s[i] AS line FROM (SELECT kind, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT kind, string_split_regex(string_agg(coalesce(text, ''), chr(10) ORDER BY item_id) || chr(10), '\\r?\\n') AS s FROM eval_item GROUP BY kind))")
 def src_10_text_files(s, d):
-    """Lines of several text files with their file and place."""
+    """Lines of several text files, one for each kind of item, with their file and place."""
     st = Stage(s, "text")
-    table(s, d, "eval_item").select("text").repartition(3).write.text(f"{st.root}/x")
-    return S.text_files(s, f"{st.root}/x/*.txt").select(F.regexp_extract("file", r"(part-\d+)", 1).alias("file"), "i", "line")
+    items = table(s, d, "eval_item").select("kind", "item_id", F.coalesce("text", F.lit("")).alias("text"))
+    items.repartition("kind").sortWithinPartitions("kind", "item_id").select("kind", "text").write.partitionBy("kind").text(f"{st.root}/x")
+    return S.text_files(s, f"{st.root}/x/*/*.txt").select(F.regexp_extract("file", r"kind=(\w+)", 1).alias("file"), "i", "line")
 
 
 def _local_folder(s, name: str) -> str:
@@ -170,6 +171,18 @@ def src_16_config(s, d):
     return s.createDataFrame([(k, w) for k, ws in c.items() for w in ws], "dim string, keyword string")
 
 
+@query("SELECT field_name AS category, entry AS term FROM canon_value WHERE entry IS NOT NULL")
+def src_20_script_vocabulary(s, d):
+    """A vocabulary that a script assigns to a name, read without running the script."""
+    st = Stage(s, "script")
+    words: dict[str, list[str]] = {}
+    for r in table(s, d, "canon_value").where("entry is not null").select("field_name", "entry").collect():  # the reference list is fixed and small
+        words.setdefault(r.field_name, []).append(r.entry)
+    script = f"import os\n\nWORDS = {words!r}\n\nif __name__ == '__main__':\n    raise SystemExit(1)\n"
+    s.createDataFrame([(script,)], "value string").coalesce(1).write.text(f"{st.root}/x")
+    return S.script_vocabulary(s, f"{st.root}/x/*.txt", "WORDS")
+
+
 @query("SELECT ref_id FROM canon_value WHERE entry NOT IN ('霜铃花', '月络兰', '正月')")
 def src_18_stop_words(s, d):
     st = Stage(s, "words")
@@ -207,7 +220,7 @@ def sink_04_unfinished(s, d):
     return K.unfinished(t.select("ID"), t.select("ID", F.col("赏析").alias("result")), "ID", "result")
 
 
-@query()
+@query("""SELECT id, '{' || concat_ws(',', '"name":' || to_json(name), '"level":' || level) || '}' AS document FROM category""")
 def sink_06_json_documents(s, d):
     return K.to_json_documents(table(s, d, "category").select("id", "name", "level"), "id")
 

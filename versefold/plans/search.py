@@ -14,7 +14,7 @@ from ..operators import text_stats as T
 from ..session import table
 from . import lexicons as W
 from .aggregates import LONG
-from .joins import NEAREST, _nearest
+from .joins import DOT, NEAREST, _nearest
 from .registry import query
 from .texts import DIMENSION_SQL, DIMS, dimension_counts, idf_vectors
 
@@ -188,9 +188,10 @@ def ret_12_most_similar_pairs(s, d):
     return t.where("a < b").orderBy(F.desc("similarity"), "a").limit(20)
 
 
-@query(f"WITH t AS ({NEAREST}) SELECT x.q AS a, x.vec_id AS b FROM t x JOIN t y ON x.q = y.vec_id AND x.vec_id = y.q WHERE x.rank = 1 AND y.rank = 1 AND x.q < x.vec_id")
+@query(f"WITH s AS MATERIALIZED (SELECT a.vec_id AS q, b.vec_id AS v, round({DOT}, 12) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), t AS MATERIALIZED (SELECT q, min(v) AS v FROM s JOIN (SELECT q, max(c) AS c FROM s GROUP BY q) USING (q, c) GROUP BY q) SELECT x.q AS a, x.v AS b FROM t x JOIN t y ON x.q = y.v AND x.v = y.q WHERE x.q < x.v")
 def ret_12_mutual_best(s, d):
-    t = _nearest(s, d).where("rank = 1").select(F.col("q").alias("a"), F.col("vec_id").alias("b"))
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    t = V.nearest(e, e, "vec_id", "embedding", 1).select(F.col("q").alias("a"), F.col("vec_id").alias("b"))
     back = t.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return t.intersect(back).where("a < b")
 

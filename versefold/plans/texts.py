@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import columns as C
+from ..functions import fields as X
 from ..operators import lexicon as L
 from ..operators import relational as R
 from ..operators import text_stats as T
@@ -13,6 +12,7 @@ from ..session import table
 from . import lexicons as W
 from .aggregates import LONG, TOK, counts
 from .registry import query
+from .scalars import BASE_NAME
 
 
 def n(name="n"):
@@ -23,18 +23,18 @@ def rows_sql(pairs, names):
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs) + f") v({names})"
 
 
-SAMPLE = """WITH b AS (SELECT ID, 月份, 花名, 朝代, coalesce(length(赏析), 0) AS c, coalesce(length(正文), 0) AS t FROM review_tool),
-l1 AS (SELECT ID, 1 AS layer FROM (SELECT ID, row_number() OVER (PARTITION BY 月份 ORDER BY c DESC, ID) AS r FROM b WHERE 月份 IN ('正月','二月','三月','四月','五月','六月','七月','八月','九月','十月','十一月','十二月')) WHERE r <= 200 // 12),
-l2 AS (SELECT ID, 2 AS layer FROM (SELECT ID, row_number() OVER (PARTITION BY 花名 ORDER BY c DESC, ID) AS r FROM b WHERE 花名 IS NOT NULL AND 花名 NOT IN (SELECT 花名 FROM b JOIN l1 USING (ID) WHERE 花名 IS NOT NULL)) WHERE r = 1),
-l3 AS (SELECT ID, 3 AS layer FROM (SELECT ID, row_number() OVER (PARTITION BY 朝代 ORDER BY c DESC, ID) AS r FROM b WHERE 朝代 IS NOT NULL AND 朝代 NOT IN (SELECT 朝代 FROM b JOIN (SELECT ID FROM l1 UNION SELECT ID FROM l2) USING (ID) WHERE 朝代 IS NOT NULL)) WHERE r = 1),
-l4 AS (SELECT ID, 4 AS layer FROM b WHERE t < 20),
-u AS (SELECT ID, min(layer) AS layer FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) GROUP BY ID)
-SELECT ID, layer FROM (SELECT *, row_number() OVER (ORDER BY layer, ID) AS r FROM u) WHERE r <= 200"""
+SAMPLE = """WITH b AS (SELECT ID, 月份, 月份数字, 花名, 朝代, coalesce(length(赏析), 0) AS c, coalesce(length(正文), 0) AS t FROM review_tool),
+l1 AS (SELECT ID, 1 AS layer, c AS o FROM (SELECT ID, c, row_number() OVER (PARTITION BY 月份 ORDER BY c DESC, ID) AS r FROM b WHERE 月份 IN ('正月','二月','三月','四月','五月','六月','七月','八月','九月','十月','十一月','十二月')) WHERE r <= 200 // 12),
+l2 AS (SELECT ID, 2 AS layer, -c AS o FROM (SELECT ID, c, row_number() OVER (PARTITION BY 花名 ORDER BY c DESC, ID) AS r FROM b WHERE 花名 IS NOT NULL AND 花名 NOT IN (SELECT 花名 FROM b JOIN l1 USING (ID) WHERE 花名 IS NOT NULL)) WHERE r = 1),
+l3 AS (SELECT ID, 3 AS layer, -c AS o FROM (SELECT ID, c, row_number() OVER (PARTITION BY 朝代 ORDER BY c DESC, ID) AS r FROM b WHERE 朝代 IS NOT NULL AND 朝代 NOT IN (SELECT 朝代 FROM b JOIN (SELECT ID FROM l1 UNION SELECT ID FROM l2) USING (ID) WHERE 朝代 IS NOT NULL)) WHERE r = 1),
+u AS (SELECT ID, layer, -o AS o FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT ID, 4, t FROM b WHERE t < 20 UNION ALL SELECT ID, 5, 0 FROM b),
+f AS (SELECT ID, min(layer) AS layer, min_by(o, layer) AS o FROM u GROUP BY ID)
+SELECT ID, layer FROM (SELECT *, row_number() OVER (ORDER BY layer, o, md5(concat(ID, '42')), ID) AS r FROM f) WHERE r <= 200"""
 
 
 @query(SAMPLE)
 def text_01_stratified_sample(s, d):
-    """Layers 1 to 4 of a sample of 200: longest comment by month, uncovered flowers, uncovered dynasties, short texts."""
+    """A sample of 200 in layers: longest comment by month, of uncovered flowers, of uncovered dynasties, the shortest texts, and a seeded fill by hash."""
     months = ["正月", "二月", "三月", "四月", "五月", "六月", "七月", "八月", "九月", "十月", "十一月", "十二月"]
     b = table(s, d, "review_tool").select("ID", "月份", "花名", "朝代", F.coalesce(F.length("赏析"), F.lit(0)).alias("c"), F.coalesce(F.length("正文"), F.lit(0)).alias("t"))
     longest = [F.desc("c"), F.asc("ID")]
@@ -42,9 +42,12 @@ def text_01_stratified_sample(s, d):
     l2 = R.top_k(b.where(F.col("花名").isNotNull()).join(l1.select("花名").distinct(), "花名", "left_anti"), ["花名"], longest, 1)
     so_far = l1.select("ID", "朝代").union(l2.select("ID", "朝代"))
     l3 = R.top_k(b.where(F.col("朝代").isNotNull()).join(so_far.select("朝代").distinct(), "朝代", "left_anti"), ["朝代"], longest, 1)
-    layers = [x.select("ID", F.lit(i).alias("layer")) for i, x in ((1, l1), (2, l2), (3, l3), (4, b.where("t < 20")))]
-    u = layers[0].union(layers[1]).union(layers[2]).union(layers[3]).groupBy("ID").agg(F.min("layer").alias("layer"))
-    return u.orderBy("layer", "ID").limit(200)
+    layers = [x.select("ID", F.lit(i).alias("layer"), o.alias("o")) for i, x, o in ((1, l1, -F.col("c")), (2, l2, -F.col("c")), (3, l3, -F.col("c")), (4, b.where("t < 20"), F.col("t")), (5, b, F.lit(0)))]
+    u = layers[0]
+    for x in layers[1:]:
+        u = u.union(x)
+    first = u.groupBy("ID").agg(F.min(F.struct("layer", "o")).alias("x")).select("ID", "x.layer", "x.o")
+    return first.orderBy("layer", "o", F.md5(F.concat(F.coalesce("ID", F.lit("")), F.lit("42"))), "ID").limit(200).select("ID", "layer")
 
 
 @query(f"SELECT doc_id, len({TOK}) AS n, array_to_string(list_slice({TOK}, 1, 5), ' ') AS first FROM documents WHERE text IS NOT NULL")
@@ -83,12 +86,21 @@ def text_05_pmi(s, d):
     return x.select("genre", "term", "n", F.round("pmi", 4).alias("pmi"))
 
 
-@query()
+_NEG = ", ".join(f"'{x}'" for x in W.NEGATORS)
+_EIGHT = rows_sql([(t, c, v) for c, ws in W.EIGHT.items() for t, v in ws.items()], "t, class, v")
+_BEFORE = "(" + " OR ".join(f"coalesce(lag(t, {k}) OVER w IN ({_NEG}), false)" for k in (1, 2, 3)) + ")"
+
+
+@query(
+    f"WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS t, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text IS NOT NULL), sg AS (SELECT doc_id, t, CASE WHEN {_BEFORE} THEN -1 ELSE 1 END AS sign FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)), sm AS (SELECT doc_id, class, sum(sign * v) AS v FROM sg JOIN {_EIGHT} USING (t) GROUP BY 1, 2), wd AS (SELECT d.doc_id, "
+    + ", ".join(f"round(coalesce(sum(v) FILTER (class = '{c}'), 0)::DOUBLE / greatest(any_value(length(text)), 1), 6) + 0.0 AS {c}" for c in W.EIGHT)
+    + f" FROM documents d LEFT JOIN sm ON sm.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id) SELECT *, CASE WHEN {' AND '.join(f'{c} = 0' for c in W.EIGHT)} THEN NULL {' '.join(f'WHEN {c} = greatest({', '.join(W.EIGHT)}) THEN {chr(39)}{c}{chr(39)}' for c in W.EIGHT)} END AS best FROM wd"
+)
 def text_06_emotion_vector(s, d):
     t = table(s, d, "documents").where("text is not null").select("doc_id", F.split("text", "").alias("t"))
-    v = L.negated_scores(F.col("t"), W.EMOTIONS, W.NEGATORS, 3)
+    v = L.negated_scores(F.col("t"), W.EIGHT, W.NEGATORS, 3)
     size = F.greatest(F.size("t"), F.lit(1))
-    names = list(W.EMOTIONS)
+    names = list(W.EIGHT)
     wide = t.select("doc_id", v.alias("v"), size.alias("n")).select("doc_id", *[F.round(F.col(f"v.{x}") / F.col("n"), 6).alias(x) for x in names])
     from ..operators.retrieval import arg_max
 
@@ -96,18 +108,63 @@ def text_06_emotion_vector(s, d):
     return wide.withColumn("best", F.when(~nothing, arg_max([(x, F.col(x)) for x in names])))  # no hit: no label
 
 
-@query()
+C3, C2 = list(dict.fromkeys(W.FEELINGS.values())), list(dict.fromkeys(W.PARENT.values()))
+_MARKS = r"[\s，。！？；、：“”‘’（）《》【】·—…]"
+_STEPS = "|".join([*W.NEGATORS, *sorted(W.FEELINGS, key=lambda x: (-len(x), x))])
+_BAND = 0.002
+
+
+def _feelings_sql(column: str) -> str:
+    """A CTE pair for one text column: steps and summed classes over the text's length."""
+    steps = f"regexp_extract_all({column}, '(?s){_STEPS}|.')"
+    return f"""s_{column} AS (SELECT ID, {steps} AS s, length({column}) AS n FROM clean), h_{column} AS (SELECT ID, s[i] AS term, CASE WHEN coalesce(s[i - 1] IN ({_NEG}), false) OR coalesce(s[i - 2] IN ({_NEG}), false) THEN -1 ELSE 1 END AS sign, n FROM (SELECT ID, s, n, unnest(range(1, len(s) + 1)) AS i FROM s_{column})),
+c_{column} AS (SELECT ID, {", ".join(f"round(coalesce(sum(sign * length(term)) FILTER (class = '{c}'), 0)::DOUBLE / greatest(any_value(n), 1), 6) AS {c}" for c in C3)}, count(*) AS k FROM h_{column} JOIN {rows_sql(list(W.FEELINGS.items()), "term, class")} USING (term) GROUP BY ID)"""
+
+
+_BLEND = ", ".join(f"round(0.6::DOUBLE * coalesce(p.{c}, 0) + 0.4::DOUBLE * coalesce(q.{c}, 0), 6) AS {c}" for c in C3)
+_C2_SQL = ", ".join(f"round({' + '.join(c for c in C3 if W.PARENT[c] == x)}, 6) AS {x}" for x in C2)
+
+
+@query(
+    rf"WITH clean AS (SELECT ID, regexp_replace(coalesce(正文, ''), '{_MARKS}', '', 'g') AS poem, coalesce(赏析, '') AS comment FROM review_tool), {_feelings_sql('poem')}, {_feelings_sql('comment')}, bl AS (SELECT r.ID, {_BLEND}, coalesce(p.k, 0) AS poem_words, coalesce(q.k, 0) AS comment_words FROM clean r LEFT JOIN c_poem p ON p.ID = r.ID LEFT JOIN c_comment q ON q.ID = r.ID), up AS (SELECT *, {_C2_SQL} FROM bl), si AS (SELECT *, round({' + '.join(W.POSITIVE_SIDE)}, 6) AS positive, round({' + '.join(W.NEGATIVE_SIDE)}, 6) AS negative FROM up) SELECT ID, {', '.join(C3)}, {', '.join(C2)}, positive, negative, CASE WHEN abs(positive - negative) < {_BAND} THEN 'neutral' WHEN positive > negative THEN 'positive' ELSE 'negative' END AS polarity, CASE {' '.join(f'WHEN {c} = greatest({', '.join(C3)}) THEN {chr(39)}{c}{chr(39)}' for c in C3)} END AS dominant, poem_words, comment_words FROM si"
+)
 def text_07_longest_match_polarity(s, d):
-    """Longest match from left to right; weight = length, negative where a negation stands within two places before."""
-    terms = {t: ("positive" if t[0] in W.POSITIVE else "negative") for t in [*W.POSITIVE, *W.NEGATIVE, "清风", "寒山", "孤灯", "暖云"]}
-    lex = s.createDataFrame(list(terms.items()), "term string, polarity string")
-    t = table(s, d, "documents").where("text is not null").select("doc_id", "text")
-    m = L.greedy(t, "doc_id", "text", list(terms), 4, 2).join(F.broadcast(lex), "term").join(t.select("doc_id", F.length("text").alias("size")), "doc_id")
-    sign = F.when(F.col("before").rlike("[" + "".join(W.NEGATORS) + "]"), -1.0).otherwise(1.0)
-    w = F.length("term") * sign / F.col("size")
-    g = m.groupBy("doc_id").agg(F.sum(F.when(F.col("polarity") == "positive", w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("polarity") == "negative", w).otherwise(0.0)).alias("q"))
-    kind, confidence = C.neutral_band(F.col("p"), F.col("q"), 0.0005)
-    return g.select("doc_id", F.round("p", 6).alias("positive"), F.round("q", 6).alias("negative"), kind.alias("kind"), F.round(confidence, 4).alias("confidence"))
+    """Three levels of feeling of a poem and its comment, blended 0.6 and 0.4.
+
+    Each text is read in steps: a negation, the longest term at a place, or one character. A term counts its length over
+    the text's length, negative where one of the two steps before is a negation. Finest classes add up to their parents,
+    those to two sides; sides nearer than a band are neutral. Comments are read by characters too, without a segmenter.
+    """
+    heads = F.create_map(*[F.lit(x) for kv in W.FEELINGS.items() for x in kv])
+    r = table(s, d, "review_tool").select("ID", F.regexp_replace(F.coalesce("正文", F.lit("")), _MARKS, "").alias("poem"), F.coalesce("赏析", F.lit("")).alias("comment"))
+
+    def scored(text):
+        """STRUCT<hits ARRAY<STRUCT<class, w>>, n>: of one text, without leaving its row."""
+        steps = F.regexp_extract_all(text, F.lit(f"(?s)({_STEPS}|.)"), F.lit(1))
+        negation = lambda x: x.isin(*W.NEGATORS)
+
+        def of(t):
+            near = lambda i, k: F.coalesce((i >= k) & negation(F.get(t, i - k)), F.lit(False))
+            each = F.transform(t, lambda x, i: F.struct(F.try_element_at(heads, x).alias("class"), (F.length(x) * F.when(near(i, 1) | near(i, 2), -1).otherwise(1)).alias("w")))
+            return F.filter(each, lambda h: h["class"].isNotNull())
+
+        return F.transform(F.array(steps), of)[0]
+
+    t = r.select("ID", scored(F.col("poem")).alias("p"), F.length("poem").alias("np"), scored(F.col("comment")).alias("q"), F.length("comment").alias("nq"))
+
+    def level(hits: str, n: str, name: str):
+        total = F.aggregate(F.filter(hits, lambda h: h["class"] == name), F.lit(0), lambda a, h: a + h["w"])
+        return F.round(total / F.greatest(F.col(n), F.lit(1)), 6)
+
+    blend = t.select("ID", *[F.round(0.6 * level("p", "np", c) + 0.4 * level("q", "nq", c), 6).alias(c) for c in C3], F.size("p").cast("bigint").alias("poem_words"), F.size("q").cast("bigint").alias("comment_words"))
+    total = lambda names: F.round(sum((F.col(c) for c in names[1:]), F.col(names[0])), 6)
+    up = blend.select("*", *[total([c for c in C3 if W.PARENT[c] == x]).alias(x) for x in C2])
+    si = up.select("*", total(W.POSITIVE_SIDE).alias("positive"), total(W.NEGATIVE_SIDE).alias("negative"))
+    from ..operators.retrieval import arg_max
+
+    gap = F.col("positive") - F.col("negative")
+    polarity = F.when(F.abs(gap) < _BAND, "neutral").when(gap > 0, "positive").otherwise("negative")
+    return si.select("ID", *C3, *C2, "positive", "negative", polarity.alias("polarity"), arg_max([(c, F.col(c)) for c in C3]).alias("dominant"), "poem_words", "comment_words")
 
 
 PN = [(t, 1) for t in W.POSITIVE] + [(t, -1) for t in W.NEGATIVE]
@@ -125,20 +182,22 @@ def text_08_simple_sentiment(s, d):
     return t.select("doc_id", score.alias("score"), count([*W.POSITIVE, *W.NEGATIVE]).alias("hits")).where("hits > 0")
 
 
-CL = [(t, c) for c, ts in W.CLASSES.items() for t in ts]
+CL = [(t, c) for c, ts in W.CLASSES.items() for t in ts] + [(t, c) for c, ts in W.SINGLES.items() for t in ts]
 
 
 @query(
-    f"WITH l AS (SELECT * FROM {rows_sql(CL, 'term, label')}), wt AS (SELECT label, 1 / log2(count(*) + 1) AS w FROM l GROUP BY label), g AS (SELECT doc_id, substr(text, i, 2) AS term, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS b FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text), 1))) AS i FROM documents WHERE text IS NOT NULL)), sc AS (SELECT doc_id, label, sum(w) AS score FROM g JOIN l USING (term) JOIN wt USING (label) WHERE b NOT IN ('不','无','莫','非','未','休','勿') GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM sc) SELECT doc_id, CASE WHEN count(*) = 1 THEN max(label) ELSE 'Uncertain' END AS label FROM m WHERE abs(score - top) < 1e-9 GROUP BY doc_id"
+    f"WITH l AS (SELECT * FROM {rows_sql(CL, 'term, label')}), wt AS (SELECT label, 1 / log2(count(*) + 1) AS w FROM l GROUP BY label), g AS (SELECT doc_id, substr(text, i, k) AS term, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS b FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text IS NOT NULL), (VALUES (1), (2)) n(k) WHERE i + k <= length(text) + 1), sc AS (SELECT doc_id, label, sum(w) AS score FROM g JOIN l USING (term) JOIN wt USING (label) WHERE b NOT IN ('不','无','莫','非','未','休','勿') GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM sc) SELECT doc_id, CASE WHEN count(*) = 1 THEN max(label) ELSE 'Uncertain' END AS label FROM m WHERE abs(score - top) < 1e-9 GROUP BY doc_id"
 )
 def text_09_pseudo_label(s, d):
-    lex = s.createDataFrame(CL, "term string, label string")
-    weight = lex.groupBy("label").agg((1 / F.log2(F.count(F.lit(1)) + 1)).alias("w"))
+    """Terms of two characters and fourteen single ones, overlapping, each unless negated; the class of the greatest weighted count if it is one."""
     t = table(s, d, "documents").where("text is not null")
-    keep = t.select("doc_id", F.explode(L.terms_at_places(F.col("text"), [x for x, _ in CL], L.NEGATION)).alias("term")).join(F.broadcast(lex), "term")
-    sc = keep.join(F.broadcast(weight), "label").groupBy("doc_id", "label").agg(F.sum("w").alias("score"))
-    top = sc.withColumn("top", F.max("score").over(Window.partitionBy("doc_id"))).where("abs(score - top) < 1e-9")
-    return top.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("label")).otherwise("Uncertain").alias("label"))
+    labels = list(W.CLASSES)
+    hits = lambda terms: F.size(L.terms_at_places(F.col("text"), terms, L.NEGATION))
+    size = {c: len(W.CLASSES[c]) + len(W.SINGLES[c]) for c in labels}
+    scores = F.array(*[F.struct(((hits(W.CLASSES[c]) + hits(W.SINGLES[c])) / F.log2(F.lit(size[c] + 1.0))).alias("score"), F.lit(c).alias("label")) for c in labels])
+    x = t.select("doc_id", scores.alias("s")).withColumn("top", F.array_max(F.transform("s", lambda v: v["score"]))).where("top > 0")
+    best = x.select("doc_id", F.filter("s", lambda v: F.abs(v["score"] - F.col("top")) < 1e-9).alias("b"))
+    return best.select("doc_id", F.when(F.size("b") == 1, F.col("b")[0]["label"]).otherwise("Uncertain").alias("label"))
 
 
 def _greedy_terms(s, d, low: int, singles: bool):
@@ -201,15 +260,21 @@ def text_13_rule_labels(s, d):
 
 
 @query(
-    "WITH m AS (SELECT DISTINCT p.supplier_id, c.entry, p.id, p.name FROM product p JOIN (SELECT DISTINCT entry FROM canon_value WHERE field_name = '花名') c ON contains(p.name, c.entry)) SELECT supplier_id, entry, count(*) AS n, string_agg(name, '|' ORDER BY id) FILTER (r <= 3) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id, entry ORDER BY id) AS r FROM m) GROUP BY 1, 2"
+    rf"WITH m AS (SELECT DISTINCT p.supplier_id, c.entry, p.id, p.name FROM product p JOIN (SELECT DISTINCT entry FROM canon_value WHERE field_name = '花名') c ON contains(p.name, c.entry)), o AS (SELECT supplier_id, {BASE_NAME} AS entry, id, name FROM product WHERE name IS NOT NULL AND id NOT IN (SELECT id FROM m)), e AS (SELECT *, 'listed' AS kind FROM m UNION ALL SELECT *, 'supplier only' FROM o WHERE entry <> '') SELECT supplier_id, entry, kind, count(*) AS n, string_agg(name, '|' ORDER BY id) FILTER (r <= 8) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id, kind, entry ORDER BY id) AS r FROM e) GROUP BY 1, 2, 3"
 )
 def text_14_coverage(s, d):
+    """Flowers of the list by supplier with up to eight examples, and beside them the suppliers' varieties that no listed flower names."""
     t = table(s, d, "canon_value").where("field_name = '花名'").select(F.col("entry").alias("term")).distinct()
     p = table(s, d, "product").select("id", "supplier_id", "name")
-    m = R.contains_join(p, "id", ["name"], t, "term").join(p, "id")
-    total = m.groupBy("supplier_id", "term").agg(n())
-    ex = R.top_k(m, ["supplier_id", "term"], [F.asc("id")], 3).groupBy("supplier_id", "term").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"))
-    return total.join(ex, ["supplier_id", "term"]).select("supplier_id", F.col("term").alias("entry"), "n", F.array_join(F.transform("x", lambda v: v["name"]), "|").alias("examples"))
+    found = R.contains_join(p, "id", ["name"], t, "term")
+    listed = found.join(p, "id").select("supplier_id", F.col("term").alias("entry"), F.lit("listed").alias("kind"), "id", "name")
+    other = p.where("name is not null").join(found.select("id").distinct(), "id", "left_anti").select("supplier_id", X.base_name(F.col("name")).alias("entry"), F.lit("supplier only").alias("kind"), "id", "name").where("entry <> ''")
+    m = listed.unionByName(other)
+    by = ["supplier_id", "kind", "entry"]
+    total = m.groupBy(*by).agg(n())
+    ex = R.top_k(m, by, [F.asc("id")], 8).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"))
+    same = [total[c].eqNullSafe(ex[c]) for c in by]
+    return total.join(ex, same[0] & same[1] & same[2]).select(total["supplier_id"], total["entry"], total["kind"], "n", F.array_join(F.transform("x", lambda v: v["name"]), "|").alias("examples"))
 
 
 @query("SELECT item_id, array_to_string(list_slice(list_concat(list_filter(u, lambda x: x IN ('月', '云', '霜')), list_filter(u, lambda x: x NOT IN ('月', '云', '霜'))), 1, 12), '') AS pool FROM (SELECT item_id, list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]) AS u FROM (SELECT item_id, string_split(text, '') AS x FROM eval_item))")
@@ -290,11 +355,16 @@ def text_19_denoised_label(s, d):
     return c.where(sum((F.col(k) for k in _KEPT), F.lit(0)) > 0).select("doc_id", arg_max([(k, F.col(k)) for k in _KEPT]).alias("best"))
 
 
-@query(f"WITH {LONG} SELECT doc_id, term, tf, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM tf) WHERE rank <= 10")
+@query(
+    f"WITH t AS (SELECT item_id, {TOK} AS t FROM eval_item WHERE text IS NOT NULL), c AS (SELECT item_id, t, j, unnest(range(1, len(t) + 1)) AS i FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS j FROM t)), w AS (SELECT item_id, t[j] AS term, avg((1.0::DOUBLE / (1 + abs(i - j)) + 1.0::DOUBLE / (2 + abs(i - j))) / 2) AS w FROM c GROUP BY item_id, j, t[j]), m AS (SELECT item_id, term, round(max(w), 6) AS weight FROM w GROUP BY 1, 2) SELECT item_id, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, term) AS rank FROM m) WHERE rank <= 10"
+)
 def text_20_token_importance(s, d):
-    """The reduce step of token importance: the greatest weight of each token, the ten best of each text."""
-    w = counts(s, d).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-    return R.top_k(w, ["doc_id"], [F.desc("tf"), F.asc("term")], 10)
+    """Mean of a matrix over heads and rows, the greatest weight of each token, the ten best. The matrices stand for a model's: two heads whose weights fall with the distance."""
+    t = table(s, d, "eval_item").where("text is not null").select("item_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    place = F.sequence(F.lit(1), F.size("t"))
+    head = lambda h: F.transform(place, lambda i: F.transform(place, lambda j: F.lit(1.0) / (h + F.abs(i - j))))
+    x = T.token_importance(t.withColumn("heads", F.array(head(1), head(2))), "item_id", "t", "heads")
+    return R.top_k(x.select("item_id", "term", F.round("weight", 6).alias("weight")), ["item_id"], [F.desc("weight"), F.asc("term")], 10)
 
 
 MANUAL = [("云", "天文"), ("月", "天文"), ("溪云", "地理"), ("飞鸟", "禽鸟")]

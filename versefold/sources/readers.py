@@ -98,7 +98,7 @@ def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """file, i, line of whole text files; a file is read as one text so that its lines keep their order."""
-    t = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    t = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return numbered_lines(t, "file", "value")
 
 
@@ -150,7 +150,10 @@ def phrase_headings(lines: DataFrame, key: str, heading: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """A JSON document without the keys that begin with an underscore."""
-    text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).limit(1).collect())
+    files = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(files) != 1:
+        raise ValueError(f"one document is expected at {path}")
+    text = files[0].value
     return {k: v for k, v in json.loads(text).items() if not k.startswith("_")}
 
 
@@ -160,6 +163,23 @@ def read_literal(path: str) -> dict:
         return ast.literal_eval(f.read())
 
 
+def script_vocabulary(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """category, term: a vocabulary that a Python script assigns to a name, as a literal dict of lists or a list (category null).
+
+    The script is parsed, never executed; a value that is no literal is an error.
+    """
+    files = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(files) != 1:
+        raise ValueError(f"one script is expected at {path}")
+    for node in ast.parse(files[0].value).body:
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        if node_value := (getattr(node, "value", None) if any(isinstance(t, ast.Name) and t.id == name for t in targets) else None):
+            value = ast.literal_eval(node_value)
+            rows = [(c, t) for c, ts in value.items() for t in ts] if isinstance(value, dict) else [(None, t) for t in value]
+            return spark.createDataFrame(rows, "category string, term string")
+    raise ValueError(f"{path} does not assign {name}")
+
+
 def read_words(spark: SparkSession, path: str, inline: Sequence[str] = (), comments: bool = False) -> DataFrame:
     """word: the lines of a word list and some given words, each once; lines after # are words only if comments is set."""
     w = spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")

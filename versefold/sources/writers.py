@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with header, quotes doubled; arrays must be flattened before. single: one file, for small results."""
+def write_csv(df: DataFrame, path: str, single: bool = False, mark: bool = True) -> None:
+    """CSV with header, quotes doubled; arrays must be flattened before. single: one file, for small results.
+
+    mark: every file begins with a byte-order mark, as spreadsheets expect; it stands before the first column's name.
+    """
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
