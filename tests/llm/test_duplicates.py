@@ -230,5 +230,7 @@ def test_splits(spark):
     m = got.merge(df.toPandas(), left_on="key", right_on="ID")
     for s in ("train", "validation", "test"):
         assert m[m.split == s].m.value_counts(normalize=True).sub(m.m.value_counts(normalize=True)).abs().max() < 0.05
+    few = related.splits(df, "ID", related.author_names(F.col("a"), []), related.original_number(F.col("ID")), "m", strata=2)  # more labels than strata
+    assert few.count() == 3001 and abs(few.where("split = 'train'").count() / 3001 - 0.8) < 0.02
     empty = related.splits(df.limit(0), "ID", related.author_names(F.col("a"), []), related.original_number(F.col("ID")), "m")
     assert empty.count() == 0

@@ -2,7 +2,8 @@
 
 Every pretoken becomes a row of byte ids in a padded matrix of its length bucket. In each round every row merges its
 leftmost pair of minimum rank; ranks of pairs come from an open-addressing hash table in numpy arrays, and rows that
-have no pair left are written out and compacted away. There is no Python loop over tokens or texts' bytes.
+have no pair left are written out and compacted away. A pretoken wider than the widest bucket is a matrix of its own, in
+which a round merges all places of the minimum-rank pair at once. There is no Python loop over tokens or texts' bytes.
 
 Defined cases: a null text has null ids, an empty text has an empty list. Blank texts have the ids of their blanks.
 Lone surrogates cannot occur in Parquet strings. Special-token strings in a text are ordinary text.
@@ -11,7 +12,7 @@ Lone surrogates cannot occur in Parquet strings. Special-token strings in a text
 from __future__ import annotations
 
 import base64
-import heapq
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,12 +22,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file, where no other one is named.
+TOKENIZER = os.environ.get("VERSEFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the split pattern published with the tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 512)
-#: A pretoken of more bytes than the widest bucket would cost a round a merge over its whole width; a heap takes it.
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +83,6 @@ class Encoder:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = list(map(len, ranks))
-        self.token = {r: t for t, r in ranks.items()}
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -177,36 +177,27 @@ class Encoder:
             rank[rq, pq] = self.pairs(ids[rq, pq], best[q])
 
     def _long(self, data: np.ndarray) -> np.ndarray:
-        """One very long pretoken: the same merges in the same order from a heap of (rank, place), n log n."""
-        ids = self.byte[data].tolist()
-        n, get = len(ids), self.pairs
-        rank = get(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, r in enumerate(rank) if r != NONE]
-        heapq.heapify(heap)
-        rank.append(int(NONE))
-        token, known = self.token, self.ranks
-
-        def look(a: int, b: int) -> int:
-            return known.get(token[a] + token[b], int(NONE))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r or ids[i] < 0:
-                continue
-            k = after[i]
-            m = after[k]
-            ids[i], ids[k], rank[k], after[i] = r, -1, int(NONE), m
-            if m < n:
-                before[m] = i
-            rank[i] = look(r, ids[m]) if m < n else int(NONE)
-            if rank[i] != NONE:
-                heapq.heappush(heap, (rank[i], i))
-            if (p := before[i]) >= 0:
-                rank[p] = look(ids[p], r)
-                if rank[p] != NONE:
-                    heapq.heappush(heap, (rank[p], p))
-        return np.array(ids, np.int32)
+        """One very long pretoken: each round merges every occurrence of the minimum-rank pair, from the left.
+
+        The same as one leftmost merge a round: a pair that a merge creates holds the new token, so that its rank is higher,
+        and until no pair of this rank is left the leftmost one is next. Of overlapping places every other one counts.
+        """
+        ids = self.byte[data]
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            begin = np.append(True, np.diff(at) > 1)  # of a run of neighbouring places
+            at = at[(at - at[begin][np.cumsum(begin) - 1]) % 2 == 0]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            now = at - np.arange(len(at))  # places after the merge
+            rank = np.append(rank, NONE)[keep][: len(ids) - 1] if len(ids) > 1 else rank[:0]
+            touched = np.unique(np.concatenate((now, now - 1)))
+            touched = touched[(touched >= 0) & (touched < len(rank))]
+            rank[touched] = self.pairs(ids[touched], ids[touched + 1])
+        return ids
 
     def analyse(self, texts: list[str | None]) -> tuple[list[list[str]], list[np.ndarray], np.ndarray, np.ndarray]:
         """Of each text its pretokens and their numbers of ids; ids of all texts one after another, and their offsets."""

@@ -110,8 +110,11 @@ def assign(counts: np.ndarray, shares: list[float]) -> np.ndarray:
     return out
 
 
-def splits(df: DataFrame, key: str, authors: Column, number: Column, label: str, shares: dict[str, float] | None = None, bins: int = 4096, large: int = 2000) -> DataFrame:
-    """key, group_id, split: rows of one group in one split, the label's distribution alike in all splits."""
+def splits(df: DataFrame, key: str, authors: Column, number: Column, label: str, shares: dict[str, float] | None = None, bins: int = 4096, large: int = 2000, strata: int = 1024) -> DataFrame:
+    """key, group_id, split: rows of one group in one split, the label's distribution alike in all splits.
+
+    Every label is a stratum of its own up to `strata` different ones; more labels than that are hashed into so many strata.
+    """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     spark: SparkSession = df.sparkSession
     stage = Stage(spark, "splits")
@@ -121,9 +124,9 @@ def splits(df: DataFrame, key: str, authors: Column, number: Column, label: str,
     n = member.count()
     item = F.when(F.col("n_rows") * large >= n, F.concat(F.lit("g"), F.coalesce("group_id", F.lit("")))).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64("group_id"), F.lit(bins)).cast("string")))
     member = member.withColumn("item", item)
-    # Bounded: at most bins + large items; labels beyond the 64 most frequent count as one.
-    top = [r[0] for r in member.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
-    kind = F.when(F.col("label").isin(top), F.col("label")).otherwise(F.lit("\0other")) if top else F.col("label")
+    # Bounded: at most (bins + large) * strata counts.
+    many = member.select("label").distinct().limit(strata + 1).count() > strata
+    kind = F.pmod(F.xxhash64("label"), F.lit(strata)).cast("string") if many else F.col("label")
     table = member.groupBy("item", kind.alias("label")).count().toPandas()
     counts = table.pivot(index="item", columns="label", values="count").fillna(0).sort_index()
     names = list(shares)
