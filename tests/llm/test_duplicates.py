@@ -31,6 +31,8 @@ def test_copies(spark):
     n = {r.first_key: r.n_copies for r in copies.collapse(df, "key", ["t", "a", "b"]).collect()}
     assert n == {"1": 2, "2": 1, "4": 4, "6": 1}
     assert copies.copies(df.limit(0), "key", ["t", "a", "b"]).count() == 0
+    odd = spark.createDataFrame([(None, "x"), (None, "y"), ("1", "x"), ("1", "z")], "key string, t string")  # null keys, and one key of two records
+    assert sorted((r.first_key or "", r.n_copies) for r in copies.collapse(odd, "key", ["t"]).collect()) == [("", 1), ("1", 1), ("1", 2)]
 
 
 def test_copies_of_a_hot_record(spark):
@@ -43,6 +45,7 @@ def test_colliding_fingerprints_form_groups_of_their_own(spark, monkeypatch):
     df = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "x"), ("4", "y")], "key string, t string")
     got = {(r.first_key, r.key) for r in copies.copies(df, "key", ["t"]).collect()}
     assert got == {("1", "1"), ("1", "3"), ("2", "2"), ("2", "4")}
+    assert {tuple(r) for r in copies.collapse(df, "key", ["t"]).collect()} == {("1", 2), ("2", 2)}
 
 
 @pytest.mark.parametrize(

@@ -34,6 +34,12 @@ def fingerprints(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), *[F.coalesce(F.col(f"`{x}`"), F.lit("")).alias(x) for x in fields], multiset_hash(fields, 1).alias("f1"), multiset_hash(fields, 2).alias("f2"))
 
 
+def _collided(rows: DataFrame, fields: list[str], stage: Stage) -> DataFrame:
+    """f1, f2: fingerprints that different records have."""
+    distinct = rows.select("f1", "f2", *fields).distinct()
+    return stage.write(distinct.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "collided")
+
+
 def copies(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, first_key: of every record in a group of two or more."""
     stage = Stage(df.sparkSession, "copies")
@@ -41,8 +47,7 @@ def copies(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     narrow = stage.write(rows.select("key", "f1", "f2"), "keys")
     groups = narrow.groupBy("f1", "f2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = narrow.join(groups, ["f1", "f2"])
-    distinct = rows.select("f1", "f2", *fields).distinct()
-    collided = stage.write(distinct.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "collided")
+    collided = _collided(rows, fields, stage)
     if collided.isEmpty():
         return found.select("key", "first_key")
     other = rows.join(collided, ["f1", "f2"], "left_semi")
@@ -52,7 +57,13 @@ def copies(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row for each distinct record: first_key, n_copies BIGINT (the record itself counted)."""
-    several = copies(df, key, fields)
-    single = df.select(F.col(f"`{key}`").alias("first_key")).join(several.select(F.col("key").alias("first_key")), "first_key", "left_anti")
-    return several.groupBy("first_key").agg(F.count(F.lit(1)).alias("n_copies")).unionByName(single.withColumn("n_copies", F.lit(1).cast("bigint")))
+    """One row for each distinct record: first_key, n_copies BIGINT (the record itself counted). Null keys and keys of several records do no harm."""
+    stage = Stage(df.sparkSession, "collapse")
+    rows = fingerprints(df, key, fields)
+    collided = _collided(rows, fields, stage)
+    counted = [F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n_copies")]
+    if collided.isEmpty():
+        return rows.select("key", "f1", "f2").groupBy("f1", "f2").agg(*counted).select("first_key", "n_copies")
+    sure = rows.select("key", "f1", "f2").join(collided, ["f1", "f2"], "left_anti").groupBy("f1", "f2").agg(*counted)
+    other = rows.join(collided, ["f1", "f2"], "left_semi").groupBy("f1", "f2", *fields).agg(*counted)
+    return sure.select("first_key", "n_copies").unionByName(other.select("first_key", "n_copies"))
