@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import Stage, shared_dir
 from .relational import numbered
 
 
@@ -122,7 +122,9 @@ def out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, make=s
     for i, m in enumerate(models):
         part = m.transform(x.where(F.col("fold") == i)).select(key, "y", "p")
         out = part if out is None else out.unionByName(part)
-    return out
+    written = Stage(df.sparkSession, "folds").write(out, "predictions")
+    x.unpersist()
+    return written
 
 
 def pca(df: DataFrame, key: str, column: str, k: int) -> DataFrame:

@@ -105,12 +105,23 @@ def bm25(df: DataFrame, key: str, toks: Column, query: Sequence[str], k1: float
     partial aggregates, so nothing is exploded or shuffled. N counts documents with a token. Documents without any query
     term are left out (hits_only) or have a score of 0.
     """
-    terms = sorted(set(query))
-    times = lambda word: F.size(F.filter("t", lambda x: x == word))
-    each = df.select(key, toks.alias("t")).select(key, F.size("t").alias("dl"), F.array(*map(times, terms)).cast("array<int>").alias("tf"))
+    each = df.select(key, toks.alias("t")).select(key, *query_counts(F.col("t"), query))
     each = each.where("dl > 0") if hits_only else each
+    scored = bm25_score(each, query, "score", k1, b)
+    return (scored.where(F.exists("tf", lambda x: x > 0)) if hits_only else scored).select(key, "score")
+
+
+def query_counts(toks: Column, query: Sequence[str]) -> list[Column]:
+    """dl and tf ARRAY<INT>: a row's number of tokens, and how often it has each of the query's terms, in their order."""
+    times = lambda word: F.size(F.filter(toks, lambda x: x == word))
+    return [F.size(toks).alias("dl"), F.array(*map(times, sorted(set(query)))).cast("array<int>").alias("tf")]
+
+
+def bm25_score(counted: DataFrame, query: Sequence[str], out: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The rows (with dl and tf of query_counts) and their score; the corpus statistics are one row."""
+    terms = sorted(set(query))
     has = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
-    stats = each.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *has)
+    stats = counted.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *has)
 
     def part(i: int, word: str) -> Column:
         tf, n_docs = F.col("tf")[i], F.col(f"df{i}")
@@ -118,8 +129,7 @@ def bm25(df: DataFrame, key: str, toks: Column, query: Sequence[str], k1: float
         return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * query.count(word)).otherwise(0.0)
 
     score = sum((part(i, w) for i, w in enumerate(terms)), F.lit(0.0))
-    scored = each.crossJoin(F.broadcast(stats))
-    return (scored.where(F.exists("tf", lambda x: x > 0)) if hits_only else scored).select(key, score.alias("score"))
+    return counted.crossJoin(F.broadcast(stats)).select(*counted.columns, score.alias(out))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
@@ -205,9 +215,9 @@ def channel_weights(base: dict[str, float], active: Iterable[str]) -> dict[str,
     return {n: (w / total if n in on and total else 0.0) for n, w in base.items()}
 
 
-def profile_score(row: dict[str, Column], wanted: dict[str, tuple[list[str], list[str]]], weights: dict[str, float]) -> Column:
-    """Per dimension: hard hits times the weight and soft hits times 0.6 of it; row: dimension -> ARRAY<STRING>."""
-    parts = []
+def profile_score(row: dict[str, Column], wanted: dict[str, tuple[list[str], list[str]]], weights: dict[str, float], text: Column | None = None, pool: Sequence[str] = ()) -> Column:
+    """Per dimension: hard hits times the weight and soft hits times 0.6 of it; row: dimension -> ARRAY<STRING>. Each word of the pool that the text contains adds 0.5."""
+    parts = [F.when(F.contains(text, F.lit(w)), 0.5).otherwise(0.0) for w in pool] if text is not None else []
     for dim, (hard, soft) in wanted.items():
         arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
         parts.append(weights[dim] * F.size(F.array_intersect(row[dim], arr(hard))) + 0.6 * weights[dim] * F.size(F.array_intersect(row[dim], arr(soft))))

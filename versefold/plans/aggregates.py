@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import text_stats as T
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 
@@ -90,15 +90,25 @@ def agg_13_dominant_label(s, d):
     return R.dominant(table(s, d, "review_tool").where(F.col("花名").isNotNull()), ["花名"], "朝代")
 
 
-@query("SELECT event_type, " + ", ".join(f"count(*) FILTER (user_id % 4 = {i}) AS u{i}" for i in range(4)) + " FROM events GROUP BY event_type")
+_NAMED = "SELECT 花名 AS flower, 朝代 AS dynasty FROM review_tool WHERE 花名 <> '' AND 朝代 <> ''"
+_TOP = f"WITH t AS ({_NAMED}), r AS (SELECT flower FROM t GROUP BY 1 ORDER BY count(*) DESC, flower LIMIT 10), k AS (SELECT dynasty, row_number() OVER (ORDER BY count(*) DESC, dynasty) AS i FROM t GROUP BY 1 ORDER BY i LIMIT 5)"
+_CELLS = ", ".join(f"count(*) FILTER (i = {i}) AS c{i}" for i in range(1, 6))
+
+
+@query(f"{_TOP} SELECT flower, {_CELLS} FROM t JOIN r USING (flower) LEFT JOIN k USING (dynasty) GROUP BY flower")
 def agg_14_contingency(s, d):
-    t = table(s, d, "events").select("event_type", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("u"))
-    return R.contingency(t, "event_type", "u", ["u0", "u1", "u2", "u3"])
+    """The ten most frequent flowers by the five most frequent dynasties (c1 the first of them), 0 where there is none."""
+    t = table(s, d, "review_tool").where("`花名` <> '' and `朝代` <> ''").select(F.col("花名").alias("flower"), F.col("朝代").alias("dynasty"))
+    rows = t.groupBy("flower").agg(n()).orderBy(F.desc("n"), "flower").limit(10).select("flower")
+    top = t.groupBy("dynasty").agg(n()).orderBy(F.desc("n"), "dynasty").limit(5)
+    columns = top.select("dynasty", F.concat(F.lit("c"), F.row_number().over(Window.orderBy(F.desc("n"), "dynasty"))).alias("c"))  # five rows
+    j = t.join(F.broadcast(rows), "flower").join(F.broadcast(columns), "dynasty", "left")
+    return R.contingency(j, "flower", "c", [f"c{i}" for i in range(1, 6)])
 
 
-@query("SELECT event_type, " + ", ".join(f"count(*) FILTER (user_id % 4 = {i}) AS u{i}" for i in range(4)) + ", count(*) AS total FROM events GROUP BY event_type")
+@query(f"{_TOP} SELECT flower, {_CELLS}, count(i) AS total FROM t JOIN r USING (flower) LEFT JOIN k USING (dynasty) GROUP BY flower")
 def agg_15_row_totals(s, d):
-    return agg_14_contingency(s, d).withColumn("total", F.col("u0") + F.col("u1") + F.col("u2") + F.col("u3"))
+    return agg_14_contingency(s, d).withColumn("total", sum((F.col(f"c{i}") for i in range(2, 6)), F.col("c1")))
 
 
 @query("SELECT CASE WHEN f IS NULL THEN '其他' ELSE 花名 END AS kind, count(*) AS n FROM review_tool LEFT JOIN (SELECT 花名 AS f FROM review_tool WHERE 花名 IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 花名 LIMIT 10) ON 花名 = f GROUP BY 1")
@@ -114,7 +124,7 @@ LONG = f"tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents WHERE text
 
 
 def counts(s, d):
-    return T.term_counts(table(s, d, "documents"), "doc_id", T.tokens(F.col("text")))
+    return T.term_counts(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text")))
 
 
 @query(f"WITH {LONG} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term")
@@ -182,12 +192,14 @@ def agg_24_agreement(s, d):
     return t.agg(share("a <=> b", "ab"), share("b <=> c", "bc"), share("a <=> b and b <=> c", "abc"))
 
 
-@query("SELECT a.label AS x, b.label AS y, len(list_intersect(a.l, b.l)) AS both, round(len(list_intersect(a.l, b.l)) / CAST(len(a.l) AS DOUBLE), 4) AS rate FROM (SELECT label, list(DISTINCT vec_id % 37) AS l FROM embeddings GROUP BY label) a JOIN (SELECT label, list(DISTINCT vec_id % 37) AS l FROM embeddings GROUP BY label) b ON a.label < b.label")
+@query(f"WITH t AS (SELECT genre, unnest({TOK}) AS term FROM documents WHERE genre IS NOT NULL AND text IS NOT NULL), k AS (SELECT genre, term FROM (SELECT genre, term, row_number() OVER (PARTITION BY genre ORDER BY count(*) DESC, term) AS r FROM t GROUP BY 1, 2) WHERE r <= 50), s AS (SELECT genre, count(*) AS size FROM k GROUP BY 1) SELECT a.genre AS x, b.genre AS y, count(*) AS both, round(count(*) / CAST(any_value(s.size) AS DOUBLE), 4) AS rate FROM k a JOIN k b ON a.term = b.term AND a.genre < b.genre JOIN s ON s.genre = a.genre GROUP BY 1, 2")
 def agg_25_set_overlap(s, d):
-    l = table(s, d, "embeddings").groupBy("label").agg(F.collect_set(F.col("vec_id") % 37).alias("l"))
-    j = l.select(F.col("label").alias("x"), F.col("l").alias("p")).join(l.select(F.col("label").alias("y"), F.col("l").alias("q")), F.col("x") < F.col("y"))
-    both = F.size(F.array_intersect("p", "q"))
-    return j.select("x", "y", both.cast("bigint").alias("both"), F.round(both / F.size("p"), 4).alias("rate"))
+    """Of every two genres that share any of their fifty most frequent terms, how many they share; lists meet by their terms."""
+    t = table(s, d, "documents").where("genre is not null").select("genre", F.explode(T.tokens(F.col("text"))).alias("term"))
+    k = R.top_k(t.groupBy("genre", "term").agg(n()), ["genre"], [F.desc("n"), F.asc("term")], 50).select("genre", "term")
+    size = k.groupBy("genre").agg(n("size"))
+    both = k.select(F.col("genre").alias("x"), "term").join(k.select(F.col("genre").alias("y"), "term"), "term").where("x < y").groupBy("x", "y").agg(n("both"))
+    return both.join(size.withColumnRenamed("genre", "x"), "x").select("x", "y", "both", F.round(F.col("both") / F.col("size"), 4).alias("rate"))
 
 
 @query("SELECT count(*) AS raw, count(*) FILTER (正文 IS NOT NULL) AS matched, count(*) FILTER (正文 IS NOT NULL AND 审核状态 = '✓') AS consistent, round(100.0 * count(*) FILTER (正文 IS NOT NULL AND 审核状态 = '✓') / count(*), 2) AS retention FROM review_tool")

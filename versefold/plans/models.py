@@ -89,12 +89,13 @@ def ml_10_class_weights(s, d):
 @query("SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 'positive' ELSE 'negative' END AS label, least(abs(CAST(embedding[1] AS DOUBLE)), 1) AS confidence FROM embeddings")
 def ml_11_batched_inference(s, d):
     """Labels and confidences from an injected scoring function, by Arrow batches."""
+    import numpy as np
     import pandas as pd
 
     def score(batches):
         for b in batches:
-            v = b["embedding"].map(lambda x: float(x[0]))
-            yield pd.DataFrame({"vec_id": b["vec_id"], "label": (v > 0).map({True: "positive", False: "negative"}), "confidence": v.abs().clip(upper=1.0)})
+            v = np.stack(b["embedding"].to_numpy())[:, 0].astype(float) if len(b) else np.zeros(0)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "label": np.where(v > 0, "positive", "negative"), "confidence": np.minimum(np.abs(v), 1.0)})
 
     return table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(score, "vec_id bigint, label string, confidence double")
 

@@ -11,12 +11,12 @@ from ..operators import lexicon as L
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import text_stats as T
-from ..session import table
+from ..session import Stage, spread, table
 from . import lexicons as W
 from .aggregates import LONG
 from .joins import DOT, NEAREST, _nearest
 from .registry import query
-from .texts import DIMENSION_SQL, DIMS, dimension_counts, idf_vectors
+from .texts import DIMENSION_SQL, DIMS, catalog_categories, dimension_columns, idf_vectors
 
 QUERY = ["霜风", "孤灯", "寒烟", "孤灯"]
 
@@ -25,7 +25,7 @@ bm AS (SELECT doc_id, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)
 
 
 def _bm25(s, d):
-    return V.bm25(table(s, d, "documents"), "doc_id", T.tokens(F.col("text")), QUERY)
+    return V.bm25(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text")), QUERY)
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 5) AS score FROM bm")
@@ -112,18 +112,21 @@ def unit_query(vectors, keys):
 
 
 def channels(s, d):
-    """doc_id, source and the four channels' scores: lexical, mood, dimensions, embedding (null where there is no vector)."""
-    docs = table(s, d, "documents").where("text is not null")
-    lexical = V.bm25(docs, "doc_id", T.tokens(F.col("text")), QUERY, hits_only=False).select("doc_id", F.round("score", 9).alias("imagery"))
-    found = [F.regexp_count("text", F.lit(f"[{c}]")) for c in _CLASSES.values()]
-    total = sum(found[1:], found[0]) + 1
-    shares = F.array(*[x / total for x in found], F.lit(1.0) / total)
-    mood = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.round(V.cosine(shares, F.array(*[F.lit(x) for x in MOOD])), 9).alias("sentiment"))
-    v = idf_vectors(dimension_counts(docs))
-    dims = v.select("doc_id", F.round(V.cosine(F.array(*DIMS), F.array(*[F.lit(x) for x in WISHED])), 9).alias("dimension"))
+    """doc_id, source and the four channels' scores: lexical, mood, dimensions, embedding (null where there is no vector).
+
+    Each text is read once, for a written row of counts; scores are expressions on these rows and one row of statistics.
+    """
+    docs = spread(table(s, d, "documents").where("text is not null").select("doc_id", "source", "text"))
+    read = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), T.tokens(F.col("text")).alias("t"), F.array(*[F.regexp_count("text", F.lit(f"[{c}]")) for c in _CLASSES.values()]).alias("found"), catalog_categories(F.col("text")).alias("c"))
+    rows = Stage(s, "hybrid").write(read.select("doc_id", "source", *V.query_counts(F.col("t"), QUERY), "found", *dimension_columns(F.col("c"))), "counts")
+    scored = idf_vectors(V.bm25_score(rows, QUERY, "lexical"))
+    total = F.aggregate("found", F.lit(0), lambda a, x: a + x) + 1
+    shares = F.concat(F.transform("found", lambda x: x / total), F.array(F.lit(1.0) / total))
+    wanted = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    own = scored.select("doc_id", "source", F.round("lexical", 9).alias("imagery"), F.round(V.cosine(shares, wanted(MOOD)), 9).alias("sentiment"), F.round(V.cosine(F.array(*DIMS), wanted(WISHED)), 9).alias("dimension"))
     e = table(s, d, "embeddings").select("vec_id", "embedding")
     near = e.crossJoin(F.broadcast(unit_query(e, [3, 9]))).select(F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 9).alias("embedding"))
-    return mood.join(lexical, "doc_id").join(dims, "doc_id").join(near, "doc_id", "left")
+    return own.join(near, "doc_id", "left")
 
 
 def _cosine_sql(xs: list[str], ys: list[float]) -> str:
@@ -167,11 +170,11 @@ def ret_09_capped_with_explanation(s, d):
 
 
 @query(
-    "SELECT id, round(score, 3) AS score FROM (SELECT id, 2.0::DOUBLE * (CASE WHEN list_contains(c, 'white') THEN 1 ELSE 0 END) + 1.2::DOUBLE * (CASE WHEN list_contains(c, 'red') THEN 1 ELSE 0 END) + 1.0::DOUBLE * (CASE WHEN list_contains(o, '雲嶺') THEN 1 ELSE 0 END) - CASE WHEN stock_status = 'sold_out' THEN 2 ELSE 0 END AS score FROM (SELECT id, stock_status, string_split(lower(coalesce(color, '')), ' ') AS c, string_split(coalesce(origin, ''), ' ') AS o FROM product)) WHERE score > 0 ORDER BY score DESC, id LIMIT 50"
+    "SELECT id, round(score, 3) AS score FROM (SELECT id, 2.0::DOUBLE * (CASE WHEN list_contains(c, 'white') THEN 1 ELSE 0 END) + 1.2::DOUBLE * (CASE WHEN list_contains(c, 'red') THEN 1 ELSE 0 END) + 1.0::DOUBLE * (CASE WHEN list_contains(o, '雲嶺') THEN 1 ELSE 0 END) + CASE WHEN contains(name, '鮮花') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN contains(name, '限量') THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN stock_status = 'sold_out' THEN 2 ELSE 0 END AS score FROM (SELECT id, stock_status, coalesce(name, '') AS name, string_split(lower(coalesce(color, '')), ' ') AS c, string_split(coalesce(origin, ''), ' ') AS o FROM product)) WHERE score > 0 ORDER BY score DESC, id LIMIT 50"
 )
 def ret_10_profile_score(s, d):
-    p = table(s, d, "product").select("id", "stock_status", F.split(F.lower(F.coalesce("color", F.lit(""))), " ").alias("c"), F.split(F.coalesce("origin", F.lit("")), " ").alias("o"))
-    score = V.profile_score({"color": F.col("c"), "origin": F.col("o")}, {"color": (["white"], ["red"]), "origin": (["雲嶺"], [])}, {"color": 2.0, "origin": 1.0})
+    p = table(s, d, "product").select("id", "stock_status", F.coalesce("name", F.lit("")).alias("name"), F.split(F.lower(F.coalesce("color", F.lit(""))), " ").alias("c"), F.split(F.coalesce("origin", F.lit("")), " ").alias("o"))
+    score = V.profile_score({"color": F.col("c"), "origin": F.col("o")}, {"color": (["white"], ["red"]), "origin": (["雲嶺"], [])}, {"color": 2.0, "origin": 1.0}, F.col("name"), ["鮮花", "限量"])
     x = p.select("id", F.round(score - F.when(F.col("stock_status") == "sold_out", 2.0).otherwise(0.0), 3).alias("score"))
     return x.where("score > 0").orderBy(F.desc("score"), "id").limit(50)
 

@@ -8,7 +8,7 @@ from ..functions import fields as X
 from ..operators import lexicon as L
 from ..operators import relational as R
 from ..operators import text_stats as T
-from ..session import table
+from ..session import spread, table
 from . import lexicons as W
 from .aggregates import LONG, TOK, counts
 from .registry import query
@@ -19,6 +19,10 @@ def n(name="n"):
     return F.count(F.lit(1)).alias(name)
 
 
+def _texts(s, d):
+    return spread(table(s, d, "documents").where("text is not null").select("doc_id", "text"))
+
+
 def rows_sql(pairs, names):
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs) + f") v({names})"
 
@@ -75,7 +79,7 @@ def text_03_tfidf_top20(s, d):
 
 @query()
 def text_04_textrank(s, d):
-    return T.textrank(table(s, d, "documents").where("text is not null"), "doc_id", T.tokens(F.col("text")))
+    return T.textrank(_texts(s, d), "doc_id", T.tokens(F.col("text")))
 
 
 @query(
@@ -190,11 +194,13 @@ CL = [(t, c) for c, ts in W.CLASSES.items() for t in ts] + [(t, c) for c, ts in
 )
 def text_09_pseudo_label(s, d):
     """Terms of two characters and fourteen single ones, overlapping, each unless negated; the class of the greatest weighted count if it is one."""
-    t = table(s, d, "documents").where("text is not null")
+    t = _texts(s, d)
     labels = list(W.CLASSES)
-    hits = lambda terms: F.size(L.terms_at_places(F.col("text"), terms, L.NEGATION))
+    every = lambda lists: [x for ts in lists.values() for x in ts]
+    t = t.select("doc_id", *[L.terms_at_places(F.col("text"), every(lists), L.NEGATION).alias(c) for c, lists in (("two", W.CLASSES), ("one", W.SINGLES))])
+    hits = lambda c: F.size(F.filter("two", lambda x: x.isin(*W.CLASSES[c]))) + F.size(F.filter("one", lambda x: x.isin(*W.SINGLES[c])))
     size = {c: len(W.CLASSES[c]) + len(W.SINGLES[c]) for c in labels}
-    scores = F.array(*[F.struct(((hits(W.CLASSES[c]) + hits(W.SINGLES[c])) / F.log2(F.lit(size[c] + 1.0))).alias("score"), F.lit(c).alias("label")) for c in labels])
+    scores = F.array(*[F.struct((hits(c) / F.log2(F.lit(size[c] + 1.0))).alias("score"), F.lit(c).alias("label")) for c in labels])
     x = t.select("doc_id", scores.alias("s")).withColumn("top", F.array_max(F.transform("s", lambda v: v["score"]))).where("top > 0")
     best = x.select("doc_id", F.filter("s", lambda v: F.abs(v["score"] - F.col("top")) < 1e-9).alias("b"))
     return best.select("doc_id", F.when(F.size("b") == 1, F.col("b")[0]["label"]).otherwise("Uncertain").alias("label"))
@@ -203,11 +209,11 @@ def text_09_pseudo_label(s, d):
 def _greedy_terms(s, d, low: int, singles: bool):
     kept = [k for k in W.HEADINGS if low <= len(k) <= 5 or singles and len(k) == 1]
     terms = F.regexp_extract_all("text", F.lit(f"({L.trie_pattern(kept)})"), F.lit(1))
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(n())
+    return _texts(s, d).select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(n())
 
 
 def _imagery(s, d):
-    return L.greedy(table(s, d, "documents").where("text is not null"), "doc_id", "text", list(W.HEADINGS), 5, 2)
+    return L.greedy(_texts(s, d), "doc_id", "text", list(W.HEADINGS), 5, 2)
 
 
 LONG_TERMS = "|".join(sorted((k for k in W.HEADINGS if len(k) > 1), key=lambda x: (-len(x), x)))
@@ -296,23 +302,33 @@ def text_16_term_expansion(s, d):
 DIMS = list(W.DIMENSIONS)
 
 
-def dimension_counts(docs):
-    """doc_id and nine counts of the catalog paths that a text's terms lead to (a/category/b; each heading once)."""
+def catalog_categories(text):
+    """ARRAY<STRING>: categories of the catalog paths that a text's terms lead to (a/category/b; each heading once)."""
     kept = sorted(W.HEADINGS)
-    terms = F.regexp_extract_all("text", F.lit(f"({L.trie_pattern(kept)})"), F.lit(1))
+    terms = F.regexp_extract_all(text, F.lit(f"({L.trie_pattern(kept)})"), F.lit(1))
     heads = F.create_map(*[F.lit(x) for kv in W.HEADINGS.items() for x in kv])
     paths = F.transform(F.array_distinct(F.transform(terms, lambda t: F.try_element_at(heads, t))), lambda h: F.concat(F.lit("卷一/"), h, F.lit("/词")))
-    category = F.transform(F.filter(F.transform(paths, lambda p: F.split(p, "/")), lambda p: F.size(p) >= 3), lambda p: p[1])
-    count = lambda names: F.size(F.filter("c", lambda x: x.isin(*names)))
-    return docs.select("doc_id", category.alias("c")).select("doc_id", *[count(W.DIMENSIONS[k]).alias(k) for k in DIMS])
+    return F.transform(F.filter(F.transform(paths, lambda p: F.split(p, "/")), lambda p: F.size(p) >= 3), lambda p: p[1])
+
+
+def dimension_columns(categories):
+    """Nine counts of an array of categories."""
+    count = lambda names: F.size(F.filter(categories, lambda x: x.isin(*names)))
+    return [count(W.DIMENSIONS[k]).alias(k) for k in DIMS]
+
+
+def dimension_counts(docs):
+    """doc_id and the nine counts of its text."""
+    return docs.select("doc_id", catalog_categories(F.col("text")).alias("c")).select("doc_id", *dimension_columns(F.col("c")))
 
 
 def idf_vectors(counts):
-    """doc_id and nine columns: counts times ln(N / max(1, df)), of length 1; zero vectors stay. The statistics are one row."""
+    """The rows with the nine counts times ln(N / max(1, df)), of length 1; zero vectors stay. The statistics are one row."""
+    other = [c for c in counts.columns if c not in DIMS]
     idf = counts.agg(*[F.log(F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_if(F.col(k) > 0))).alias(f"i_{k}") for k in DIMS])
-    w = counts.crossJoin(F.broadcast(idf)).select("doc_id", *[(F.col(k) * F.col(f"i_{k}")).alias(k) for k in DIMS])
+    w = counts.crossJoin(F.broadcast(idf)).select(*other, *[(F.col(k) * F.col(f"i_{k}")).alias(k) for k in DIMS])
     norm = F.sqrt(sum((F.col(k) * F.col(k) for k in DIMS), F.lit(0.0)))
-    return w.withColumn("n", norm).select("doc_id", *[F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in DIMS])
+    return w.withColumn("n", norm).select(*other, *[F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in DIMS])
 
 
 DIMENSION_SQL = (
@@ -332,7 +348,7 @@ DIMENSION_SQL = (
 
 @query(f"WITH {DIMENSION_SQL} SELECT doc_id, " + ", ".join(f"round({k}, 5) AS {k}" for k in DIMS) + " FROM dv")
 def text_17_category_idf(s, d):
-    v = idf_vectors(dimension_counts(table(s, d, "documents").where("text is not null")))
+    v = idf_vectors(dimension_counts(_texts(s, d)))
     return v.select("doc_id", *[F.round(k, 5).alias(k) for k in DIMS])
 
 

@@ -9,7 +9,7 @@ from ..functions.text import grams
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import text_stats as T
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 
@@ -70,7 +70,7 @@ TOK = r"regexp_extract_all(lower(text), '([a-z]{2,}|[一-鿿]{2})', 1)"
 
 @query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS t, generate_subscripts({TOK}, 1) AS i FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, a.t AS a, b.t AS b, count(*) AS w FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 4 AND a.t <> b.t GROUP BY 1, 2, 3")
 def win_09_cooccurrence(s, d):
-    return T.cooccurrence(table(s, d, "documents"), "doc_id", T.tokens(F.col("text")), 4)
+    return T.cooccurrence(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text")), 4)
 
 
 @query("SELECT item_id, list_transform(range(1, length(text)), lambda i: substr(text, i, 2)) AS grams FROM eval_item")

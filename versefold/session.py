@@ -48,6 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work on whole texts: rows of a scan with fewer partitions than cores (one small file) on all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: the result survives the loss of any executor and has no lineage."""
     shared_dir(df.sparkSession)
