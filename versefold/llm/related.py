@@ -110,7 +110,7 @@ def assign(counts: np.ndarray, shares: list[float]) -> np.ndarray:
     return out
 
 
-def splits(df: DataFrame, key: str, authors: Column, number: Column, label: str, shares: dict[str, float] | None = None, bins: int = 4096, large: int = 2000, strata: int = 1024) -> DataFrame:
+def splits(df: DataFrame, key: str, authors: Column, number: Column, label: str, shares: dict[str, float] | None = None, bins: int = 4096, large: int = 2000, strata: int = 256) -> DataFrame:
     """key, group_id, split: rows of one group in one split, the label's distribution alike in all splits.
 
     Every label is a stratum of its own up to `strata` different ones; more labels than that are hashed into so many strata.
