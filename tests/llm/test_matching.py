@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -368,3 +369,25 @@ def test_items_of_one_id_make_one_row(spark):
     e = spark.createDataFrame([(5, text), (5, text[:50] + "某某"), (5, text)], "item_id bigint, text string")
     got = alignment.leaks(d, "doc_id", "text", e, "item_id", "text").collect()
     assert [(r.doc_id, r.item_id, r.share, r.longest_run) for r in got] == [(1, 5, 1.0, 80)]
+
+
+def test_names_of_colors_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        names = {"".join(rng.choices("甲乙丙丁", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 8))}
+        text = "".join(rng.choices("甲乙丙丁", k=rng.randint(0, 15)))
+        pattern = re.compile("|".join(sorted(names, key=len, reverse=True)) or "(?!)")
+        first = pattern.search(text)
+        assert listings.Names(names).cut(text) == (first and first[0], pattern.sub(listings.BREAK, text))
+        assert listings.Names(names).all(text) == {x for x in names if x in text}
+
+
+@pytest.mark.parametrize("part", [200_000, 4000])
+def test_colors_of_no_list_count_in_titles_however_many_there_are(spark, monkeypatch, part):
+    monkeypatch.setattr(listings, "PART_COLORS", part, raising=False)
+    rows = [(1, 1, "1", "霜铃花 銀灰 湖舟席", None, None, None, "60cm, 10枝"), (2, 2, "2", "霜铃花 湖舟席 銀灰", None, None, None, "60cm, 10枝"), (3, 3, "3", "霜铃花 湖舟席", "銀灰", None, None, "60cm, 10枝")]
+    many = spark.range(10_500).select((F.col("id") + 10).alias("id"), F.lit(9).cast("bigint").alias("supplier_id"), F.col("id").cast("string").alias("external_id"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("shade"), "id").alias("color"), *[F.lit(None).cast("string").alias(c) for c in ("unit", "size", "spec_text")])
+    reference = spark.createDataFrame([("花名", "霜铃花", None)], "field_name string, entry string, other_names array<string>")
+    for products in (spark.createDataFrame(rows, LISTING), spark.createDataFrame(rows, LISTING).unionByName(many)):
+        got = {tuple(r) for r in listings.parsed(products, reference).where("id < 4").select("id", "color", F.concat_ws(" ", "tokens")).collect()}
+        assert got == {(1, "银灰", "霜铃花 湖舟席"), (2, "银灰", "霜铃花 湖舟席"), (3, "银灰", "霜铃花 湖舟席")}

@@ -95,6 +95,8 @@ PARTS = re.compile(r"[,，;；|/\n]")
 LABELLED = regex.compile(r"(?:颜色|color)\s*[:：]\s*([^\s,，;；|/]+)")
 #: Words of a list for every title at most; see unspecific().
 MOST_WORDS = 200_000
+#: Names of colors that a task holds at a time; more are looked for in parts, one after another.
+PART_COLORS = 200_000
 
 
 def _length(text: str) -> int | None:
@@ -124,26 +126,63 @@ def _own_color(text: str) -> str | None:
     return (k.removesuffix("色") or k) or None
 
 
+class Names:
+    """The longest of the names at each place, from left to right without overlap; its time follows the text, not their number."""
+
+    def __init__(self, names: Iterable[str]):
+        self.names = frozenset(x for x in names if x)
+        sizes: dict[str, set[int]] = {}
+        for x in self.names:
+            sizes.setdefault(x[:2], set()).add(len(x))
+        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+        self.begin = re.compile(f"[{''.join(map(re.escape, sorted({x[0] for x in self.names})))}]") if self.names else re.compile("(?!)")
+
+    def at(self, text: str, i: int) -> Iterator[str]:
+        """Names at a place, the longest first."""
+        for head in (text[i : i + 2], text[i : i + 1]) if i + 1 < len(text) else (text[i:],):
+            yield from (x for n in self.sizes.get(head, ()) if (x := text[i : i + n]) in self.names)
+
+    def all(self, text: str) -> set[str]:
+        return {x for m in self.begin.finditer(text) for x in self.at(text, m.start())}
+
+    def cut(self, text: str) -> tuple[str | None, str]:
+        """The first name, and the text with a break for every name."""
+        first, out, kept = None, [], 0
+        for m in self.begin.finditer(text):
+            if (i := m.start()) >= kept and (x := next(self.at(text, i), None)):
+                first = first or x
+                out += [text[kept:i], BREAK]
+                kept = i + len(x)
+        return first, "".join(out) + text[kept:]
+
+
 class Reader:
     """Reads names and fields; flowers: spelling (Simplified) -> entry; colors: further names of colors."""
 
     def __init__(self, flowers: dict[str, str], colors: Iterable[str], simplify: dict[int, str], look: confusable.LookAlikes | None):
         self.flowers, self.simplify, self.look = flowers, simplify, look
         self.flower = re.compile(trie_pattern(flowers)) if flowers else re.compile("(?!)")
-        self.more = re.compile(trie_pattern(colors)) if (colors := sorted(c for c in colors if c)) else None
+        self.more = Names(colors)
         self.clean = lru_cache(maxsize=65_536)(self._clean)
 
     def _clean(self, text: str | None) -> str:
         return (confusable.consistent(text, self.look) or "").translate(self.simplify).lower() if text else ""
 
-    def read(self, name: str | None, others: list[str | None]) -> tuple[str | None, str | None, int | None, int | None, list[str]]:
-        """Flower, color, length, stems and tokens in their order. others: color, unit, size, specification."""
+    def _bare(self, name: str | None) -> tuple[str | None, str]:
+        """The flower, and the title with a mark in its place."""
         title = self._clean(name)
+        found = max(self.flower.finditer(title), key=lambda m: (len(m[0]), -m.start()), default=None)
+        return (self.flowers[found[0]], f"{title[: found.start()]}{BREAK}{FLOWER}{BREAK}{title[found.end() :]}") if found else (None, title)
+
+    def named(self, name: str | None) -> list[str]:
+        """All further names of colors that stand anywhere in a title, overlapping ones too."""
+        return sorted(self.more.all(self._bare(name)[1]))
+
+    def read(self, name: str | None, others: list[str | None], more: Names | None = None) -> tuple[str | None, str | None, int | None, int | None, list[str]]:
+        """Flower, color, length, stems and tokens in their order. others: color, unit, size, specification; more: names of colors instead of the reader's."""
+        flower, bare = self._bare(name)
         field, unit, size = (self.clean(x) for x in others[:3])
         spec = self._clean(others[3])
-        found = max(self.flower.finditer(title), key=lambda m: (len(m[0]), -m.start()), default=None)
-        flower = self.flowers[found[0]] if found else None
-        bare = f"{title[: found.start()]}{BREAK}{FLOWER}{BREAK}{title[found.end() :]}" if found else title
         stated = [_stated(p) for t in (field, unit, size, spec) for p in (PARTS.split(t) if t else ())]
         m = COLOR.search(bare)
         color = _KIND[m[0]] if m else next((x[0] for x in stated if x[0]), None)
@@ -151,9 +190,9 @@ class Reader:
             color, bare = _KIND[m[0]], bare[: m.start()] + BREAK + bare[m.end() :]
         if color is None:
             color = _own_color(field) or next((_own_color(x[3]) for x in stated if x[3]), None)
-        if self.more and (m := self.more.search(bare)):
-            color = color or _own_color(m[0])
-            bare = self.more.sub(BREAK, bare)
+        first, bare = (self.more if more is None else more).cut(bare)
+        if first:
+            color = color or _own_color(first)
         length = next((x[1] for x in stated if x[1] is not None), None)
         stems = next((x[2] for x in stated if x[2] is not None), None)
         length = _length(bare) if length is None else length
@@ -163,8 +202,8 @@ class Reader:
         return flower, color, length, stems, TOKENS.findall(bare)
 
 
-def reader_lists(products: DataFrame, reference: DataFrame, most: int = 100_000) -> tuple[dict[str, str], list[str]]:
-    """Spellings of flowers, and names of colors in the color field that no list has: both of checked size."""
+def reader_lists(products: DataFrame, reference: DataFrame, most: int = 100_000) -> tuple[dict[str, str], DataFrame]:
+    """Spellings of flowers, of checked size, and all names of colors (c) in the color field that no list has."""
     simplify = to_simplified_table(products.sparkSession)
     names = reference.where("field_name = '花名' and entry is not null").select("entry", F.explode(F.concat(F.array("entry"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("s")).where("s <> ''").distinct().limit(most + 1).collect()
     if len(names) > most:
@@ -174,31 +213,48 @@ def reader_lists(products: DataFrame, reference: DataFrame, most: int = 100_000)
         flowers.setdefault(r.s.translate(simplify).lower(), r.entry.translate(simplify).lower())
     known = "|".join(sorted((re.escape(w) for w in _KIND), key=lambda x: (-len(x), x)))
     color = F.lower(to_simplified(F.trim("color")))
-    other = products.select(color.alias("c")).where(F.col("c").isNotNull() & (F.length("c") > 1) & ~F.col("c").rlike(known)).distinct().limit(10_001).collect()
-    # More than so many names are no names: they count where they stand in their field, and are not looked for in titles.
-    return flowers, [r.c for r in other] if len(other) <= 10_000 else []
+    other = products.select(color.alias("c")).where(F.col("c").isNotNull() & (F.length("c") > 1) & ~F.col("c").rlike(known)).distinct()
+    return flowers, other
 
 
 def parsed(products: DataFrame, reference: DataFrame) -> DataFrame:
     """id, seller, external, flower, color, length, stems, tokens ARRAY<STRING> (the flower by its entry), row (a number of its own): of every listing."""
     spark = products.sparkSession
     flowers, colors = reader_lists(products, reference)
-    look, value = confusable.shared(spark), spark.sparkContext.broadcast((flowers, colors, to_simplified_table(spark)))
+    stage = Stage(spark, "colors")
+    colors = stage.write(colors, "names")
+    look, simplify = confusable.shared(spark), to_simplified_table(spark)
     schema = "id bigint, seller bigint, external string, flower string, color string, length int, stems int, tokens array<string>, row bigint"
+    src = products.select(F.col("id").cast("bigint").alias("id"), F.col("supplier_id").cast("bigint").alias("s"), F.col("external_id").cast("string").alias("e"), "name", "color", "unit", "size", "spec_text")
+    src = src.distinct().withColumn("more", F.lit(None).cast("array<string>"))  # a row that is there twice votes once
+    parts, own = -(-colors.count() // PART_COLORS), []
+    if parts <= 1:
+        own = sorted(r.c for r in colors.collect())
+    for i in range(parts if parts > 1 else 0):  # one part in memory at a time; each title keeps the names that it has
+        value = spark.sparkContext.broadcast((flowers, sorted(r.c for r in colors.where(F.pmod(F.xxhash64("c"), F.lit(parts)) == i).collect()), simplify))
+
+        def find(batches: Iterable[pa.RecordBatch], value=value) -> Iterator[pa.RecordBatch]:
+            reader = Reader(*value.value, confusable.installed(look))
+            for batch in batches:
+                more = [sorted({*(m or ()), *reader.named(n)}) for n, m in zip(batch.column(3).to_pylist(), batch.column(8).to_pylist())]
+                yield batch.set_column(8, "more", pa.array(more, pa.list_(pa.string())))
+
+        src = stage.write(src.mapInArrow(find, src.schema), f"part{i}")
+        value.unpersist()
+    value = spark.sparkContext.broadcast((flowers, own, simplify))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, row = Reader(*value.value, confusable.installed(look)), TaskContext.get().partitionId() << 33
         for batch in batches:
-            name, *others = (batch.column(i).to_pylist() for i in range(3, 8))
-            found = [reader.read(n, list(o)) for n, o in zip(name, zip(*others))]
+            name, *others, more = (batch.column(i).to_pylist() for i in range(3, 9))
+            found = [reader.read(n, list(o), Names(m) if m else None) for n, m, o in zip(name, more, zip(*others))]
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
             tokens = pa.array([[x[0] if t == FLOWER else t for t in x[4]] for x in found], pa.list_(pa.string()))
             rows = pa.array(np.arange(row, row + len(found)))
             row += len(found)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols, tokens, rows], names=["id", "seller", "external", "flower", "color", "length", "stems", "tokens", "row"])
 
-    src = products.select(F.col("id").cast("bigint").alias("id"), F.col("supplier_id").cast("bigint").alias("s"), F.col("external_id").cast("string").alias("e"), "name", "color", "unit", "size", "spec_text")
-    return src.distinct().mapInArrow(run, schema)  # a row that is there twice votes once
+    return src.mapInArrow(run, schema)
 
 
 def unspecific(listings: DataFrame, least: int = 5, share: float = 0.5, one_in: int = 20_000) -> list[str]:
