@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.sql import functions as F
 
 from versefold import plans
@@ -72,3 +73,35 @@ def test_predictions_of_all_labels_by_five_folds(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = plans.QUERIES["ml_05_scaled_pipeline"](spark, str(tmp_path)).collect()
     assert seen == [5] and len(got) == 100 and all(r.p == r.y == r.vec_id % 10 for r in got)
+
+
+def hinge(v, x, y, w):
+    return (w * np.maximum(1 - y * (x @ v[:-1] + v[-1]), 0)).sum() / w.sum()
+
+
+def test_support_vectors_of_all_folds_are_fitted_together(spark, monkeypatch):
+    """Losses no worse than those of Spark's own support vectors, and few jobs; classes in parts give the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) + 1.2 * np.eye(6)[i % 3] * (1 + i % 2)).tolist(), float(i % 3), 1.0 + i % 3, i // 3 % 2) for i in range(240)]
+    x = spark.createDataFrame(rows, "i int, embedding array<double>, y double, weight double, fold int").coalesce(1).persist()
+    got, few = M.svc_weights(x, 2, [0.0, 1.0, 2.0]), M.svc_weights(x, 2, [0.0, 1.0, 2.0], 2)
+    monkeypatch.setattr(M, "MODELS", 4)
+    assert got.shape == (2, 3, 7) and np.allclose(M.svc_weights(x, 2, [0.0, 1.0, 2.0], 2), few, atol=1e-9)
+    m, y, w, fold = (np.array([r[j] for r in rows]) for j in (1, 2, 3, 4))
+    for f, c in ((0, 0), (1, 2)):
+        df = M.vectors(x.where(f"fold <> {f}"), "embedding").withColumn("t", (F.col("y") == c).cast("double"))
+        own = LinearSVC(maxIter=20, labelCol="t", weightCol="weight").fit(df)
+        use, sign = fold != f, np.where(y == c, 1, -1)
+        a, b = (hinge(v, m[use], sign[use], w[use]) for v in (got[f, c], np.append(own.coefficients.toArray(), own.intercept)))
+        assert a <= 1.02 * b + 0.002
+
+
+def test_support_vectors_take_few_jobs(spark, tmp_path):
+    rows = [(i, [float(i % 10 == j) for j in range(10)], i % 10) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.sparkContext.setJobGroup("svc", "svc")
+    got = plans.QUERIES["ml_04_linear_svc"](spark, str(tmp_path)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("svc"))
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(got) == 100 and all(r.p == r.y == r.vec_id % 10 for r in got)
+    assert 0 < jobs < 150  # two for a round, not some for each round of each of 50 models

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler
@@ -18,6 +20,11 @@ from pyspark.sql import functions as F
 from ..session import Stage, shared_dir
 from .relational import numbered
 
+#: Models whose losses one pass over the rows sums up.
+MODELS = 1024
+#: Steps that a line search tries, all in one pass.
+STEPS = 2.0 ** np.arange(3, -13, -1)
+
 
 def vectors(df: DataFrame, column: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
@@ -101,10 +108,136 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float, rare: int
     return x.select(key, label, F.when((F.col("__total") > rare) & (F.col("__place") / F.col("__total") < test), "test").otherwise("train").alias("split"))
 
 
-def svc(scaled: bool = True, rounds: int = 20) -> Pipeline:
-    """One-vs-rest linear support vectors on `features`, weighted by `weight`."""
-    one = OneVsRest(classifier=LinearSVC(maxIter=rounds, featuresCol="x"), labelCol="y", featuresCol="x", weightCol="weight", predictionCol="p", parallelism=4)
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="x", withMean=False, withStd=scaled), one])
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of an array of this shape over all batches; partitions are added up before they come to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch], of: Callable = part) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            if len(b):
+                total += of(b)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+
+    sums = df.mapInArrow(run, "sum binary")
+    if (n := df.rdd.getNumPartitions()) > 32:
+        sums = sums.repartition(math.isqrt(n)).mapInArrow(lambda batches: run(batches, lambda b: sum(np.frombuffer(x.as_py()).reshape(shape) for x in b.column(0))), "sum binary")
+    return sum((np.frombuffer(r["sum"]).reshape(shape) for r in sums.collect()), np.zeros(shape))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of arrays, and a last column of ones."""
+    x = np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.hstack((x, np.ones((len(x), 1))))
+
+
+class Directions:
+    """Limited-memory BFGS of many independent models at once, a row each."""
+
+    def __init__(self, memory: int = 10):
+        self.memory, self.past = memory, []
+
+    def seen(self, s: np.ndarray, y: np.ndarray) -> None:
+        sy = (s * y).sum(1)
+        self.past = [*self.past[1 - self.memory :], (s, y, np.where(sy > 1e-12, 1 / np.where(sy > 1e-12, sy, 1), 0), (y * y).sum(1))]
+
+    def of(self, g: np.ndarray) -> np.ndarray:
+        q, done = g.copy(), []
+        for s, y, r, _ in reversed(self.past):
+            done.append(a := r * (s * q).sum(1))
+            q -= a[:, None] * y
+        scale = np.full(len(g), np.nan)
+        for _, _, r, yy in self.past:  # the last valid pair of each model
+            scale = np.where(r > 0, 1 / (np.where(r > 0, r, 1) * np.maximum(yy, 1e-300)), scale)
+        first = 0.5 / np.maximum(np.sqrt((g * g).sum(1)), 1e-300)
+        q *= np.where(np.isnan(scale), first, scale)[:, None]
+        for (s, y, r, _), a in zip(self.past, reversed(done)):
+            q += (a - r * (y * q).sum(1))[:, None] * s
+        return -q
+
+
+def svc_weights(x: DataFrame, k: int, classes: Sequence[float], rounds: int = 20) -> np.ndarray:
+    """(k, classes, dimensions + 1): one-vs-rest linear support vectors, on scaled features and weighted by `weight`, for the rows outside each of k folds.
+
+    x: embedding ARRAY<DOUBLE>, weight, y, fold. All folds and classes (MODELS of them at a time) are fitted together: two
+    passes over the rows for a round, one for the losses of all steps and one for the slopes.
+    """
+    x = x.select("embedding", "weight", "y", "fold")
+    head = x.select(F.size("embedding").alias("n")).first()
+    if head is None:
+        return np.zeros((k, 0, 1))
+    d = head.n + 1
+
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        m, w, f = _matrix(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(3))
+        return np.stack([np.stack((m[f == i].sum(0), (m[f == i] ** 2).sum(0), np.full(d, w[f == i].sum()))) for i in range(k)])
+
+    of = summed(x, moments, (k, 3, d))
+    total, square, weight = np.moveaxis(of.sum(0) - of, 1, 0)  # of the rows outside each fold
+    n = total[:, -1:]
+    deviation = np.sqrt(np.maximum(square - total**2 / np.maximum(n, 1), 0) / np.maximum(n - 1, 1))
+    scale = np.where(deviation > 1e-9 * np.sqrt(square / np.maximum(n, 1)), 1 / np.where(deviation > 0, deviation, 1), 0.0)
+    scale[:, -1] = 1
+    share = 1 / np.maximum(weight[:, 0], 1e-300)
+
+    def fit(some: np.ndarray) -> np.ndarray:
+        size, by_row = k * len(some), np.repeat(scale, len(some), 0)
+
+        def rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Rows, the sign of each model for them, and their weight in it: 0 in the models of their own fold."""
+            m, w, y, f = _matrix(b.column(0)), *(np.asarray(b.column(i)) for i in (1, 2, 3))
+            for lo in range(0, len(m), 1024):
+                at = slice(lo, lo + 1024)
+                sign = np.tile(np.where(y[at, None] == some, 1.0, -1.0), (1, k))
+                yield m[at], sign, np.repeat(w[at, None] * (f[at, None] != np.arange(k)) * share, len(some), 1)
+
+        def slopes(v: np.ndarray) -> np.ndarray:
+            """Of each model the loss, then its slope."""
+            use = (v * by_row).T
+
+            def part(b: pa.RecordBatch) -> np.ndarray:
+                out = np.zeros((size, d + 1))
+                for m, sign, w in rows(b):
+                    loss = 1 - sign * (m @ use)
+                    out[:, 0] += (w * np.maximum(loss, 0)).sum(0)
+                    out[:, 1:] -= (w * sign * (loss > 0)).T @ m
+                return out
+
+            out = summed(x, part, (size, d + 1))
+            out[:, 1:] *= by_row
+            return out
+
+        def losses(v: np.ndarray, step: np.ndarray) -> np.ndarray:
+            use, go = (v * by_row).T, (step * by_row).T
+
+            def part(b: pa.RecordBatch) -> np.ndarray:
+                out = np.zeros((len(STEPS), size))
+                for m, sign, w in rows(b):
+                    here, there = 1 - sign * (m @ use), sign * (m @ go)
+                    for i, a in enumerate(STEPS):
+                        out[i] += (w * np.maximum(here - a * there, 0)).sum(0)
+                return out
+
+            return summed(x, part, (len(STEPS), size))
+
+        v, way = np.zeros((size, d)), Directions()
+        now = slopes(v)
+        for _ in range(rounds):
+            step = way.of(now[:, 1:])
+            slope = (step * now[:, 1:]).sum(1)
+            tried = losses(v, step)
+            tried = np.where(tried <= now[:, 0] + 1e-4 * STEPS[:, None] * slope, tried, np.inf)
+            best = tried.argmin(0)
+            found = np.isfinite(tried.min(0)) & (slope < 0)
+            if not found.any():
+                break
+            moved = np.where(found, STEPS[best], 0.0)[:, None] * step
+            after = slopes(v + moved)
+            way.seen(moved, after[:, 1:] - now[:, 1:])
+            v, now = v + moved, after
+        return (v * by_row).reshape(k, len(some), d)
+
+    each = max(1, MODELS // k)
+    return np.concatenate([fit(np.array(classes[i : i + each])) for i in range(0, len(classes), each)], 1)
 
 
 def logistic(rounds: int = 30) -> Pipeline:
@@ -112,21 +245,50 @@ def logistic(rounds: int = 30) -> Pipeline:
     return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="x", withMean=False), LogisticRegression(maxIter=rounds, featuresCol="x", labelCol="y", weightCol="weight", predictionCol="p")])
 
 
-def out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, make=svc, seed: int = 42) -> DataFrame:
+def _folded(df: DataFrame, key: str, column: str, label: str, k: int, seed: int) -> DataFrame:
+    """key, the column, weight, y and fold of the rows with a label, in memory before the jobs that share them."""
+    x = df.select(key, column, label).join(F.broadcast(class_weights(df, label)), label)
+    x = folds(x.withColumn("y", F.col(label).cast("double")), key, label, k, seed).select(key, F.transform(column, lambda v: v.cast("double")).alias("embedding"), "weight", "y", "fold").persist()
+    x.count()
+    return x
+
+
+def out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, make: Callable[[], Pipeline] = logistic, seed: int = 42) -> DataFrame:
     """key, y, p: predictions of each row by the model that did not see its fold."""
-    x = vectors(df.select(key, column, label), column).join(F.broadcast(class_weights(df, label)), label)
-    x = folds(x.withColumn("y", F.col(label).cast("double")), key, label, k, seed).select(key, "features", "weight", "y", "fold").persist()
-    x.count()  # in memory before the jobs that share it
+    own = _folded(df, key, column, label, k, seed)
+    x = vectors(own, "embedding")
     models = together(lambda i: make().fit(x.where(F.col("fold") != i)), range(k))
     out = None
     for i, m in enumerate(models):
         part = m.transform(x.where(F.col("fold") == i)).select(key, "y", "p")
         out = part if out is None else out.unionByName(part)
     written = Stage(df.sparkSession, "folds").write(out, "predictions")
-    x.unpersist()
+    own.unpersist()
     return written
 
 
+def svc_out_of_fold(df: DataFrame, key: str, column: str, label: str, k: int, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """The same by one-vs-rest linear support vectors; see svc_weights."""
+    x = _folded(df, key, column, label, k, seed)
+    classes = np.array(sorted(r.y for r in x.select("y").distinct().collect()))
+    value = df.sparkSession.sparkContext.broadcast((svc_weights(x, k, classes, rounds), classes))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, names = value.value
+        for b in batches:
+            m, f, p = _matrix(b.column(1)) if len(b) else np.zeros((0, weights.shape[2])), np.asarray(b.column(3)), np.zeros(len(b))
+            for i in range(k):
+                at = np.flatnonzero(f == i)
+                if len(at):
+                    p[at] = names[(m[at] @ weights[i].T).argmax(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p)], names=[key, "y", "p"])
+
+    src = x.select(key, "embedding", "y", "fold")
+    out = Stage(df.sparkSession, "folds").write(src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, y double, p double"), "predictions")
+    x.unpersist()
+    return out
+
+
 def pca(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
     """key, pc0, pc1, ..."""
     x = vectors(df.select(key, column), column)

@@ -42,7 +42,7 @@ def _two(s, d):
 
 @query()
 def ml_04_linear_svc(s, d):
-    return M.out_of_fold(_labelled(s, d), "vec_id", "embedding", "label", 5)
+    return M.svc_out_of_fold(_labelled(s, d), "vec_id", "embedding", "label", 5)
 
 
 @query()
