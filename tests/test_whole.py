@@ -1,5 +1,7 @@
 """Queries and operators do the whole job, not a part of it."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LinearSVC
@@ -105,3 +107,40 @@ def test_support_vectors_take_few_jobs(spark, tmp_path):
     spark.sparkContext._jsc.sc().clearJobGroup()
     assert len(got) == 100 and all(r.p == r.y == r.vec_id % 10 for r in got)
     assert 0 < jobs < 150  # two for a round, not some for each round of each of 50 models
+
+
+def test_topics_equal_plain_expectation_maximization(spark, monkeypatch):
+    """All models side by side and in blocks give what each gives alone, computed plainly; a text of no word of the vocabulary has even shares."""
+    monkeypatch.setattr(M, "DOCUMENTS", 7)
+    rng = np.random.default_rng(3)
+    texts = [list(rng.choice(list("abcde" if i % 2 else "defgh"), 12)) for i in range(30)] + [["z"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t array<string>")
+    spark.sparkContext.setJobGroup("lda", "lda")
+    docs, top = M.lda(df, "k", F.col("t"), [2, 3, 4], rounds=6, final=9)
+    got = {r.k: r for r in docs.collect()}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("lda")) < 50  # two for a round, not some for each round of each model
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    k = len([c for c in docs.columns if c.startswith("topic_")])
+    at = np.repeat(np.arange(30), 12)
+    start = np.random.default_rng(42).uniform(0.5, 1.5, (8, 9))
+    count = Counter(w for t in texts[:30] for w in t)
+    vocabulary = sorted(count, key=lambda w: (-count[w], w))
+    words = np.array([vocabulary.index(w) for t in texts[:30] for w in t])
+
+    def plain(k, lo, rounds):
+        n_w, n_d = start[:, lo : lo + k], np.zeros((30, k))
+        for _ in range(rounds):
+            share = (n_w + 0.1) / (n_w + 0.1).sum(0)
+            p = share[words] * (n_d[at] + 50 / k)
+            perplexity = np.exp(-np.log(p.sum(1) / ((n_d.sum(1)[at] + 50))).mean())
+            p /= p.sum(1, keepdims=True)
+            n_w, n_d = np.zeros((8, k)), np.zeros((30, k))
+            np.add.at(n_w, words, p)
+            np.add.at(n_d, at, p)
+        return (n_d + 50 / k) / (12 + 50), perplexity
+
+    tried = [plain(k, lo, 6)[1] for k, lo in ((2, 0), (3, 2), (4, 5))]
+    assert k == [2, 3, 4][M.elbow(tried)]
+    want, _ = plain(k, {2: 0, 3: 2, 4: 5}[k], 9)
+    assert np.allclose([[got[i][f"topic_{j}"] for j in range(k)] for i in range(30)], want, atol=1e-3)
+    assert got[30].dominant_topic_score == pytest.approx(1 / k) and top.count() == k

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import Stage, shared_dir
+from ..session import Stage, spread
 from .relational import numbered
 
+#: Texts of a block of topic counts.
+DOCUMENTS = 512
 #: Models whose losses one pass over the rows sums up.
 MODELS = 1024
 #: Steps that a line search tries, all in one pass.
@@ -42,28 +47,157 @@ def elbow(values: Sequence[float]) -> int:
     return falls.index(max(falls)) + 1 if falls else 0
 
 
+def _blocks(x: DataFrame, key: str, width: int) -> DataFrame:
+    """keys, data, state, sums: DOCUMENTS texts a row, from key, terms ARRAY<INT>, counts ARRAY<DOUBLE>; a state of zeros."""
+    kind = x.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), DOCUMENTS):
+                b = whole.slice(lo, DOCUMENTS)
+                size, terms, counts = np.asarray(pc.list_value_length(b.column(1))), np.asarray(b.column(1).flatten()), np.asarray(b.column(2).flatten())
+                data = np.concatenate(([len(size)], size, terms)).astype(np.int32).tobytes() + counts.astype(np.float32).tobytes()
+                keys = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([data], pa.binary()), pa.array([np.zeros((len(b), width), np.float32).tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["keys", "data", "state", "sums"])
+
+    return x.select(key, "terms", "counts").mapInArrow(run, f"keys array<{kind}>, data binary, state binary, sums binary")
+
+
+def _counted(t: DataFrame, key: str, terms: dict[str, int]) -> DataFrame:
+    """key, terms ARRAY<INT>, counts ARRAY<DOUBLE>: how often each word of the vocabulary stands in a text, from key and t."""
+    value = t.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Counter(value.value[x] for x in row if x in value.value) for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(map(float, c.values())) for c in found], pa.list_(pa.float64()))], names=[key, "terms", "counts"])
+
+    return spread(t).mapInArrow(run, f"`{key}` {t.schema[key].dataType.simpleString()}, terms array<int>, counts array<double>")
+
+
+def _narrowed(blocks: DataFrame, kept: np.ndarray) -> DataFrame:
+    """Blocks with these columns of their states."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            states = [np.frombuffer(x.as_py(), np.float32).reshape(-1, len(kept))[:, kept].tobytes() for x in b.column(2)]
+            yield b.set_column(2, "state", pa.array(states, pa.binary()))
+
+    return blocks.where("data is not null").mapInArrow(run, blocks.schema)
+
+
+class Topics:
+    """Expectation maximization of models of several numbers of topics side by side: a column for each topic of each model.
+
+    The priors are Spark's (50 / k + 1 and 1.1). words: (terms, columns), the expected counts of the round before.
+    """
+
+    def __init__(self, topics: Sequence[int], words: np.ndarray):
+        self.topics, self.words = list(topics), words
+        self.of = np.repeat(np.arange(len(self.topics)), self.topics)
+        self.alpha = np.repeat([50 / k for k in self.topics], self.topics).astype(np.float32)
+        self.one = (self.of[:, None] == np.arange(len(self.topics))).astype(np.float32)
+        smooth = words + 0.1
+        self.share = (smooth / smooth.sum(0)).astype(np.float32)
+
+    def step(self, data: bytes, state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block's new state, its terms' expected counts, and each model's log-likelihood before the round."""
+        head = np.frombuffer(data, np.int32)
+        docs = int(head[0])
+        size = head[1 : 1 + docs]
+        total = int(size.sum())
+        terms, counts = head[1 + docs : 1 + docs + total], np.frombuffer(data, np.float32)[1 + docs + total :]
+        old = np.frombuffer(state, np.float32).reshape(docs, -1)
+        new, words = np.zeros((docs, len(self.of)), np.float32), np.zeros(self.words.shape)
+        if not total:
+            return new, words, np.zeros(len(self.topics))
+        p = self.share[terms]
+        p *= np.repeat(old + self.alpha, size, 0)
+        each = p @ self.one
+        some = np.flatnonzero(size)
+        start = (np.cumsum(size) - size)[some]
+        length = np.add.reduceat(counts, start)[:, None]
+        scale = np.log(np.where(old.any(1)[some, None], length, 0) + np.array([50.0] * len(self.topics)))
+        likely = counts.astype(float) @ np.log(each) - (length * scale).sum(0)
+        p *= (counts[:, None] / each) @ self.one.T
+        new[some] = np.add.reduceat(p, start, 0)
+        order = np.argsort(terms, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(terms[order]) != 0))
+        words[terms[order][first]] = np.add.reduceat(p[order], first, 0)
+        return new, words, likely
+
+    def round(self, blocks: DataFrame, stage: Stage, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """The blocks after a round, written; the terms' counts; the log-likelihoods."""
+        me, shape = self, (len(self.words) + 1, len(self.of))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(shape)
+            for b in batches:
+                for i in range(len(b)):
+                    row = b.slice(i, 1)
+                    new, words, likely = me.step(row.column(1)[0].as_py(), row.column(2)[0].as_py())
+                    sums[:-1] += words
+                    sums[-1, : len(likely)] += likely
+                    yield pa.RecordBatch.from_arrays([row.column(0).cast(keys), row.column(1), pa.array([new.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["keys", "data", "state", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, keys), *(pa.nulls(1, pa.binary()),) * 2, pa.array([sums.tobytes()], pa.binary())], names=["keys", "data", "state", "sums"])
+
+        keys = to_arrow_type(blocks.schema["keys"].dataType)
+        out = stage.write(blocks.where("data is not null").mapInArrow(run, blocks.schema), name)
+        sums = summed(out.where("sums is not null").select("sums"), lambda b: sum(np.frombuffer(x.as_py()).reshape(shape) for x in b.column(0)), shape)
+        return out, sums[:-1], sums[-1, : len(self.topics)]
+
+    def only(self, i: int) -> np.ndarray:
+        return self.of == i
+
+
 def lda(df: DataFrame, key: str, toks: Column, topics: Sequence[int], vocabulary: int = 2000, rounds: int = 30, final: int = 50, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(key, topic_i.., dominant_topic, dominant_topic_score) and (topic_id, top_words) of an LDA by expectation maximization, which uses all documents in every round.
 
-    topics: the numbers of topics to try with `rounds` rounds each; the one after the largest fall of perplexity is fitted with `final` rounds.
+    topics: the numbers of topics to try with `rounds` rounds each, all side by side in one pass over the texts for a
+    round; the one after the largest fall of perplexity goes on to `final` rounds. A round's state is a written table.
     """
     t = df.select(key, toks.alias("t")).where(F.size("t") > 0)
-    cv = CountVectorizer(inputCol="t", outputCol="features", vocabSize=vocabulary, minDF=2).fit(t)
-    x = cv.transform(t).select(key, "features").persist()
-    shared_dir(df.sparkSession)  # the rounds cut their lineage there
-    of = lambda k, n: LDA(k=k, maxIter=n, seed=seed, optimizer="em").fit(x)
-    try:
-        x.count()  # in memory before the jobs that share it
-        k = topics[elbow(together(lambda k: math.exp(of(k, rounds).logPerplexity(x)), topics))] if len(topics) > 1 else topics[0]
-        m = of(k, final)
-    finally:
-        x.unpersist()
-    d = m.transform(x).select(key, vector_to_array("topicDistribution").alias("p"))
+    each = t.select(F.explode("t").alias("w"), F.lit(0).alias("first")).unionByName(t.select(F.explode(F.array_distinct("t")).alias("w"), F.lit(1).alias("first")))
+    often = each.groupBy("w").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("docs")).where("docs >= 2")
+    names = [r.w for r in often.orderBy(F.desc("n"), "w").limit(vocabulary).collect()]  # equal counts: by the word
+    stage, topics = Stage(df.sparkSession, "topics"), list(topics)
+    terms = {w: i for i, w in enumerate(names)}
+    blocks = stage.write(_blocks(_counted(t, key, terms), key, sum(topics)), "round0")
+    rng = np.random.default_rng(seed)
+    model = Topics(topics, rng.uniform(0.5, 1.5, (len(terms), sum(topics))))
+    n = 0
+
+    def go(model: Topics, blocks: DataFrame, n: int, to: int) -> tuple[Topics, DataFrame, np.ndarray]:
+        likely = np.zeros(len(model.topics))
+        for i in range(n + 1, to + 1):
+            blocks, words, likely = model.round(blocks, stage, f"round{i}")
+            stage.drop(f"round{i - 1}")
+            model = Topics(model.topics, words)
+        return model, blocks, likely
+
+    if len(topics) > 1:
+        model, blocks, likely = go(model, blocks, 0, rounds)
+        n = rounds
+        tokens = max(model.words.sum() / len(topics), 1)
+        best = elbow(np.exp(-likely / tokens).tolist())
+        kept = model.only(best)
+        blocks = stage.write(_narrowed(blocks, kept), f"round{n}best")
+        model = Topics([topics[best]], model.words[:, kept])
+    k = model.topics[0]
+    model, blocks, _ = go(model, blocks, n, max(final, n))
+    kind = df.schema[key].dataType.simpleString()
+
+    def shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, state in zip(b.column(0), b.column(1)):
+                p = np.frombuffer(state.as_py(), np.float32).reshape(-1, k).astype(float) + 50 / k
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array((p / p.sum(1, keepdims=True)).tolist(), pa.list_(pa.float64()))], names=[key, "p"])
+
+    d = blocks.where("data is not null").select("keys", "state").mapInArrow(shares, f"`{key}` {kind}, p array<double>")
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     docs = d.select(key, *[F.col("p")[i].alias(f"topic_{i}") for i in range(k)], best.alias("dominant_topic"), F.array_max("p").alias("dominant_topic_score"))
-    words = F.array(*[F.lit(w) for w in cv.vocabulary])  # at most `vocabulary` words
-    top = m.describeTopics(15).select(F.col("topic").alias("topic_id"), F.transform("termIndices", lambda i: F.get(words, i)).alias("top_words"))
-    return docs, top
+    words = [(i, [names[j] for j in np.argsort(-model.share[:, i], kind="stable")[:15]]) for i in range(k)]
+    return docs, df.sparkSession.createDataFrame(words, "topic_id int, top_words array<string>")
 
 
 def kmeans_search(df: DataFrame, key: str, column: str, low: int, high: int, seed: int = 42, starts: int = 10) -> tuple[DataFrame, int, float]:
