@@ -7,6 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from versefold.llm import copies, keys, minmax, related
+from versefold.session import CLEANUP, Stage
 
 NOT = regex.compile(r"[^\p{L}\p{N}\p{Han}]+")
 
@@ -164,6 +165,65 @@ def test_hot_bands_are_cut_into_blocks_without_loss(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6)
 
 
+def test_unrelated_texts_of_one_vocabulary_are_no_candidates(spark):
+    """They share bands, the more the more there are; only near ones may be compared exactly."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 6))) for _ in range(120)]
+    texts = ["".join(rng.choices(words, k=40)) for _ in range(3000)]
+    near = [t[:60] + "xyzxyz" + t[60:] for t in texts[:100]]
+    df = spark.createDataFrame([(t,) for t in texts + near], "text string").select(F.xxhash64("text").alias("c"), "text")
+    pairs = minmax.near_classes(df).count()
+    stage = [x for x in Stage.made if "/minmax-" in x.root][-1]
+    assert pairs == 100
+    assert spark.read.parquet(f"{stage.root}/candidates").count() <= pairs + 100
+
+
+def test_buckets_of_any_size_give_all_pairs_that_agree():
+    rng = np.random.default_rng(6)
+    size = np.array([2, 47, 130, 5, 48, 200])
+    n = int(size.sum())
+    s = np.repeat(rng.integers(0, 2**63, (n // 4, 4)).astype(np.uint64), 4, 0)
+    s ^= np.where(rng.random(s.shape) < 0.5, np.uint64(1) << rng.integers(0, 64, s.shape).astype(np.uint64), np.uint64(0))
+    rng.shuffle(s)
+    s[:2] = s[0]
+    start = np.cumsum(size) - size
+    side = np.zeros(n, np.int8)
+    side[start[2] :] = rng.integers(1, 3, n - start[2])
+    side[start[5] : start[5] + 9] = 0  # a bucket that is one of both kinds
+    c = np.concatenate([np.sort(rng.choice(10_000, k, False)) for k in size])
+    got = sorted((int(a), int(b)) for x, y in minmax._near(start, size, c, s, side, 86, 125) for a, b in zip(x, y))
+    want = []
+    for lo, k in zip(start, size):
+        for i, j in combinations(range(lo, lo + k), 2):
+            x, y = ((int(s[i, w]) ^ int(s[j, w])) | (int(s[i, w + 2]) ^ int(s[j, w + 2])) for w in (0, 1))
+            if x.bit_count() + y.bit_count() <= 3 and (side[i] == 0 or side[i] != side[j]):
+                want.append((int(c[i]), int(c[j])))
+    assert got == sorted(want) and len(got) > 30
+
+
+def test_packed_rows_come_back_by_part():
+    part, x, y = np.array([3, 1, 3, 0, 1]), np.arange(5), np.arange(10, dtype=np.uint64).reshape(5, 2)
+    batch = minmax.packed(part, [x, y])
+    assert batch.column(0).to_pylist() == [0, 1, 3]
+    assert [minmax.unpacked(batch.column(1).slice(i, 1), np.int64).tolist() for i in range(3)] == [[3], [1, 4], [0, 2]]
+    assert minmax.unpacked(batch.column(2).slice(1, 2), np.uint64).reshape(-1, 2).tolist() == [[2, 3], [8, 9], [0, 1], [4, 5]]
+
+
+def test_both_sketch_bits_recall_at_the_threshold():
+    pairs = pairs_near(random.Random(12), "latin", 0.60, 0.62, 1500)
+    va, vb = (minmax.signature([p[i] for p in pairs])[1] for i in (0, 1))
+    off = (minmax.sketches(va) ^ minmax.sketches(vb)) | (minmax.sketches(va, 1) ^ minmax.sketches(vb, 1))
+    assert (128 - np.bitwise_count(off).sum(1) >= minmax.least_agreement(0.6, 64, 2)).mean() >= 0.998
+
+
+def test_released_shuffles_leave_the_setting_as_it_was(spark):
+    before = spark.conf.get(CLEANUP, None)
+    stage = Stage(spark, "released")
+    assert stage.write(spark.range(10).repartition("id"), "x", release=True).count() == 10
+    assert spark.conf.get(CLEANUP, None) == before
+    stage.drop()
+
+
 def test_grouped_names_components_and_representatives(spark):
     base = [chr(0x4E00 + 3 * i) for i in range(60)]
     edit = lambda k: "".join(base[: 60 - k]) + "".join(chr(0x7000 + 100 * k + i) for i in range(k))

@@ -7,16 +7,19 @@ values. The 2 * 64 values are used twice:
 
 * banding: bands of `rows` = 3 consecutive values, `bands` = 28 of them. Two records of similarity s share a band with
   1 - (1 - s^3)^28: all but 0.11 % at s = 0.6, all but 0.05 % at 0.62, less than 1e-5 at 0.75.
-* a sketch of one bit of each of the 128 values. Pairs that share a band are compared by the number of equal bits, whose
-  mean is 128 (1 + s) / 2; only from 3.5 deviations below the threshold's mean on (86 of 128 for 0.6, so that 0.02 % are
-  lost) does a pair become a candidate. Unrelated texts of one alphabet, which share common shingles, fall out in numpy.
+* a sketch of two bits of each of the 128 values. Pairs that share a band are compared by the number of values of equal
+  first bits, whose mean is 128 (1 + s) / 2, and those that stay by the number of values of two equal bits, whose mean is
+  128 (1 + 3 s) / 4; only from 3.5 deviations below the threshold's means on (86 and 71 of 128 for 0.6, so that 0.02 % are
+  lost by each) does a pair become a candidate. Unrelated texts of one alphabet, which share common shingles, fall out in
+  numpy: one bit alone leaves 1.5 % of them, two bits leave 4 in 100,000, and these grow with the square of the rows.
 
 Every candidate is then compared exactly, by whole sets of shingles.
 
 Records of equal text are one class, named by the text's 64-bit hash: repeats within a batch are dropped before anything
-is shuffled, so a group of copies that holds a third of all rows leaves a row a batch. Bands are matched by one shuffle
-of (bucket, class, sketch), sorted within partitions and read as a stream: nothing is collected for a bucket but the
-bucket itself. Bands that are hot are known beforehand from the classes whose hash falls into 1/64 (this only lays out
+is shuffled, so a group of copies that holds a third of all rows leaves a row a batch. Signatures are written once. Bands
+are matched in ROUNDS, each by one shuffle of (bucket, class, sketch), so that the disk holds the shuffle of one round.
+Buckets are shuffled in parts of some PART rows, packed as columns of bytes, so that the JVM handles a row a part and
+batch; a part is sorted in numpy, and nothing is in memory but the part. Bands that are hot are known beforehand from the classes whose hash falls into 1/64 (this only lays out
 the work, it decides about no pair): their members are cut into blocks, and each pair of blocks is a bucket of its own, so
 that a band of any size is spread over the cluster in buckets of some BLOCK rows. No bucket is capped.
 
@@ -27,6 +30,7 @@ and pairs only with equal texts if it is not empty. Ties do not occur: the resul
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,12 @@ BLOCK, SAMPLE = 2048, 64
 MOST_HOT = 200_000
 #: Pairs of one numpy step.
 STEP = 1 << 20
+#: Buckets from so many members on are compared as matrices, ROWS members with all behind them at a time.
+WIDE, ROWS = 48, 64
+#: Shuffles over which the bands are spread.
+ROUNDS = 7
+#: Rows of buckets that are in memory at once, some 49 bytes each: of a part of a shuffle, and before they are packed.
+PART, PACK = 1 << 18, 1 << 19
 
 
 def weighted_shingles(texts: list[str], need: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,18 +145,18 @@ def band_hashes(values: np.ndarray, bands: int, rows: int = 3) -> np.ndarray:
     return out
 
 
-def sketches(values: np.ndarray) -> np.ndarray:
-    """(texts, 2) of uint64: one bit of each of 128 signature values; fewer leave zeros."""
+def sketches(values: np.ndarray, bit: int = 0) -> np.ndarray:
+    """(texts, 2) of uint64: one bit (the first, 0, or the second, 1) of each of 128 signature values; fewer leave zeros."""
     bits = np.zeros((values.shape[1], 128), np.uint8)
     mixed = values * np.uint32(0x9E3779B1)
-    bits[:, : len(values)] = (mixed >> np.uint32(31)).T[:, :128]
+    bits[:, : len(values)] = (mixed >> np.uint32(31 - bit) & np.uint32(1)).T[:, :128]
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def least_agreement(threshold: float, permutations: int) -> int:
-    """Equal bits of a sketch that a candidate must have: 3.5 deviations below the mean of pairs right at the threshold."""
-    bits, p = min(128, 2 * permutations), (1 + threshold) / 2
-    return 128 - bits + int(bits * p - 3.5 * (bits * p * (1 - p)) ** 0.5)
+def least_agreement(threshold: float, permutations: int, bits: int = 1) -> int:
+    """Values of equal bits that a candidate's sketches must have: 3.5 deviations below the mean of pairs right at the threshold."""
+    values, p = min(128, 2 * permutations), threshold + (1 - threshold) / 2**bits
+    return 128 - values + int(values * p - 3.5 * (values * p * (1 - p)) ** 0.5)
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
@@ -169,82 +179,184 @@ def hot_bands(texts: DataFrame, n: int, permutations: int, bands: int, rows: int
     return np.array([b for b, _ in found], np.int64), np.array([k for _, k in found], np.int64)
 
 
-def buckets(texts: DataFrame, n: int, permutations: int, bands: int, rows: int) -> DataFrame:
-    """bucket, c, s1, s2 BIGINT, side TINYINT: of each different text with a shingle, from columns c and text.
+def signatures(texts: DataFrame, n: int, permutations: int, bands: int, rows: int) -> DataFrame:
+    """c, s1 to s4 (the sketch), b0, b1, .. (the bands), all BIGINT: of each different text of a batch that has a shingle."""
+    names = ["c", "s1", "s2", "s3", "s4", *(f"b{i}" for i in range(bands))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t = _distinct(batch)
+            some, values = signature(t, n, permutations)
+            if len(some):
+                s = np.hstack((sketches(values), sketches(values, 1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[some], *s.T, *band_hashes(values, bands, rows))], names=names)
+
+    return texts.select("c", "text").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """part INT, v0, v1, .. BINARY: the values of each part's rows, one behind the other, a row for each part."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends = np.append(edge, len(part))
+    out = [pa.array(part[edge].astype(np.int32))]
+    for x in columns:
+        x = np.ascontiguousarray(x[order])
+        out.append(pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((ends * (x.nbytes // len(x))).astype(np.int32)), pa.py_buffer(x)]))
+    return pa.RecordBatch.from_arrays(out, names=["part", *(f"v{i}" for i in range(len(columns)))])
+
+
+def unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """All values of a binary column's rows, one row behind the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def buckets(signed: DataFrame, names: list[str], hot: np.ndarray, blocks: np.ndarray, parts: int) -> DataFrame:
+    """part INT and packed rows of bucket, c, s1 to s4 BIGINT, side TINYINT: of each signature, for the bands of these names.
 
     Members of sides 1 and 2 are paired with each other, members of side 0 among themselves. A hot band's member of block
-    i is in the buckets (i, j) of all other blocks j, on the side of its block, and in (i, i).
+    i is in the buckets (i, j) of all other blocks j, on the side of its block, and in (i, i). All of a bucket is in one part.
     """
-    hot, blocks = hot_bands(texts, n, permutations, bands, rows)
+
+    def members(batch: pa.RecordBatch) -> list[np.ndarray]:
+        c, *rest = (np.asarray(x) for x in batch.columns)
+        s, band = np.stack(rest[:4], 1), np.stack(rest[4:], 1).ravel()
+        who = np.repeat(np.arange(len(c)), len(names))
+        side = np.zeros(len(band), np.int8)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, band), len(hot) - 1)
+            is_hot = hot[at] == band
+            h, w, k = band[is_hot], who[is_hot], blocks[at[is_hot]]
+            own = np.repeat(((c[w].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)).astype(np.int64) % k, k)
+            other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            low, high = np.minimum(own, other).view(np.uint64), np.maximum(own, other).view(np.uint64)
+            cut = ((np.repeat(h, k).view(np.uint64) ^ (low << np.uint64(32) | high) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+            band, who = np.concatenate((band[~is_hot], cut)), np.concatenate((who[~is_hot], np.repeat(w, k)))
+            side = np.concatenate((side[~is_hot], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)))
+        return [band, c[who], s[who], side]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(x) for x in zip(*found)]
+            return packed((cols[0].view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts, cols)
+
         for batch in batches:
-            c, t = _distinct(batch)
-            some, values = signature(t, n, permutations)
-            if not len(some):
-                continue
-            band, who = band_hashes(values, bands, rows).T.ravel(), np.repeat(np.arange(len(some)), bands)
-            side = np.zeros(len(band), np.int8)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, band), len(hot) - 1)
-                is_hot = hot[at] == band
-                h, w, k = band[is_hot], who[is_hot], blocks[at[is_hot]]
-                own = np.repeat(((c[some][w].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)).astype(np.int64) % k, k)
-                other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                low, high = np.minimum(own, other).view(np.uint64), np.maximum(own, other).view(np.uint64)
-                cut = ((np.repeat(h, k).view(np.uint64) ^ (low << np.uint64(32) | high) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                band, who = np.concatenate((band[~is_hot], cut)), np.concatenate((who[~is_hot], np.repeat(w, k)))
-                side = np.concatenate((side[~is_hot], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)))
-            s = sketches(values).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(c[some][who]), pa.array(s[who, 0]), pa.array(s[who, 1]), pa.array(side)], names=["bucket", "c", "s1", "s2", "side"])
-
-    return texts.select("c", "text").mapInArrow(run, "bucket bigint, c bigint, s1 bigint, s2 bigint, side tinyint")
-
-
-def _near(start: np.ndarray, size: np.ndarray, c: np.ndarray, s: np.ndarray, side: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a < b) of members of one bucket that agree in enough bits; buckets: from start on, size members."""
-    after = np.repeat(start + size, size) - np.arange(len(c)) - 1  # members behind each one in its bucket
+            if batch.num_rows:
+                found.append(members(batch))
+                n += len(found[-1][0])
+            if n >= PACK:
+                yield out()
+                found, n = [], 0
+        if n:
+            yield out()
+
+    return signed.select("c", "s1", "s2", "s3", "s4", *names).mapInArrow(run, "part int, v0 binary, v1 binary, v2 binary, v3 binary")
+
+
+def _listed(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places (i < j) of buckets from start on with size members, one behind the other; in steps."""
+    after = np.repeat(start + size, size) - np.arange(size.sum()) - 1  # members behind each one in its bucket
     total = np.cumsum(after)
     lo = 0
-    while lo < len(c):
+    while lo < len(after):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + STEP, "right")))
         k = after[lo:hi]
         i = np.repeat(np.arange(lo, hi), k)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        equal = 128 - np.bitwise_count(s[i, 0] ^ s[j, 0]).astype(np.int16) - np.bitwise_count(s[i, 1] ^ s[j, 1])
-        ok = (equal >= agree) & (c[i] != c[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        i, j = i[ok], j[ok]
-        yield np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         lo = hi
 
 
-def bucket_candidates(members: DataFrame, agree: int) -> DataFrame:
-    """a < b: pairs that share a bucket and agree in at least `agree` sketch bits; a pair may come out more than once."""
-    spread = members.repartition("bucket").sortWithinPartitions("bucket", "c")
+def _wide(s: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (i < j) of one bucket with sketches of at most `most` different first bits; of two sides only across."""
+    one, two = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.all() else (np.arange(len(s)), None)
+    x, y = (np.ascontiguousarray(s[one, k]) for k in (0, 1))
+    p, q = (x, y) if two is None else (np.ascontiguousarray(s[two, k]) for k in (0, 1))
+    step = max(1, min(ROWS, STEP // max(1, len(p))))
+    for lo in range(0, len(x), step):
+        first = lo if two is None else 0
+        off = np.bitwise_count(x[lo : lo + step, None] ^ p[None, first:])
+        off += np.bitwise_count(y[lo : lo + step, None] ^ q[None, first:])
+        at = np.flatnonzero(off <= most)
+        if len(at):
+            i, j = np.divmod(at, off.shape[1])
+            i, j = i + lo, j + first
+            if two is None:
+                yield i[i < j], j[i < j]
+            else:
+                yield np.minimum(one[i], two[j]), np.maximum(one[i], two[j])
+
+
+def _near(start: np.ndarray, size: np.ndarray, c: np.ndarray, s: np.ndarray, side: np.ndarray, agree: int, agree_two: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of members of one bucket that agree in enough values; buckets: from start on, size members."""
+
+    def apart(i: np.ndarray, j: np.ndarray, two: bool) -> np.ndarray:
+        x, y = s[i, 0] ^ s[j, 0], s[i, 1] ^ s[j, 1]
+        if two:
+            x, y = x | s[i, 2] ^ s[j, 2], y | s[i, 3] ^ s[j, 3]
+        return np.bitwise_count(x) + np.bitwise_count(y)
+
+    def those(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (c[i] != c[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        ok = apart(i, j, True) <= 128 - agree_two
+        i, j = i[ok], j[ok]
+        return np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+
+    few = size < WIDE
+    place = np.flatnonzero(np.repeat(few, size))
+    for i, j in _listed(np.cumsum(size[few]) - size[few], size[few]):
+        i, j = place[i], place[j]
+        ok = apart(i, j, False) <= 128 - agree
+        yield those(i[ok], j[ok])
+    for lo, k in zip(start[~few].tolist(), size[~few].tolist()):
+        for i, j in _wide(s[lo : lo + k], side[lo : lo + k], 128 - agree):
+            yield those(i + lo, j + lo)
+
+
+def bucket_candidates(members: DataFrame, agree: int, agree_two: int, partitions: int = 0) -> DataFrame:
+    """a < b: pairs that share a bucket and agree in at least `agree` first bits and `agree_two` values of two bits; a pair may come out more than once."""
+    spread = (members.repartition(partitions, "part") if partitions else members.repartition("part")).sortWithinPartitions("part")
+
+    def pairs(pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        bucket, c, s, side = (np.concatenate(x) for x in zip(*pieces))
+        s = s.reshape(-1, 4)
+        order = np.argsort(bucket)
+        b = bucket[order]
+        same = b[1:] == b[:-1]
+        order = order[np.append(same, False) | np.append(False, same)]  # those that are not alone
+        order = order[np.lexsort((c[order], bucket[order]))]
+        bucket, c = bucket[order], c[order]
+        fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1]))[: len(c)]  # the same class from another batch
+        order, bucket, c = order[fresh], bucket[fresh], c[fresh]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(c)])
+        found, n = [], 0
+        for a, b in _near(start, np.diff(np.append(start, len(c))), c, s[order], side[order], agree, agree_two):
+            if len(a):
+                found.append((a, b))
+                n += len(a)
+            if n > STEP:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                found, n = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int8)]
-
-        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bucket, c, s1, s2, side = cols
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            size = np.diff(np.append(edge, len(bucket)))
-            several = np.repeat(size > 1, size)
-            if several.any():
-                size = size[size > 1]
-                s = np.stack((s1[several], s2[several]), 1).view(np.uint64)
-                for a, b in _near(np.cumsum(size) - size, size, c[several], s, side[several], agree):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+        kept, now = [], None
         for batch in batches:
-            cols = [np.concatenate((x, np.asarray(y))) for x, y in zip(kept, batch.columns)]
-            fresh = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))  # the same class from another batch
-            cols = [x[fresh] for x in cols]
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            kept = [x[last:] for x in cols]
-            yield from pairs([x[:last] for x in cols])
-        yield from pairs(kept)
+            part = np.asarray(batch.column(0))
+            edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
+                if kept and part[lo] != now:
+                    yield from pairs(kept)
+                    kept = []
+                now = part[lo]
+                kept.append([unpacked(batch.column(1 + k).slice(lo, hi - lo), kind) for k, kind in enumerate((np.int64, np.int64, np.uint64, np.int8))])
+        if kept:
+            yield from pairs(kept)
 
     return spread.mapInArrow(run, "a bigint, b bigint")
 
@@ -328,10 +440,19 @@ def near_classes(texts: DataFrame, n: int = 3, threshold: float = 0.6, permutati
     texts: c BIGINT, text STRING; a text may be there many times. 28 bands of 3 suit a threshold of 0.6 and above.
     """
     stage = Stage(texts.sparkSession, "minmax")
-    members = buckets(texts, n, permutations, bands, rows)
-    candidates = stage.write(bucket_candidates(members, least_agreement(threshold, permutations)).distinct(), "candidates")
+    hot, blocks = hot_bands(texts, n, permutations, bands, rows)
+    signed = stage.write(signatures(texts, n, permutations, bands, rows), "signatures")
+    least = [least_agreement(threshold, permutations, k) for k in (1, 2)]
+    usual = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * usual, int((signed.count() * bands + (blocks**2).sum() * BLOCK) / min(ROUNDS, bands) / PART))
+    found = []
+    for i in range(min(ROUNDS, bands)):
+        members = buckets(signed, [f"b{k}" for k in range(i, bands, ROUNDS)], hot, blocks, parts)
+        found.append(stage.write(bucket_candidates(members, *least, parts // 8 if parts > 8 * usual else 0).distinct(), f"candidates{i}", release=True))
+    stage.drop("signatures")
+    candidates = stage.write(reduce(DataFrame.unionByName, found).distinct(), "candidates", release=True)
     ids = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    known = stage.write(without_repeats(texts.join(ids, "c", "left_semi")).groupBy("c").agg(F.first("text").alias("text")), "texts")
+    known = stage.write(without_repeats(texts.join(ids, "c", "left_semi")).groupBy("c").agg(F.first("text").alias("text")), "texts", release=True)
     both = candidates.join(known.withColumnsRenamed({"c": "a", "text": "x"}), "a").join(known.withColumnsRenamed({"c": "b", "text": "y"}), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

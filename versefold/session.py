@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Setting by which Spark drops the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def importable(spark: SparkSession) -> None:
@@ -73,9 +75,17 @@ class Stage:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Stage.made.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """release: shuffle files go when the table is written, not when the driver happens to collect its garbage."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        if release:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if release:
+                self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
